@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of this machine only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,11 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and return it read back; a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/quarry-{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")  # the table replaces the shuffles that made it, so their files go as it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._quarry_path = path
     return back
