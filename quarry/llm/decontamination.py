@@ -201,10 +201,13 @@ def contaminated(n_words: Column, hits: Column, share: int = 20) -> Column:
     return (hits > 0) & (share * hits >= n_words)
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with their columns."""
-    found = matches(documents, benchmark, tuple(documents.columns))
-    return found.where(~contaminated(F.col("n_words"), n_hit(F.col("spans")))).select(*documents.columns)
+def clean(documents: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The documents that aren't contaminated, with their columns. The keys of the others are broadcast up to ``broadcast_rows``."""
+    key = F.xxhash64("doc_id", "text")
+    found = matches(documents.select(key.alias("key"), "text"), benchmark, ("key",))
+    gone = stored(found.where(contaminated(F.col("n_words"), n_hit(F.col("spans")))).select(F.col("key").alias("_gone_key")).distinct(), "contaminated")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return documents.join(side, key == F.col("_gone_key"), "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -58,6 +58,11 @@ def position(offset: Column, target: Column, a: Column, b: Column) -> Column:
     return (a + b) * x / (a + F.sqrt(F.greatest(a * a + (b * b - a * a) * x, F.lit(0.0))))
 
 
+def made_name(name: str, keep) -> str:
+    """The name of a new column beside the kept ones."""
+    return made_name(f"{name}_mix", keep) if name.lower() in {k.lower() for k in keep} else name
+
+
 def mix(documents: DataFrame, share: float = 1.5, repeats: int = 2, weights=WEIGHTS, schedules=SCHEDULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the kept columns, size, source_size, target, taken and its training positions (one per pass).
 
@@ -80,16 +85,24 @@ def mix(documents: DataFrame, share: float = 1.5, repeats: int = 2, weights=WEIG
     words = [reach(at + F.col("_size")) - reach(at) for at in passes]
     taken = sum(words[1:], words[0])
     places = F.filter(F.array(*(F.when(n > 0, position(at, F.col("target"), F.col("_a"), F.col("_b"))) for at, n in zip(passes, words, strict=True))), lambda x: x.isNotNull())
-    return rows.select("_kept.*", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), places.alias("positions"))
+    made = {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long"), "positions": places}
+    return rows.select("_kept.*", *(c.alias(made_name(n, keep)) for n, c in made.items()))
 
 
-def arranged(mixed: DataFrame) -> DataFrame:
+def arranged(mixed: DataFrame, positions: str = "positions") -> DataFrame:
     """The documents in training order: range-sorted by their first position; those that aren't taken come last."""
-    first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0))
+    first = F.coalesce(F.try_element_at(positions, F.lit(1)), F.lit(2.0))
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return mixed.withColumn("_first", first).repartitionByRange(n, "_first").sortWithinPartitions("_first").drop("_first")
 
 
+def training_order(documents: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with their columns, the mix's columns and in training order."""
+    columns = tuple(documents.columns)
+    mixed = mix(documents, keep=columns)
+    return arranged(mixed.where(F.col(made_name("taken", columns)) > 0), made_name("positions", columns))
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return arranged(mix(documents)).select("doc_id", "size", "source_size", "target", "taken")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, license, mixing, neardup, pii, quality, toxicity
+from . import decontamination, language_model, license, mixing, neardup, pii, quality, search, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_suffixes": suffixes.op6_suffixes,
+    "op7_search": search.op7_search,
     "op8_pii": pii.op8_pii,
     "op9_neardup": neardup.op9_neardup,
+    "op10_language_model": language_model.op10_language_model,
 }
-SQL = {"op2_license": license.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op5_decontamination": decontamination.OP5_SQL}
+SQL = {"op2_license": license.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op5_decontamination": decontamination.OP5_SQL, "op7_search": search.OP7_SQL}
