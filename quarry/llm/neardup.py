@@ -1,8 +1,8 @@
 """MinHash near-duplicates with odd sketches.
 
 A document's set holds its distinct shingles of five words. MinHash samples are cut into bands whose hashes put likely
-pairs into buckets, and folded into a parity bitmap (odd sketch): the population count of two bitmaps' XOR estimates
-their similarity, which orders and prunes a bucket's pairs before the full sets are compared.
+pairs into buckets. One-permutation MinHash samples are folded into a parity bitmap (odd sketch): the population count of
+two bitmaps' XOR estimates their similarity, which orders and prunes a bucket's pairs before the full sets are compared.
 
 * Exact copies of a set are one class from the start; only classes are banded.
 * Round 1 asks for the edges of a maximum spanning forest of each bucket (by sketch similarity), so a bucket of n classes
@@ -31,7 +31,7 @@ from ._store import drop, stored, table
 WORDS = 5
 BANDS, ROWS = 24, 4
 SAMPLES = BANDS * ROWS
-BITS = 512
+BINS, BITS = 2048, 4096  # of the one-permutation samples that a sketch folds, and of the sketch
 _RNG = np.random.default_rng(20_240_517)
 _A = _RNG.integers(1, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -59,8 +59,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sample(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash samples (documents x SAMPLES) and odd sketches (documents x BITS / 8 bytes)."""
+def _sample(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """MinHash samples (documents x SAMPLES) for the bands; odd sketches (documents x BITS / 8 bytes) of one-permutation samples, and how many each folds."""
     flat = np.concatenate(sets)
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
     low = (flat >> np.uint64(32)).astype(np.uint32)
@@ -68,105 +68,113 @@ def _sample(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(SAMPLES):
         samples[k] = np.minimum.reduceat(low * _A[k] + _B[k], first)
     samples = samples.T.astype(np.uint64)
-    bits = _text.mix(samples * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(BITS)
-    at = (bits + np.arange(len(sets), dtype=np.uint64)[:, None] * np.uint64(BITS)).astype(np.int64).ravel()
+    # the least hash of each bin is the first one of a sorted set that falls into it
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    slot = row * BINS + (flat >> np.uint64(53)).astype(np.int64)
+    least = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+    at = row[least] * BITS + (_text.mix(flat[least]) % np.uint64(BITS)).astype(np.int64)
     odd = (np.bincount(at, minlength=len(sets) * BITS) & 1).astype(np.uint8).reshape(len(sets), BITS)
-    return samples, np.packbits(odd, axis=1)
+    return samples, np.packbits(odd, axis=1), np.bincount(row[least], minlength=len(sets))
 
 
-def similarity(differing_bits, bits: int = BITS, samples: int = SAMPLES):
-    """Jaccard similarity estimated from the XOR population count of two odd sketches."""
-    return 1 + bits / (4 * samples) * np.log(np.maximum(1 - 2 * np.asarray(differing_bits, float) / bits, 1e-9))
+def can_link(differing, sizes, filled, percent: int, deviations: float = 5.0):
+    """Whether sets with these sizes, samples folded and XOR population count may reach ``percent``: no pair at it is estimated
+    lower but by ``deviations`` standard deviations.
 
-
-def reach(least: float) -> int:
-    """The largest population count whose estimate is at least ``least``."""
-    return int(np.flatnonzero(similarity(np.arange(BITS)) >= least)[-1])
+    The population count gives the samples that differ, so those that agree; a set pair of similarity j is expected to agree
+    in j times the bins that its union fills.
+    """
+    apart = -BITS / 2 * np.log(np.maximum(1 - 2 * np.asarray(differing, float) / BITS, 1e-9))
+    agree = (filled[0] + filled[1] - apart) / 2
+    full = lambda n: -BINS * np.expm1(np.asarray(n, float) * np.log1p(-1 / BINS))
+    j = percent / 100
+    union = (sizes[0] + sizes[1]) / (1 + j)
+    bins = full(union) * (filled[0] + filled[1]) / np.maximum(full(sizes[0]) + full(sizes[1]), 1e-9)
+    variance = 2 * bins * j * (1 - j) * np.maximum(1 - bins / union, 0) + apart**2 / (2 * BITS) + 1
+    return agree >= j * bins - deviations * np.sqrt(variance)
 
 
 def _sign(batches):
     for batch in batches:
-        n, one, two, bands, sketches = [], [], [], [], []
+        n, one, two, bands, sketches, filled = [], [], [], [], [], []
         for _, _, data, offsets in _text.slices(batch.column("text")):
             sets = shingle_hashes(data, offsets)
             n += [len(s) for s in sets]
             one += [int(_text.mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             two += [int(_text.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             some = [s for s in sets if len(s)]
-            keys, odd = iter(()), iter(())
+            keys, odd, folded = iter(()), iter(()), iter(())
             if some:
-                samples, bitmaps = _sample(some)
+                samples, bitmaps, n_folded = _sample(some)
                 rows = samples.reshape(len(some), BANDS, ROWS)
                 key = np.zeros((len(some), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     key = _text.mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
-                keys, odd = iter(key.view(np.int64)), iter(bitmaps)
+                keys, odd, folded = iter(key.view(np.int64)), iter(bitmaps), iter(n_folded.tolist())
             for s in sets:
                 bands.append(next(keys) if len(s) else np.zeros(0, np.int64))
                 sketches.append(next(odd).tobytes() if len(s) else None)
+                filled.append(next(folded) if len(s) else 0)
         bounds = pa.array(np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32))
         lists = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "one", "two", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(sketches, pa.binary()), pa.array(filled, pa.int32())], ["doc_id", "n_shingles", "one", "two", "bands", "sketch", "filled"])
 
 
 def _popcount(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _forest(sketch: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest by sketch similarity (Prim), without those beyond ``most`` differing bits."""
+def _forest(sketch: np.ndarray) -> np.ndarray:
+    """Edges of a spanning tree that is the best by sketch similarity (Prim)."""
     n, out = len(sketch), []
     best, parent = _popcount(sketch, sketch[0]), np.zeros(n, np.int64)
     inside = np.zeros(n, bool)
     inside[0] = True
     for _ in range(n - 1):
         k = int(np.where(inside, np.iinfo(np.int64).max, best).argmin())
-        if best[k] <= most:
-            out.append((int(parent[k]), k))
+        out.append((int(parent[k]), k))
         inside[k] = True
         d = _popcount(sketch, sketch[k])
         closer = ~inside & (d < best)
         best[closer], parent[closer] = d[closer], k
-    return out
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _pairs(most: int, forest: bool):
-    """Batches sorted by (key, i, j), side: pairs of each bucket part. Without forest: all pairs of two components."""
+def _pairs(percent: int, forest: bool):
+    """Batches sorted by (key, part): the pairs of each bucket part that sketches let link. Without forest: all of two components."""
 
     def run(batches):
-        carry = None
         for batch in _closed(batches):
-            if batch is None:
-                continue
-            ids, comp = batch["id"], batch["component"]
-            sketch = batch["sketch"]
+            ids, comp, sketch = batch["id"], batch["component"], batch["sketch"]
             cut = np.flatnonzero(np.concatenate([[True], (batch["key"][1:] != batch["key"][:-1]) | (batch["part"][1:] != batch["part"][:-1])]))
             sizes = np.diff(np.append(cut, len(ids)))
-            left, right = [], []
             two = cut[sizes == 2]
-            if len(two):
-                near = (_popcount(sketch[two], sketch[two + 1]) <= most) & (comp[two] != comp[two + 1])
-                left.append(ids[two][near])
-                right.append(ids[two + 1][near])
+            left, right = [two], [two + 1]
             for at, n in zip(cut[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                own, s, c = ids[at : at + n], sketch[at : at + n], comp[at : at + n]
                 if forest:
-                    e = np.array(_forest(s, most), np.int64).reshape(-1, 2)
-                    left.append(own[e[:, 0]])
-                    right.append(own[e[:, 1]])
+                    edges = _forest(sketch[at : at + n]) + at
+                    left.append(edges[:, 0])
+                    right.append(edges[:, 1])
                 else:
-                    for k in range(n - 1):
-                        near = np.flatnonzero((_popcount(s[k + 1 :], s[k]) <= most) & (c[k + 1 :] != c[k])) + k + 1
-                        left.append(np.full(len(near), own[k]))
-                        right.append(own[near])
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+                    for k in range(at, at + n - 1):
+                        other = np.flatnonzero(comp[k + 1 : at + n] != comp[k]) + k + 1
+                        other = other[_close(batch, np.full(len(other), k), other, percent)]
+                        left.append(np.full(len(other), k))
+                        right.append(other)
+            a, b = np.concatenate(left), np.concatenate(right)
+            near = (comp[a] != comp[b]) & _close(batch, a, b, percent)
+            a, b = ids[a[near]], ids[b[near]]
             found = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-        del carry
 
     return run
 
 
+def _close(batch, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    n, filled = batch["n_shingles"], batch["filled"]
+    return can_link(_popcount(batch["sketch"][a], batch["sketch"][b]), (n[a], n[b]), (filled[a], filled[b]), percent)
+
+
 def _closed(batches):
     """Regroup sorted batches so that no bucket part is cut; each as numpy columns."""
     waiting = []
@@ -174,7 +182,7 @@ def _closed(batches):
         if not batch.num_rows:
             continue
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64)
-        own = {k: batch.column(k).to_numpy() for k in ("key", "part", "id", "component")} | {"sketch": sketch}
+        own = {k: batch.column(k).to_numpy() for k in ("key", "part", "id", "component", "n_shingles", "filled")} | {"sketch": sketch}
         same = (own["key"] == own["key"][-1]) & (own["part"] == own["part"][-1])
         if not same.all():
             at = int(np.flatnonzero(~same)[-1]) + 1
@@ -238,31 +246,28 @@ def _confirm(percent: int):
     return run
 
 
-def classes(documents: DataFrame, percent: int = 85, chunk: int = 4096, margin: float = 0.25, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def classes(documents: DataFrame, percent: int = 85, chunk: int = 4096, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id, kept) of every document, and the confirmed links (a, b) between classes.
 
-    percent: least 100 * intersection / union of a link. margin: how far below it a sketch may estimate a pair that is
-    still compared; 0.25 is over six standard deviations of the estimate. chunk: most classes that one task compares with
-    each other at once.
+    percent: least 100 * intersection / union of a link. chunk: most classes that one task compares with each other at once.
     """
-    most = reach(percent / 100 - margin)
-    signed = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch binary"), "signed")
+    signed = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch binary, filled int"), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stored(usable.groupBy("one", "two").agg(F.min("doc_id").alias("id")), "classes")
-    members = usable.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
+    members = usable.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch", "n_shingles", "filled").dropDuplicates(["id"])
     members = stored(members, "members")
     banded = members.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stored(banded.join(sizes, "key").select("key", "id", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "buckets")
-    sketches = members.select("id", "sketch")
+    sketches = members.select("id", "sketch", "n_shingles", "filled")
     n_tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def candidates(rows: DataFrame, forest: bool) -> DataFrame:
         dealt = rows.join(sketches, "id").repartition(n_tasks, "key", "part").sortWithinPartitions("key", "part", "id")
-        return dealt.select("key", "part", "id", "component", "sketch").mapInArrow(_pairs(most, forest), "a long, b long").distinct()
+        return dealt.select("key", "part", "id", "component", "n_shingles", "filled", "sketch").mapInArrow(_pairs(percent, forest), "a long, b long").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sets = stored(_sets(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), broadcast_ids), "sets")
+        sets = stored(_sets(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), broadcast_ids), "sets")
         one = sets.select(F.col("id").alias("a"), F.col("set").alias("one"))
         two = sets.select(F.col("id").alias("b"), F.col("set").alias("two"))
         return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "links")
