@@ -231,7 +231,7 @@ def _stretches(rows):
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["key", "start", "end"])
 
 
-def stretches(documents: DataFrame, most: int = 4000) -> DataFrame:
+def stretches(documents: DataFrame, most: int = 50_000) -> DataFrame:
     """(key, stretches): the repeated stretches (start, end) of each text that has some; documents: key, text."""
     n_tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = stored(documents.mapInArrow(_anchor_rows, "key long, at int, gram long, around long"), "anchors")
@@ -288,7 +288,7 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out["n_bytes"], pa.int64()), spans, digests, pa.array(out["kept"], pa.binary())], ["doc_id", "n_bytes", "removed", "kept_sha256", "kept"])
 
 
-def without_repeats(documents: DataFrame, most: int = 4000) -> DataFrame:
+def without_repeats(documents: DataFrame, most: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, removed (start, end in bytes), kept_sha256 and the kept bytes of every document."""
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = stretches(rows.select("key", "text"), most)
