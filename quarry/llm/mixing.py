@@ -93,7 +93,8 @@ def arranged(mixed: DataFrame, positions: str = "positions") -> DataFrame:
     """The documents in training order: range-sorted by their first position; those that aren't taken come last."""
     first = F.coalesce(F.try_element_at(positions, F.lit(1)), F.lit(2.0))
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.withColumn("_first", first).repartitionByRange(n, "_first").sortWithinPartitions("_first").drop("_first")
+    rows = mixed.withColumn("_first", first).withColumn("_tie", F.xxhash64(*mixed.columns))  # spreads those of equal position
+    return rows.repartitionByRange(n, "_first", "_tie").sortWithinPartitions("_first", "_tie").drop("_first", "_tie")
 
 
 def training_order(documents: DataFrame) -> DataFrame:
