@@ -93,7 +93,7 @@ def index(documents: DataFrame, vocabulary: np.ndarray, kept: list[str]) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(join(n_words, np.int64)), *lists], [*kept, "n_words", "at", "term"])
 
     schema = documents.select(*kept).withColumn("n_words", F.lit(0).cast("long")).withColumn("at", F.array(F.lit(0))).withColumn("term", F.array(F.lit(0))).schema
-    return documents.select(*kept, "text").mapInArrow(run, schema)
+    return documents.select(*dict.fromkeys((*kept, "text"))).mapInArrow(run, schema)
 
 
 def _intersect(block: Block, order: np.ndarray, place: np.ndarray, term: np.ndarray, slop: int, least: int):
