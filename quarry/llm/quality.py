@@ -102,8 +102,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rat
     """Newton boosting of the logistic loss on feature histograms."""
     nothing = np.zeros((0, 2**depth - 1))
     mean = float(y.mean()) if len(y) else 0.5
-    if not 0 < mean < 1:
-        return Trees({0.0: -40.0, 1.0: 40.0}.get(mean, 0.0) / 10, nothing.astype(np.int64), nothing, np.zeros((0, 2**depth)))
+    if not len(y) or not 0 < mean < 1:
+        return Trees({0.0: -40.0, 1.0: 40.0}.get(mean, 0.0), nothing.astype(np.int64), nothing, np.zeros((0, 2**depth)))
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(c, x[:, k], "left") for k, c in enumerate(cuts)])
     base = float(np.log(mean / (1 - mean)))
