@@ -163,7 +163,13 @@ def _pairs(percent: int, forest: bool):
                         right.append(other)
             a, b = np.concatenate(left), np.concatenate(right)
             near = (comp[a] != comp[b]) & _close(batch, a, b, percent)
-            a, b = ids[a[near]], ids[b[near]]
+            a, b = a[near], b[near]
+            if not forest:  # a pair is told once: by the first bucket that both share, and by one of its parts
+                bands, key, p, part = (batch[k] for k in ("bands", "key", "p", "part"))
+                first = bands[a, (bands[a] == bands[b]).argmax(axis=1)] == key[a]
+                once = first & ((p[a] != p[b]) | (part[a] // 65536 == part[a] % 65536))
+                a, b = a[once], b[once]
+            a, b = ids[a], ids[b]
             found = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -182,7 +188,9 @@ def _closed(batches):
         if not batch.num_rows:
             continue
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64)
-        own = {k: batch.column(k).to_numpy() for k in ("key", "part", "id", "component", "n_shingles", "filled")} | {"sketch": sketch}
+        own = {k: batch.column(k).to_numpy() for k in batch.schema.names if k not in ("sketch", "bands")} | {"sketch": sketch}
+        if "bands" in batch.schema.names:
+            own["bands"] = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
         same = (own["key"] == own["key"][-1]) & (own["part"] == own["part"][-1])
         if not same.all():
             at = int(np.flatnonzero(~same)[-1]) + 1
@@ -259,12 +267,12 @@ def classes(documents: DataFrame, percent: int = 85, chunk: int = 4096, broadcas
     banded = members.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stored(banded.join(sizes, "key").select("key", "id", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "buckets")
-    sketches = members.select("id", "sketch", "n_shingles", "filled")
+    sketches = members.select("id", "sketch", "n_shingles", "filled", "bands")
     n_tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def candidates(rows: DataFrame, forest: bool) -> DataFrame:
-        dealt = rows.join(sketches, "id").repartition(n_tasks, "key", "part").sortWithinPartitions("key", "part", "id")
-        return dealt.select("key", "part", "id", "component", "n_shingles", "filled", "sketch").mapInArrow(_pairs(percent, forest), "a long, b long").distinct()
+        dealt = rows.join(sketches.drop("bands") if forest else sketches, "id").repartition(n_tasks, "key", "part").sortWithinPartitions("key", "part", "id")
+        return dealt.select("key", "part", "id", "component", "n_shingles", "filled", "sketch", *([] if forest else ["p", "bands"])).mapInArrow(_pairs(percent, forest), "a long, b long").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = stored(_sets(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), broadcast_ids), "sets")
@@ -281,7 +289,7 @@ def classes(documents: DataFrame, percent: int = 85, chunk: int = 4096, broadcas
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = labelled.join(mixed, "key").select("key", "id", "component", "parts", part.alias("p"))
-    open_ = open_.select("key", "id", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.greatest(q, F.col("p")) * 65536 + F.least(q, F.col("p")))).alias("part"))
+    open_ = open_.select("key", "id", "component", "p", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.greatest(q, F.col("p")) * 65536 + F.least(q, F.col("p")))).alias("part"))
     second = candidates(open_, False).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     second = stored(second, "pairs")
     links = tested.where("linked").select("a", "b")
