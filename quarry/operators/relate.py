@@ -53,6 +53,29 @@ def updated(rows: DataFrame, patches: DataFrame, key: str, columns: tuple[str, .
     return out.withColumns({c: F.coalesce(F.nullif(f"_{c}", F.lit("")), c) for c in columns}).select(*rows.columns)
 
 
+def updated_first(rows: DataFrame, patches: DataFrame, keys: list[str], within: str, order: str, column: str) -> DataFrame:
+    """Like ``updated`` for one column, but of the rows with a patch's keys only the first in each group takes it."""
+    first = rows.join(patches.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, within).agg(F.min(order).alias("_first"))
+    side = first.join(patches.select(*keys, F.col(column).alias("_new")), keys).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(within).alias("_within"), "_first", "_new")
+    same = (F.col(order) == F.col("_first")) & F.col(within).eqNullSafe(F.col("_within"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return rows.join(side, same, "left").withColumn(column, F.coalesce("_new", column)).select(*rows.columns)
+
+
+def positioned(rows: DataFrame, lists: DataFrame, key: str, index: str, values: str, name: str) -> DataFrame:
+    """Each row with the value at its 1-based index in its key's list; null where the list is missing or too short."""
+    side = lists.select(F.col(key).alias("_key"), F.posexplode(values).alias("_pos", "_value"))
+    return rows.join(side, (F.col(key) == F.col("_key")) & (F.col(index) == F.col("_pos") + 1), "left").withColumn(name, F.col("_value")).drop("_key", "_pos", "_value")
+
+
+def first_existing(wanted: DataFrame, listing: DataFrame, key: str, candidates: str, path: str = "path") -> DataFrame:
+    """(key, path) with the first of a row's candidate paths that the listing holds, else null."""
+    tried = wanted.select(key, F.posexplode(candidates).alias("_rank", path))
+    there = tried.join(listing.select(path).distinct(), path).groupBy(key).agg(F.min_by(path, "_rank").alias(path))
+    return wanted.select(key).distinct().join(there, key, "left")
+
+
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
 

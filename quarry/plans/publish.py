@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,17 @@ def nested(questions: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select("bank", "chapter", "first", "question_count", F.to_json(F.transform("o", lambda x: x["q"])).alias("questions"))
 
 
+def in_fixed_order(questions: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(ord, chapter, question_count) of the chapters (ord, chapter) that have questions; questions of other chapters go."""
+    counts = questions.groupBy("chapter").agg(F.count("*").alias("question_count"))
+    return chapters.select("ord", "chapter").join(counts, "chapter").select("ord", "chapter", "question_count")
+
+
+def stamped_links(html: Column, stamp: Column) -> Column:
+    """Links to the published data carry its stamp, so that caches take the new one."""
+    return F.regexp_replace(html, F.lit(r"data\.js\?[^\"']*"), F.concat(F.lit("data.js?v="), stamp))
+
+
 def statistics(questions: DataFrame) -> DataFrame:
     """Questions and chapters of each bank, and a grand total (bank null)."""
     per = questions.groupBy("bank", "chapter").agg(F.count("*").alias("n"))

@@ -274,10 +274,10 @@ def type_range(spark, sf_dir):
     return relate.range_lookup(d, _ranges(spark, PAGE_TYPES), "printed", "page_type").select("ord", "page_type")
 
 
-@_query(f"""WITH {DOCS_SQL}, f AS (SELECT DISTINCT CAST(page_id * 7 % 97 + 1 AS INT) AS spot FROM pages WHERE page_id < 12), n AS (SELECT ord, spot, abs(spot - page) AS d, row_number() OVER (PARTITION BY ord ORDER BY abs(spot - page), spot) AS k FROM q JOIN f ON abs(spot - page) <= 3)
+@_query(f"""WITH {DOCS_SQL}, f AS (SELECT DISTINCT CAST(page_id % 12 * 8 + 1 AS INT) AS spot FROM pages), n AS (SELECT ord, spot, abs(spot - page) AS d, row_number() OVER (PARTITION BY ord ORDER BY abs(spot - page), spot) AS k FROM q JOIN f ON abs(spot - page) <= 3)
 SELECT q.ord, n.spot AS nearest, n.d AS distance FROM q LEFT JOIN n ON q.ord = n.ord AND k = 1""")
 def nearest_figure(spark, sf_dir):
-    figures = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id < 12").select((F.col("page_id") * 7 % 97 + 1).cast("int").alias("at"))
+    figures = spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") % 12 * 8 + 1).cast("int").alias("at"))
     return relate.nearest(docs(spark, sf_dir).select("ord", "page"), figures, "ord", "page", "at").select("ord", "nearest", "distance")
 
 
