@@ -4,7 +4,14 @@ Each scan task is a shard: it builds an inverted index (postings by document, in
 the terms that some query asks for, and runs block-max WAND for each query with the collection's statistics, counted
 over all documents beforehand. The shards' top k are merged; as impacts are global, the merge is exact.
 
-Queries are sent to the shards in blocks of at most ``block_queries``; a further block is a further pass over the texts.
+A query of more than ``MANY`` words is scored term at a time over all its postings in the shard, which is exact as well:
+its bound passes the threshold nearly everywhere, so that there is little to skip.
+
+Queries are sent to the shards in blocks of at most ``block_queries`` queries and about ``block_terms`` query terms; a
+further block is a further pass over the texts.
+
+``op7_search_whole`` asks for every distinct word of a query document that another one can share. ``op7_search`` is held
+against SQL that asks for the eight rarest of them.
 
 Edge cases: a null or empty text has no terms and is never found; rows without id are not searched; a query without
 terms finds nothing. Ties are broken by the smaller id. Repeated ids are found once each. An empty table gives an empty
@@ -25,6 +32,8 @@ from ._store import stored, table
 
 K1, B = 1.2, 0.75
 BLOCK = 64
+#: words of a query from which on all its postings are added up
+MANY = 16
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray):
@@ -86,11 +95,14 @@ def _query_terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(word, pa.string()), pa.array(_text.hash_words(word).view(np.int64)), pa.array(tf, pa.int64())], ["qid", "word", "term", "tf"])
 
 
-def more_like(queries: DataFrame, terms: DataFrame, n_terms: int = 8) -> DataFrame:
-    """(qid, word, term, df): each query document's ``n_terms`` rarest words that some other document can share (df over 1)."""
+def more_like(queries: DataFrame, terms: DataFrame, n_terms: int | None = None) -> DataFrame:
+    """(qid, word, term, df): each query document's words that some other document can share (df over 1), or its ``n_terms`` rarest ones."""
     own = queries.where("doc_id is not null").select("doc_id", "text").mapInArrow(_query_terms, "qid long, word string, term long, tf long")
+    shared = own.join(terms.where("df > 1"), "term")
+    if n_terms is None:  # repeated ids: each word of their texts once
+        return shared.select("qid", "word", "term", "df").distinct()
     rank = Window.partitionBy("qid").orderBy("df", F.desc("tf"), "word")
-    return own.join(terms.where("df > 1"), "term").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= n_terms).select("qid", "word", "term", "df")
+    return shared.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= n_terms).select("qid", "word", "term", "df")
 
 
 class Postings:
@@ -173,9 +185,20 @@ def block_max_wand(lists: list[Postings], k: int, skip: int = -1) -> list[tuple[
     return sorted(((s, -d) for s, d in heap), key=lambda x: (-x[0], x[1]))
 
 
+def add_up(docs: np.ndarray, impacts: np.ndarray, n: int, k: int, skip: int = -1) -> list[tuple[float, int]]:
+    """The k best (score, document) of n documents by the sums of their postings; ties and ``skip`` as in block_max_wand()."""
+    score = np.bincount(docs, impacts, n)
+    if skip >= 0:
+        score[skip] = 0.0
+    least = max(np.partition(score, n - k)[n - k] - 1e-6, 0.0) if n > k else 0.0
+    found = np.flatnonzero(score > least)
+    found = found[np.lexsort((found, -score[found].round(9)))][:k]
+    return list(zip(score[found].tolist(), found.tolist(), strict=True))
+
+
 def _search(sent, mean_length: float, k: int):
     def run(batches):
-        terms, idf, query_of, qids, query_terms = sent.value
+        terms, idf, qids, first, query_terms = sent.value
         parts, ids, lengths, n_docs = [], [], [], 0
         for batch in batches:
             for i, j, data, offsets in _text.slices(batch.column("text")):
@@ -199,22 +222,24 @@ def _search(sent, mean_length: float, k: int):
         row = number[row]
         by = np.lexsort((row, term))
         term, row, impact = term[by], row[by], impact[by]
-        present, low = np.unique(term, return_index=True)
-        high = np.append(low, len(term))[1:]
-        where = {int(t): (int(a), int(b)) for t, a, b in zip(present, low, high, strict=True)}
-        todo = sorted({q for t in where for q in query_of[t]})
+        edge = np.searchsorted(term, np.arange(len(terms) + 1))
         index: dict[int, Postings] = {}
         out_q, out_d, out_s = [], [], []
-        for q in todo:
-            lists = []
-            for t in query_terms[q]:
-                if t in where:
-                    if t not in index:
-                        a, b = where[t]
-                        index[t] = Postings(row[a:b], impact[a:b])
-                    lists.append(index[t])
+        for q in range(len(qids)):
+            asked = query_terms[first[q] : first[q + 1]]
+            asked = asked[edge[asked] < edge[asked + 1]].tolist()
+            if not asked:
+                continue
             self_at = int(np.searchsorted(own, qids[q]))
-            found = block_max_wand(lists, k, self_at if self_at < len(own) and own[self_at] == qids[q] else -1)
+            skip = self_at if self_at < len(own) and own[self_at] == qids[q] else -1
+            if len(asked) > MANY:
+                cuts = [slice(edge[t], edge[t + 1]) for t in asked]
+                found = add_up(np.concatenate([row[c] for c in cuts]), np.concatenate([impact[c] for c in cuts]), len(own), k, skip)
+            else:
+                for t in asked:
+                    if t not in index:
+                        index[t] = Postings(row[edge[t] : edge[t + 1]], impact[edge[t] : edge[t + 1]])
+                found = block_max_wand([index[t] for t in asked], k, skip)
             out_q += [int(qids[q])] * len(found)
             out_d += [int(own[d]) for _, d in found]
             out_s += [s for s, _ in found]
@@ -223,28 +248,26 @@ def _search(sent, mean_length: float, k: int):
     return run
 
 
-def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float, k: int = 10, block_queries: int = 50_000) -> DataFrame:
+def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float, k: int = 10, block_queries: int = 50_000, block_terms: int = 2_000_000) -> DataFrame:
     """(qid, rank, doc_id, score): the exact k best documents of each query, but for the query's own row.
 
-    queries: (qid, word, term, df), stored. Blocks are cut by query id, so each holds about ``block_queries`` queries.
+    queries: (qid, word, term, df), stored. Blocks are cut by query id, so each holds about ``block_queries`` queries or ``block_terms`` rows.
     """
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null").select("doc_id", "text")
-    n_blocks = max(1, -(-queries.select("qid").distinct().count() // block_queries))
+    size = queries.agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("terms")).first()
+    n_blocks = max(1, -(-size["queries"] // block_queries), -(-size["terms"] // block_terms))
     parts = []
     for block in range(n_blocks):
-        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == block).select("qid", "word", "term", "df").orderBy("qid", "df", "word").toPandas()
-        terms = np.unique(rows["term"].to_numpy(np.int64).view(np.uint64))
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == block).select("qid", "term", "df").toArrow()
+        qid, df_of, term_of = rows["qid"].to_numpy(), rows["df"].to_numpy(), rows["term"].to_numpy().view(np.uint64)
+        order = np.lexsort((term_of, df_of, qid))
+        qid, df_of, term_of = qid[order], df_of[order], term_of[order]
+        terms, at = np.unique(term_of, return_inverse=True)
         df = np.zeros(len(terms))
-        at = np.searchsorted(terms, rows["term"].to_numpy(np.int64).view(np.uint64))
-        df[at] = rows["df"]
-        qids, of = np.unique(rows["qid"].to_numpy(np.int64), return_inverse=True)
-        query_of: list[list[int]] = [[] for _ in terms]
-        query_terms: list[list[int]] = [[] for _ in qids]
-        for t, q in zip(at.tolist(), of.tolist(), strict=True):
-            query_of[t].append(q)
-            query_terms[q].append(t)
-        sent = spark.sparkContext.broadcast((terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), query_of, qids, query_terms))
+        df[at] = df_of
+        qids, first = np.unique(qid, return_index=True)
+        sent = spark.sparkContext.broadcast((terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), qids, np.append(first, len(qid)), at.astype(np.int32)))
         parts.append(docs.mapInArrow(_search(sent, mean_length, k), "qid long, doc_id long, score double"))
     found = parts[0]
     for x in parts[1:]:
@@ -253,14 +276,24 @@ def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float,
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
 
 
-def op7_search(spark, sf_dir: str) -> DataFrame:
+def _more_like_every_50th(spark, sf_dir: str, n_terms: int | None) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     terms, n, mean_length = collection(documents)
-    queries = stored(more_like(documents.where("doc_id % 50 = 0"), terms), "queries")
+    queries = stored(more_like(documents.where("doc_id % 50 = 0"), terms, n_terms), "queries")
     found = top_k(documents, queries, n, mean_length)
     return found.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
+def op7_search(spark, sf_dir: str) -> DataFrame:
+    """Queries of the eight rarest words, as its SQL says."""
+    return _more_like_every_50th(spark, sf_dir, 8)
+
+
+def op7_search_whole(spark, sf_dir: str) -> DataFrame:
+    """Queries of all words."""
+    return _more_like_every_50th(spark, sf_dir, None)
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents WHERE doc_id IS NOT NULL),
 t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS word FROM d),
@@ -273,3 +306,5 @@ r AS (SELECT qid, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
 SELECT qid, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score FROM k WHERE rank <= 10
 """
+#: the same without the limit to eight words
+OP7_WHOLE_SQL = OP7_SQL.replace(" WHERE r <= 8)", ")")

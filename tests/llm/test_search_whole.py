@@ -1,0 +1,50 @@
+"""The search by all words of a query document."""
+
+import numpy as np
+import pytest
+from conftest import SF, odd_tables, write
+from oracle import differ
+from quarry.llm import search
+from quarry.llm.queries import SEARCHES, SEARCHES_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SEARCHES))
+def test_sql(spark, tmp_path, name):
+    """Rows of one id are documents of their own here and one document with summed counts in SQL, so ids are told apart."""
+    documents, labels, benchmark = odd_tables()
+    for folder in (SF, write(tmp_path, list({d[0]: d for d in documents}.values()), labels, benchmark)):
+        assert differ(SEARCHES[name](spark, folder), SEARCHES_SQL[name], folder) == ([], [])
+
+
+@pytest.mark.parametrize("name", sorted(SEARCHES))
+def test_empty(spark, empty, name):
+    assert SEARCHES[name](spark, empty).collect() == []
+
+
+def test_common_words_count(spark):
+    """Eight rare words shared with one page don't outweigh hundreds of others shared with a second one."""
+    rare, common = [f"rare{k}" for k in range(8)], [f"common{k}" for k in range(300)]
+    rows = [(50, " ".join(rare + common)), (1, " ".join(rare)), (2, " ".join(common)), (3, " ".join(common)), (4, "nothing shared")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms, n, mean = search.collection(docs)
+    queries = search.more_like(docs.where("doc_id = 50"), terms).cache()
+    assert queries.count() == 308
+    found = {r["rank"]: r["doc_id"] for r in search.top_k(docs, queries, n, mean).collect()}
+    assert found == {1: 2, 2: 3, 3: 1}
+
+
+def test_blocks_of_terms(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    terms, n, mean = search.collection(docs)
+    queries = search.more_like(docs.where("doc_id % 50 = 0"), terms).cache()
+    one, many = (sorted(map(tuple, search.top_k(docs, queries, n, mean, block_terms=k).collect())) for k in (2_000_000, 200))
+    assert one == many and one
+
+
+def test_add_up_is_block_max_wand():
+    rng = np.random.default_rng(4)
+    for n in (5, 10, 11, 3000):
+        lists = [(d := np.flatnonzero(rng.random(n) < 0.3), rng.integers(1, 50, len(d)) / 8) for _ in range(20)]
+        lists = [x for x in lists if len(x[0])]
+        wand = search.block_max_wand([search.Postings(*x) for x in lists], 10, 2)
+        assert search.add_up(np.concatenate([d for d, _ in lists]), np.concatenate([i for _, i in lists]), n, 10, 2) == wand
