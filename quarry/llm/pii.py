@@ -1,9 +1,13 @@
 """Personal data: fixed base patterns, extended by bootstrapped contextual extraction.
 
 The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers. They seed a bootstrap: the words around
-every seed and around every other identifier-like string (it holds four digits in a row) are lexical patterns. Spark
-scores the graph of patterns and instances iteratively: a pattern is worth the share of its instances that are known to
-be of a kind, an instance the noisy-or of its patterns. Instances that end above ``least`` are found wherever they stand.
+every seed and around every other identifier-like string (it holds four digits in a row) are lexical patterns. Whatever
+else stands in the slot of a pattern that survives, up to ``MOST`` words, becomes an instance too, with or without digits.
+Spark scores the graph of patterns and instances iteratively: a pattern is worth the share of its instances, ordinary words
+included, that are known to be of a kind, an instance the noisy-or of its patterns. Identifier-like strings that end above
+``least`` are found wherever they stand, other strings where they stand in the slot of a surviving pattern.
+
+Surviving patterns are sent to the texts in blocks of ``block_patterns``; a further block is a further pass.
 
 Only distinct (pattern, instance) edges are joined and both joins are salted, so a pattern or instance that holds a
 large share of the rows is spread over many tasks.
@@ -31,8 +35,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]{4,}")
 _BODY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_./:#-")
 _BUSY = re.compile(r"[0-9@]")
-#: characters on either side in which a context's words stand
-REACH = 64
+#: characters on either side in which a context's words stand, and words that a slot may hold
+REACH, MOST = 64, 6
+_TOKEN = re.compile(r"\S+")
+_GROUP = re.compile(r"[0-9]+")
+_TRIM = ".,;:!?()[]{}<>\"'`*|"
 
 
 def luhn(digits: str) -> bool:
@@ -104,6 +111,45 @@ def _context(text: str, a: int, b: int) -> list[str]:
     return out
 
 
+def slots(text: str, taken: list[tuple[int, int, bool]], lefts: frozenset[str], wanted: frozenset[str]) -> list[tuple[int, int]]:
+    """What stands in the slots of the wanted patterns outside the taken (start, end, may stand inside a longer slot); lefts holds the patterns' last words before the slot.
+
+    A slot ends where its right word follows, at most ``MOST`` words on; without a wanted right word it holds one word, or
+    groups of digits joined by single spaces.
+    """
+    lower = text.lower().split()
+    heads = {i + 1 for i, w in enumerate(lower) if w in lefts} | {i for i, w in enumerate(lower) if w[0] in _TRIM and w[: len(w) - len(w.lstrip(_TRIM))] in lefts}
+    heads = sorted(i for i in heads if i < len(lower))
+    if not heads:
+        return []
+    tokens, out = [m.span() for m in _TOKEN.finditer(text)], []
+    for i in heads:
+        a, word = tokens[i][0], text[slice(*tokens[i])]
+        a += len(word) - len(word.lstrip(_TRIM))
+        one, best, groups = None, None, True
+        for j in range(i, min(i + MOST, len(tokens))):
+            s, e = tokens[j]
+            if j > i and (s != tokens[j - 1][1] + 1 or text[s - 1] != " "):
+                break
+            b = max(a, s) + len(text[max(a, s) : e].rstrip(_TRIM))
+            if b <= max(a, s):
+                break
+            around = [p for p in _context(text, a, b) if p in wanted]
+            groups = groups and _GROUP.fullmatch(text, max(a, s), b) is not None
+            if any(p[0] == "B" for p in around):
+                best = (a, b)
+                break
+            if around and (j == i or groups):
+                one = (a, b)
+            if b < e:
+                break
+        span = best or one
+        # a taken span may only stand inside a longer slot
+        if span and all(y <= span[0] or x >= span[1] or (free and span[0] <= x and y <= span[1] and (x, y) != span) for x, y, free in taken):
+            out.append(span)
+    return out
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _PLACE = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
@@ -127,48 +173,114 @@ def extracted(documents: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_extract, schema), "pii")
 
 
+_SLOT = "key long, start long, end long, instance string, patterns array<string>"
+
+
+def _slots(sent):
+    def run(batches):
+        lefts, wanted = sent.value
+        for batch in batches:
+            key, start, end, instance, patterns = [], [], [], [], []
+            for k, text in zip(batch.column("key"), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                if not slots(text, [], lefts, wanted):
+                    continue
+                own = base_spans(text)
+                taken = [(a, b, False) for _, a, b in own] + [(a, b, True) for a, b in candidates(text, own)]
+                for a, b in slots(text, taken, lefts, wanted):
+                    key.append(k.as_py())
+                    start.append(a)
+                    end.append(b)
+                    instance.append(text[a:b])
+                    patterns.append(_context(text, a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(instance, pa.string()), pa.array(patterns, pa.list_(pa.string()))], ["key", "start", "end", "instance", "patterns"])
+
+    return run
+
+
+def slot_places(documents: DataFrame, patterns: DataFrame, block_patterns: int = 200_000) -> DataFrame | None:
+    """(key, start, end, instance, patterns) of what stands in the slots of these patterns; stored, None without patterns."""
+    n = patterns.count()
+    texts, found = documents.select(row_key().alias("key"), "text"), None
+    n_blocks = -(-n // block_patterns)
+    for block in range(n_blocks):
+        wanted = frozenset(r["pattern"] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)) == block).toLocalIterator())
+        lefts = frozenset(p[2:].split(" ")[-1] if p[0] == "L" else p[2:].rpartition("|")[0] for p in wanted)
+        lefts |= frozenset(p[2:].partition("|")[0] for p in wanted if p[0] == "B")  # a word that holds the bar itself
+        part = texts.mapInArrow(_slots(documents.sparkSession.sparkContext.broadcast((lefts, wanted))), _SLOT)
+        found = part if found is None else found.union(part)
+    return None if found is None else stored(found.dropDuplicates(["key", "start", "end"]), "pii-slots")
+
+
 def row_key():
     return F.xxhash64("doc_id", "text")
 
 
-def bootstrap(places: DataFrame, rounds: int = 3, least: float = 0.9, support: int = 3, salts: int = 16) -> DataFrame:
-    """(instance, kind, confidence) of the discovered instances. places: kind (null for candidates), instance, patterns.
+def _salts(salts: int):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
 
-    A pattern counts for a kind from ``support`` distinct known instances on. Its confidence is shrunk, (known - 1) / all.
-    """
+
+def _edges(places: DataFrame, salts: int) -> DataFrame:
     salted = F.pmod(F.xxhash64("instance"), F.lit(salts)).alias("salt")
     edges = places.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")).select("*", salted)
-    edges = stored(edges, "pii-edges")
+    return stored(edges, "pii-edges")
+
+
+def _worth(edges: DataFrame, belief: DataFrame, support: int) -> DataFrame:
+    """(pattern, kind, worth) of the patterns that survive; stored."""
+    held = edges.drop("kind").join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("known"), F.count("*").alias("distinct_known"))
+    held = held.where(F.col("distinct_known") >= support)
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("all"))
+    return stored(held.join(sizes, "pattern").select("pattern", "kind", ((F.col("known") - 1) / F.col("all")).alias("worth")).where("worth > 0.5"), "pii-patterns")
+
+
+def bootstrap(documents: DataFrame, flat: DataFrame, rounds: int = 3, least: float = 0.9, support: int = 3, salts: int = 16, block_patterns: int = 200_000):
+    """(instance, kind, confidence) of the discovered instances, the surviving patterns, and the slots' places (None without any).
+
+    flat: kind (null for candidates), instance, patterns. A pattern counts for a kind from ``support`` distinct known
+    instances on. Its confidence is shrunk, (known - 1) / all.
+    """
+    flat = flat.select("kind", "instance", "patterns")
+    edges = _edges(flat, salts)
     known = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("confidence")).distinct()
-    found = known.limit(0)
+    found, asked, places = known.limit(0), None, None
     for _ in range(rounds):
         belief = known.unionByName(found)
-        held = edges.drop("kind").join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("known"), F.count("*").alias("distinct_known"))
-        held = held.where(F.col("distinct_known") >= support)
-        sizes = edges.groupBy("pattern").agg(F.count("*").alias("all"))
-        patterns = held.join(sizes, "pattern").select("pattern", "kind", ((F.col("known") - 1) / F.col("all")).alias("worth")).where("worth > 0.5")
-        patterns = patterns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        votes = edges.where("kind is null").drop("kind").join(patterns, ["pattern", "salt"])
+        patterns = _worth(edges, belief, support)
+        fresh = patterns.select("pattern").distinct()
+        fresh = fresh if asked is None else fresh.join(asked, "pattern", "left_anti")
+        fresh = stored(fresh, "pii-asked")
+        more = slot_places(documents, fresh, block_patterns)
+        asked = fresh if asked is None else asked.union(fresh)
+        if more is not None:  # what else stands in the slots counts for the patterns' worth as well
+            places = more if places is None else stored(places.union(more).dropDuplicates(["key", "start", "end"]), "pii-slots")
+            edges = _edges(flat.union(places.select(F.lit(None).cast("string").alias("kind"), "instance", "patterns")), salts)
+            patterns = _worth(edges, belief, support)
+        votes = edges.where("kind is null").drop("kind").join(patterns.select("*", _salts(salts)), ["pattern", "salt"])
         by_kind = votes.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999)))))).alias("confidence"))
         best = by_kind.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("instance", "best.kind", "best.confidence")
         found = stored(best.where(F.col("confidence") >= least), "pii-found")
-    return found
+    return found, patterns, places
 
 
-def discovered(places: DataFrame, salts: int = 16, **options) -> DataFrame:
+def discovered(documents: DataFrame, places: DataFrame, salts: int = 16, **options) -> DataFrame:
     """(key, more): the spans that the bootstrap adds to a text."""
     flat = places.select("key", F.explode("places").alias("p")).select("key", "p.*")
-    found = bootstrap(flat.select("kind", "instance", "patterns"), salts=salts, **options)
-    found = found.select("instance", F.col("kind").alias("_kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    open_ = flat.where("kind is null").select("key", "start", "end", "instance", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
-    spans = open_.join(found, ["instance", "salt"]).select("key", F.struct(F.col("_kind").alias("kind"), "start", "end").alias("span"))
+    found, patterns, slot = bootstrap(documents, flat, salts=salts, **options)
+    found = found.select("instance", F.col("kind").alias("_kind"), _salts(salts))
+    salt = F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt")
+    span = F.struct(F.col("_kind").alias("kind"), "start", "end").alias("span")
+    spans = flat.where("kind is null").select("key", "start", "end", "instance", salt).join(found, ["instance", "salt"]).select("key", span)
+    if slot is not None:
+        held = slot.select("key", "start", "end", "instance", salt, F.explode("patterns").alias("pattern")).join(patterns.select("pattern", F.col("kind").alias("_kind"), _salts(salts)), ["pattern", "salt"])
+        spans = spans.union(held.join(found, ["instance", "_kind", "salt"]).select("key", span))
     return spans.groupBy("key").agg(F.collect_set("span").alias("more"))  # the spans of one text
 
 
 def spans(documents: DataFrame, **options) -> DataFrame:
     """doc_id, base and more: arrays of (kind, start, end) in code points, end exclusive."""
     places = extracted(documents)
-    more = discovered(places, **options)
+    more = discovered(documents, places, **options)
     out = places.drop("places").join(more, "key", "left")
     return out.select("doc_id", "key", "base", F.coalesce("more", F.array().cast("array<struct<kind:string,start:long,end:long>>")).alias("more"))
 
@@ -190,7 +302,7 @@ def redacted(documents: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
 
     The few texts with discovered spans are broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond.
     """
-    more = stored(discovered(extracted(documents)), "pii-more")
+    more = stored(discovered(documents, extracted(documents)), "pii-more")
     side = more.select(F.col("key").alias("_pii_key"), F.col("more").alias("_pii_more"))
     if more.count() <= broadcast_rows:
         side = F.broadcast(side)
