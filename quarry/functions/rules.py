@@ -47,7 +47,7 @@ RULES = (
     Rule("relation_at_start", "critical", _some(lambda s: s.rlike(r"\{\s*[=<>]"))),
 )
 SEVERITIES = ("critical", "warning", "info")
-TYPE_RULES = ("missing_options", "wrong_options", "missing_blank")
+TYPE_RULES = ("options_type", "missing_options", "wrong_options", "missing_blank")
 
 
 def codes(text: Column, rules=RULES) -> Column:
@@ -74,14 +74,28 @@ def type_codes(kind: Column, content: Column, options: Column) -> Column:
     ))
 
 
-def issues(questions: DataFrame, key: str, content: str = "content", kind: str | None = "type", options: str | None = "options") -> DataFrame:
-    """(key, field, code, severity): one row per broken rule of the content, of each option and of the type."""
+def options_type(raw: Column) -> Column:
+    """Array with options_type (code, severity) if a question's raw JSON options are a list that isn't empty."""
+    listed = F.size(F.from_json(raw, "array<string>")) > 0
+    issue = F.struct(F.lit("options_type").alias("code"), F.lit("critical").alias("severity"))
+    return F.array_compact(F.array(F.when(raw.rlike(r"^\s*\[") & listed, issue)))
+
+
+def issues(questions: DataFrame, key: str, content: str = "content", kind: str | None = "type", options: str | None = "options", raw_options: str | None = None) -> DataFrame:
+    """(key, field, code, severity): one row per broken rule of the content, of each option and of the type.
+
+    raw_options names a column of the options' JSON as it was read; lists are told there, which a map can't hold.
+    """
     fields = F.array(F.struct(F.lit("content").alias("field"), F.col(content).alias("text")))
     if options:
         own = F.transform(F.map_entries(F.coalesce(options, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(F.lit("option "), e["key"]).alias("field"), e["value"].alias("text")))
         fields = F.concat(fields, own)
     rows = questions.select(key, F.explode(fields).alias("f")).select(key, "f.field", F.explode(codes(F.col("f.text"))).alias("i"))
     if kind and options:
-        more = questions.select(key, F.lit("question").alias("field"), F.explode(type_codes(F.col(kind), F.col(content), F.col(options))).alias("i"))
+        own = type_codes(F.col(kind), F.col(content), F.col(options))
+        if raw_options:  # a list isn't missing
+            listed = options_type(F.col(raw_options))
+            own = F.concat(listed, F.when(F.size(listed) > 0, F.filter(own, lambda i: i["code"] != "missing_options")).otherwise(own))
+        more = questions.select(key, F.lit("question").alias("field"), F.explode(own).alias("i"))
         rows = rows.unionByName(more)
     return rows.select(key, "field", "i.code", "i.severity")

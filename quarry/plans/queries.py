@@ -98,6 +98,14 @@ def _query(sql: str | None = None):
     return add
 
 
+def _by_severity(spark, issues):
+    """One row per question and severity first, so counting questions needs no distinct."""
+    per = issues.groupBy("severity", "ord").agg(F.count("*").alias("n")).groupBy("severity").agg(F.sum("n").alias("n"), F.count("*").alias("q"))
+    known = spark.createDataFrame([(s,) for s in rules.SEVERITIES], "severity string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return known.join(F.broadcast(per), "severity", "left").select("severity", zero(F.col("n")).alias("n_issues"), zero(F.col("q")).alias("n_questions"))
+
+
 @_query(f"WITH {ISSUES_SQL} SELECT code, severity, count(*) AS n_issues FROM i GROUP BY code, severity")
 def quality_summary(spark, sf_dir):
     return _issues(spark, sf_dir).groupBy("code", "severity").agg(F.count("*").alias("n_issues"))
@@ -105,11 +113,7 @@ def quality_summary(spark, sf_dir):
 
 @_query(f"WITH {ISSUES_SQL} SELECT s.severity, count(i.ord) AS n_issues, count(DISTINCT i.ord) AS n_questions FROM (VALUES ('critical'), ('warning'), ('info')) s(severity) LEFT JOIN i ON i.severity = s.severity GROUP BY s.severity")
 def issues_by_severity(spark, sf_dir):
-    """One row per question and severity first, so counting questions needs no distinct."""
-    per = _issues(spark, sf_dir).groupBy("severity", "ord").agg(F.count("*").alias("n")).groupBy("severity").agg(F.sum("n").alias("n"), F.count("*").alias("q"))
-    known = spark.createDataFrame([(s,) for s in rules.SEVERITIES], "severity string")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return known.join(F.broadcast(per), "severity", "left").select("severity", zero(F.col("n")).alias("n_issues"), zero(F.col("q")).alias("n_questions"))
+    return _by_severity(spark, _issues(spark, sf_dir))
 
 
 @_query(f"WITH {ISSUES_SQL} SELECT ord, string_agg(code, ',' ORDER BY code) AS codes FROM i GROUP BY ord")
@@ -118,6 +122,29 @@ def quality_report(spark, sf_dir):
     return found.where(F.size("c") > 0).select("ord", F.concat_ws(",", F.array_sort("c")).alias("codes"))
 
 
+def _all_issues(spark, sf_dir):
+    """Every rule over content, options and type. The options are those that the content holds, or null."""
+    d = docs(spark, sf_dir)
+    found = T.options(F.col("content"))
+    return rules.issues(d.withColumn("options", F.when(F.size(found) > 0, found)), "ord")
+
+
+@_query()
+def quality_summary_whole(spark, sf_dir):
+    return _all_issues(spark, sf_dir).groupBy("code", "severity").agg(F.count("*").alias("n_issues"))
+
+
+@_query()
+def issues_by_severity_whole(spark, sf_dir):
+    return _by_severity(spark, _all_issues(spark, sf_dir))
+
+
+@_query()
+def quality_report_whole(spark, sf_dir):
+    """Each question's codes, one for each field that breaks the rule."""
+    return _all_issues(spark, sf_dir).groupBy("ord").agg(F.concat_ws(",", F.array_sort(F.collect_list("code"))).alias("codes"))
+
+
 @_query()
 def malformed_frac(spark, sf_dir):
     only = tuple(r for r in rules.RULES if r.code == "malformed_frac")
