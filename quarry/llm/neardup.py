@@ -13,15 +13,20 @@ two bitmaps' XOR estimates their similarity, which orders and prunes a bucket's
 Links are confirmed on the full sets. Components are found by alternating large-star and small-star steps on tables in
 the shared folder. Nothing that grows with the documents reaches the driver.
 
-Edge cases: a null text or one without words has an empty set and is linked with nothing; a row without id is a
-component of its own (component_id null, kept). Repeated rows of one id and text get the same result. An empty table
-gives an empty result. Only named columns are read.
+A class is named by the number of its first row and holds (class, doc_id) rows, so rows that share an id but differ in
+text lose no link: their classes are of one component.
+
+Edge cases: a null text or one without words has an empty set and is linked with nothing (its id may stand in a component
+over another row); a row without id is a component of its own (component_id null, kept). Repeated rows of one id and text
+get the same result. Ties don't arise: the smallest id names a component. An empty table gives an empty result. Only named
+columns are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,8 +100,11 @@ def can_link(differing, sizes, filled, percent: int, deviations: float = 5.0):
 
 
 def _sign(batches):
+    task, done = TaskContext.get().partitionId(), 0
     for batch in batches:
         n, one, two, bands, sketches, filled = [], [], [], [], [], []
+        row = pa.array((task << 40) + done + np.arange(batch.num_rows))
+        done += batch.num_rows
         for _, _, data, offsets in _text.slices(batch.column("text")):
             sets = shingle_hashes(data, offsets)
             n += [len(s) for s in sets]
@@ -117,7 +125,7 @@ def _sign(batches):
                 filled.append(next(folded) if len(s) else 0)
         bounds = pa.array(np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32))
         lists = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(sketches, pa.binary()), pa.array(filled, pa.int32())], ["doc_id", "n_shingles", "one", "two", "bands", "sketch", "filled"])
+        yield pa.RecordBatch.from_arrays([row, batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(sketches, pa.binary()), pa.array(filled, pa.int32())], ["row", "doc_id", "h", "n_shingles", "one", "two", "bands", "sketch", "filled"])
 
 
 def _popcount(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -228,17 +236,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _sets(documents: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
-    """(id, sorted shingle hashes as bytes) of the documents with these ids; the ids are broadcast up to a checked number."""
+def _sets(documents: DataFrame, wanted: DataFrame, broadcast_ids: int) -> DataFrame:
+    """(id, sorted shingle hashes as bytes) of the wanted classes (id, doc_id, h: of one text of each); broadcast up to a checked number."""
 
     def run(batches):
         for batch in batches:
             out = [s.tobytes() for _, _, d, o in _text.slices(batch.column("text")) for s in shingle_hashes(d, o)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "set"])
 
-    wanted = ids.select(F.col("id").alias("doc_id"))
-    wanted = F.broadcast(wanted) if ids.count() <= broadcast_ids else wanted
-    return documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    side = wanted.select("id", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    side = F.broadcast(side) if wanted.count() <= broadcast_ids else side
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    texts = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def _confirm(percent: int):
@@ -254,15 +264,21 @@ def _confirm(percent: int):
     return run
 
 
-def classes(documents: DataFrame, percent: int = 85, chunk: int = 4096, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id, kept) of every document, and the confirmed links (a, b) between classes.
+def signed(documents: DataFrame) -> DataFrame:
+    """A row for each document with a number of its own (row), the hash of its text (h), the fingerprint of its set (one, two), bands and sketch; stored."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return stored(rows.mapInArrow(_sign, "row long, doc_id long, h long, n_shingles long, one long, two long, bands array<long>, sketch binary, filled int"), "signed")
 
-    percent: least 100 * intersection / union of a link. chunk: most classes that one task compares with each other at once.
+
+def linked_classes(documents: DataFrame, rows: DataFrame, percent: int, chunk: int, broadcast_ids: int, same: bool) -> tuple[DataFrame, DataFrame]:
+    """(one, two, id, doc_id, component) of every class, doc_id its smallest, and the confirmed links (a, b) between class ids.
+
+    rows: signed rows whose sets aren't empty. A class holds all rows of one set, its id is the smallest of their row
+    numbers. same: classes that share a doc_id are of one component as well.
     """
-    signed = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch binary, filled int"), "signed")
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(usable.groupBy("one", "two").agg(F.min("doc_id").alias("id")), "classes")
-    members = usable.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch", "n_shingles", "filled").dropDuplicates(["id"])
+    reps = rows.groupBy("one", "two").agg(F.min(F.struct("row", "doc_id", "h")).alias("r"), F.min("doc_id").alias("doc_id"))
+    reps = stored(reps.select("one", "two", F.col("r.row").alias("id"), "doc_id", F.col("r.doc_id").alias("_id"), F.col("r.h").alias("h")), "classes")
+    members = rows.join(reps.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "bands", "sketch", "n_shingles", "filled")
     members = stored(members, "members")
     banded = members.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -275,10 +291,14 @@ def classes(documents: DataFrame, percent: int = 85, chunk: int = 4096, broadcas
         return dealt.select("key", "part", "id", "component", "n_shingles", "filled", "sketch", *([] if forest else ["p", "bands"])).mapInArrow(_pairs(percent, forest), "a long, b long").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sets = stored(_sets(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), broadcast_ids), "sets")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = reps.select("id", F.col("_id").alias("doc_id"), "h").join(ids, "id", "left_semi")
+        sets = stored(_sets(documents, wanted, broadcast_ids), "sets")
         one = sets.select(F.col("id").alias("a"), F.col("set").alias("one"))
         two = sets.select(F.col("id").alias("b"), F.col("set").alias("two"))
-        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "links")
+        out = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "links")
+        drop(sets)
+        return out
 
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     first = stored(candidates(buckets.select("key", part.alias("part"), "id", F.col("id").alias("component")), True), "pairs")
@@ -292,25 +312,87 @@ def classes(documents: DataFrame, percent: int = 85, chunk: int = 4096, broadcas
     open_ = open_.select("key", "id", "component", "p", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.greatest(q, F.col("p")) * 65536 + F.least(q, F.col("p")))).alias("part"))
     second = candidates(open_, False).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     second = stored(second, "pairs")
-    links = tested.where("linked").select("a", "b")
+    links, again = tested.where("linked").select("a", "b"), False
     if not second.isEmpty():
-        links = stored(links.union(confirmed(second).where("linked").select("a", "b")), "links")
-        found = components(links)
-    named = stored(reps.join(found, "id", "left").select("one", "two", F.coalesce("component", "id").alias("component_id")), "named")
+        links, again = stored(links.union(confirmed(second).where("linked").select("a", "b")), "links"), True
+    joined = links
+    if same:
+        shared = rows.groupBy("doc_id").agg(F.min(F.struct("one", "two")).alias("low"), F.max(F.struct("one", "two")).alias("high")).where("low <> high").select("doc_id")
+        held = rows.select("doc_id", "one", "two").join(shared, "doc_id", "left_semi").join(reps.select("one", "two", "id"), ["one", "two"]).select("doc_id", "id").distinct()
+        held = stored(held, "shared")
+        if not held.isEmpty():
+            least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+            joined, again = links.union(held.join(least, "doc_id").where("a <> id").select("a", F.col("id").alias("b"))), True
+    found = components(joined) if again else found
+    named = stored(reps.join(found, "id", "left").select("one", "two", "id", "doc_id", F.coalesce("component", "id").alias("component")), "named")
+    for done in (first, second, buckets, labelled, members, reps):
+        drop(done)
+    return named, links
+
+
+def classes(documents: DataFrame, percent: int = 85, chunk: int = 4096, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, component_id, kept) of every document, and the confirmed links (a, b) between classes.
+
+    percent: least 100 * intersection / union of a link. chunk: most classes that one task compares with each other at once.
+    """
+    rows = signed(documents)
+    usable = rows.where("n_shingles > 0 and doc_id is not null")
+    named, links = linked_classes(documents, usable, percent, chunk, broadcast_ids, True)
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.select("one", "two", "component").join(least, "component").select("one", "two", "component_id")
     linked = usable.select("doc_id", "n_shingles", "one", "two").join(named, ["one", "two"]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if not alone.where("doc_id is not null").isEmpty():  # a text without words may share its id with one that is linked
+        other = linked.groupBy("doc_id").agg(F.min("component_id").alias("other"))
+        alone = alone.join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("other", "component_id").alias("component_id"))
     every = linked.union(alone)
     return every.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), links
 
 
 def deduplicated(documents: DataFrame, percent: int = 80, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """One document (the smallest id) of each group stays, with its columns."""
-    gone = stored(classes(documents, percent)[0].where("not kept").select("doc_id").distinct(), "gone")
-    name = "_gone_id"
-    side = gone.withColumnRenamed("doc_id", name)
-    side = F.broadcast(side) if gone.count() <= broadcast_ids else side
-    return documents.join(side, documents["doc_id"] == side[name], "left_anti")
+    """One document of each group stays, with its columns: that of the smallest id (nulls last), then of the smallest text hash.
+
+    Groups are of texts, whatever their ids: rows that share an id but no words stay both. Of rows equal in id and text one
+    stays, which one of them isn't fixed; texts without words all stay.
+    """
+    rows = signed(documents)
+    usable = rows.where("n_shingles > 0")
+    named, _ = linked_classes(documents, usable, percent, 4096, broadcast_ids, False)
+    member = usable.select("doc_id", "h", "one", "two").join(named.select("one", "two", "component"), ["one", "two"])
+    member = stored(member.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n")), "member")
+    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "h")
+    least = member.groupBy("component").agg(F.min(rank).alias("least"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    gone = member.join(least, "component").where(rank != F.col("least")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    gone = stored(gone, "gone")
+    again = stored(member.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).join(gone, (F.col("_id").eqNullSafe(gone["_id"])) & (F.col("_h") == gone["_h"]), "left_anti"), "again")
+    drop(member)
+    some = lambda side: F.broadcast(side) if side.count() <= broadcast_ids else side
+    the_same = documents["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"]) == F.col("_h"))
+    out = documents.join(some(gone), the_same, "left_anti")
+    if again.isEmpty():
+        return out
+    side = some(again)
+    return out.join(side, the_same, "left_anti").unionByName(out.join(side, the_same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+u AS (SELECT r, len(w) AS n_words, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+v AS (SELECT r, n_words, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS g FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+x0 AS (SELECT DISTINCT r, g FROM v WHERE g IS NOT NULL UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+f AS (SELECT r, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS f FROM x0 GROUP BY r),
+s AS (SELECT d.r, doc_id, coalesce(n, 0) AS n, f FROM d LEFT JOIN f USING (r)),
+k AS (SELECT f, min(r) AS c, any_value(n) AS n FROM s WHERE n > 0 AND doc_id IS NOT NULL GROUP BY f),
+x AS (SELECT c, n, g FROM k JOIN x0 ON x0.r = k.c),
+p AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+m AS (SELECT s.doc_id, k.c FROM s JOIN k ON s.f = k.f WHERE s.doc_id IS NOT NULL),
+e AS (SELECT u.doc_id AS a, v.doc_id AS b FROM p JOIN m u ON u.c = p.a JOIN m v ON v.c = p.b UNION SELECT min(doc_id) OVER (PARTITION BY c), doc_id FROM m),
+l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+z(doc_id, c) AS (SELECT DISTINCT doc_id, doc_id FROM s WHERE doc_id IS NOT NULL UNION SELECT z.doc_id, l.b FROM z JOIN l ON z.c = l.a),
+t AS (SELECT doc_id, min(c) AS c FROM z GROUP BY doc_id)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, t.c AS component_id, coalesce(s.doc_id = t.c, true) AS kept FROM s LEFT JOIN t ON s.doc_id = t.doc_id
+"""

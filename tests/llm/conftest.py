@@ -40,6 +40,10 @@ def odd_tables():
         (20, "été ÀÉ naïve K \U0001f600 x y żółć", "é"), (21, "a" * 500, "z"), (22, "ab" * 300, "z"), (23, prose(30_000), "a"), (24, "x" * 8_000, "a"),
         (25, f"{shared} {shared}", "b"), (26, "mit license " * 40, "b"),
     ]
+    # rows that share an id but not their text, and the near copies of each
+    one, two, three = prose(60), prose(70), prose(50)
+    near_one, near_two = (f"{x} more" for x in (one, two))
+    documents += [(100, one, "a"), (100, two, "b"), (101, near_one, "a"), (102, near_two, "a"), (103, three, "a"), (103, one, "c"), (104, three, "b"), (104, three, "b"), (105, "", "b"), (105, near_two, "b")]
     documents += [(30 + k, prose(r.randint(0, 90)), r.choice("ab")) for k in range(60)]
     labels = [(30 + k, k % 2, int(k % 5 == 0)) for k in range(60)] + [(30, 1, 1), (None, 1, 1), (31, None, None), (999, 1, 0)]
     benchmark = [(1, item), (2, "one two"), (3, None), (4, ""), (None, item), (5, prose(40)), (5, "five four"), (10, item)]

@@ -194,3 +194,24 @@ def test_language_model_sums_to_one(spark):
 
     rest = np.sort(counts.toPandas()["n"].to_numpy())[::-1][50:]
     assert (10 ** model.within_other(rest)).sum() + 10 ** model.within_other(np.zeros(1))[0] < 1 + 1e-6
+
+
+def test_deduplicated_keeps_one_text_of_each_group(spark, odd):
+    """By brute force over rows: groups of texts whatever their ids, one row of each, all texts without words."""
+    rows = some(odd)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in (words(t, TOKEN) for _, t in rows)]
+    group = list(range(len(rows)))
+    for k in range(len(rows)):
+        for j in range(k):
+            if sets[k] and 100 * len(sets[k] & sets[j]) >= 80 * len(sets[k] | sets[j]) and group[k] != group[j]:
+                group = [group[j] if g == group[k] else g for g in group]
+    kept = spark.read.parquet(f"{odd}/documents.parquet")
+    kept = Counter((r["doc_id"], r["text"]) for r in neardup.deduplicated(kept, 80).collect())
+    want = Counter(rows[k] for k in range(len(rows)) if not sets[k])
+    for g in {g for k, g in enumerate(group) if sets[k]}:
+        own = {rows[k] for k in range(len(rows)) if group[k] == g}
+        staying = [x for x in own if x in kept]
+        least = min(own, key=lambda x: (x[0] is None, x[0] or 0))[0]
+        assert len(staying) == 1 and staying[0][0] == least
+        want[staying[0]] += 1
+    assert kept == want
