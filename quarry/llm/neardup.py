@@ -361,10 +361,9 @@ def deduplicated(documents: DataFrame, percent: int = 80, broadcast_ids: int = 1
     member = usable.select("doc_id", "h", "one", "two").join(named.select("one", "two", "component"), ["one", "two"])
     member = stored(member.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n")), "member")
     rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "h")
-    least = member.groupBy("component").agg(F.min(rank).alias("least"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
-    gone = member.join(least, "component").where(rank != F.col("least")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    gone = stored(gone, "gone")
-    again = stored(member.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).join(gone, (F.col("_id").eqNullSafe(gone["_id"])) & (F.col("_h") == gone["_h"]), "left_anti"), "again")
+    least = member.groupBy("component").agg(F.min(rank).alias("least"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    told = stored(member.join(least, "component").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (rank != F.col("least")).alias("goes"), "n"), "told")
+    gone, again = told.where("goes").select("_id", "_h"), told.where("not goes and n > 1").select("_id", "_h")
     drop(member)
     some = lambda side: F.broadcast(side) if side.count() <= broadcast_ids else side
     the_same = documents["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"]) == F.col("_h"))
