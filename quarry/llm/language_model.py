@@ -1,147 +1,95 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model.
-
-Tokens are words and one end per text. The ``classes`` most frequent training words, the end, and one class for every
-other word form the model's vocabulary. A restaurant for each previous word (context) seats its followers; every table it
-opens sends a customer to the unigram restaurant that all contexts share as their parent; the parent's base is uniform.
-Seats are sampled by Gibbs sweeps: the number of tables of each dish given all other tables of its restaurant, from the
-generalised Stirling numbers (dishes of up to ``EXACT`` customers), or by seating its customers anew (more customers). Predictive probabilities are averaged over the samples after the first sweeps.
-A word outside the vocabulary is scored by its class and, within it, by a Pitman-Yor restaurant over all rarer words.
-
-Word counts, the vocabulary's rank and all bigrams are counted over every training document. The bigram table has at
-most (classes + 2) squared rows whatever the input, so it may be sent to all tasks. Counts of the ``frequent`` most
-frequent words are sent too; rarer words are joined with their counts by a shuffle.
-
-Edge cases: a null or empty text has its end token only. A row's tokens are joined back by a row key written with the
-scored table, so repeated rows and null ids are scored each for itself. Without training documents, all probabilities are
-those of the base. An empty table gives an empty result. Only named columns are read.
+"""Language-model scoring with a hierarchical Pitman-Yor model over the whole vocabulary.
+
+Tokens are words and one end per text. Every word (and the start of a text) is a context with a restaurant of its own that
+seats its followers; every table it opens sends a customer to the unigram restaurant that all contexts share as their
+parent; the parent's base is uniform over all words and one unknown word. Seats are sampled by Gibbs sweeps (``seating``).
+Predictive probabilities are formed of tables and parent probabilities averaged over the sweeps after ``burn_in``:
+p(w | u) = (c - d t + (strength + d t_u) p(w)) / (strength + c_u).
+
+Nothing is left out and nothing that grows with the input reaches the driver or one task:
+
+* Word and pair counts are tables. A pair seen once has one table, so only its numbers by context and by word are kept;
+  pairs seen more often are the sampler's state, dealt by context (of more than ``split`` dishes: by context and word).
+  A context that is dealt to several tasks, and the parent, are updated from their totals of the sweep before.
+* Pairs are counted and scored in ``blocks`` blocks of contexts, one after another, so that the shuffles of one block at a
+  time are on disk.
+* ln p(w | u) = ln of the context's share for its parent + ln p(w) + ln(1 + gain) with gain only for seen pairs. The first
+  two are looked up by word, the gain by pair: in a shuffle by pair, where the training texts' own occurrences tell whether
+  the pair was seen once. The ``frequent`` most frequent words and pairs are sent to all tasks instead and looked up
+  there, so that no pair that a shuffle brings together holds a large share of the rows.
+
+Edge cases: a null or empty text has its end token only. Repeated rows and null ids are scored each for itself. Words and
+pairs of equal counts are treated alike, so ties don't matter. Without training documents all probabilities are those of
+the base. An empty table gives an empty result. Only named columns are read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _text
-from ._store import held_out, stored, table
-
-END_HASH = np.uint64(0)
-EXACT = 64
-_NEGATIVE = -1e300
-
-
-def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
-    """ln of the generalised Stirling numbers S(c, t) for discount d: S(c+1, t) = S(c, t-1) + (c - t d) S(c, t)."""
-    out = np.full((most + 1, most + 1), _NEGATIVE)
-    out[0, 0] = 0.0
-    for c in range(most):
-        t = np.arange(1, c + 2)
-        stay = np.where(c - t * discount > 0, np.log(np.maximum(c - t * discount, 1e-300)) + out[c, t], _NEGATIVE)
-        out[c + 1, t] = np.logaddexp(out[c, t - 1], stay)
-    return out
-
+from . import _text, seating
+from ._store import drop, held_out, stored, table
 
-def seat(restaurant: np.ndarray, customers: np.ndarray, tables: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator, blocks: int = 4) -> np.ndarray:
-    """One Gibbs sweep: new table counts of every dish. Dishes are updated in blocks; each sees the others' latest tables."""
-    tables, n_rest = tables.copy(), int(restaurant.max()) + 1 if len(restaurant) else 0
-    stirling = log_stirling(discount)
-    part = rng.integers(0, blocks, len(customers))
-    for block in range(blocks):
-        total = np.bincount(restaurant, tables, n_rest)
-        own = np.flatnonzero((part == block) & (customers > 1))
-        for c in np.unique(np.minimum(customers[own], EXACT + 1)):
-            some = own[np.minimum(customers[own], EXACT + 1) == c]
-            for at in range(0, len(some), 50_000):
-                k = some[at : at + 50_000]
-                others = total[restaurant[k]] - tables[k]
-                if c <= EXACT:
-                    t = np.arange(1, c + 1)
-                    opening = np.log(np.maximum(strength + discount * (others[:, None] + t - 1), 1e-300)).cumsum(1)
-                    weight = stirling[c, t] + t * np.log(np.maximum(base[k], 1e-300))[:, None] + opening
-                    tables[k] = 1 + (weight + rng.gumbel(size=weight.shape)).argmax(1)
-                else:
-                    tables[k] = _seat_anew(customers[k], others, base[k], discount, strength, rng)
-    return tables
-
-
-def _seat_anew(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating the customers one after another; from the 100th on, 2 % of those seated come at once and share one chance of a new table."""
-    tables, at = np.ones(len(customers), np.int64), np.ones(len(customers), np.int64)
-    busy = np.arange(len(customers))
-    while len(busy):
-        rate = (strength + discount * (others[busy] + tables[busy])) * base[busy]
-        coming = np.minimum(np.maximum(at[busy] // 50, 1), customers[busy] - at[busy])
-        tables[busy] += rng.binomial(coming, rate / (at[busy] - discount * tables[busy] + rate))
-        at[busy] += coming
-        busy = busy[at[busy] < customers[busy]]
-    return tables
-
-
-class Words:
-    """Word hashes by rank: classes, and the counts of the frequent words."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        rank = np.empty(len(hashes), np.int64)
-        rank[np.arange(len(hashes))] = order
-        self.number = np.where(rank < classes, rank, classes).astype(np.int64)  # classes: any other word
-        self.other, self.start = classes, classes + 1
+END, START = np.uint64(0), np.uint64(1)
+_CHUNK = 4_000_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The token hashes of a slice, with each text's end, and the index of each text's first token."""
     starts, ends, first = _text.word_bounds(data, offsets, _text.SPACE)
     hashes = _text.word_hashes(data, starts, ends)
-    return np.insert(hashes, first[1:], END_HASH), first + np.arange(len(first))
+    return np.insert(hashes, first[1:], END), first + np.arange(len(first))
+
 
+def contexts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[first[:-1]] = START
+    return before
 
-def _word_counts(batches):
-    waiting, held = [], 0
 
-    def flush():
-        words, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *waiting]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _text.mix(_text.mix(context) + word * np.uint64(0x9E3779B97F4A7C15))
 
-    for batch in batches:
-        for _, _, data, offsets in _text.slices(batch.column("text")):
-            waiting.append(tokens(data, offsets)[0])
-            held += len(waiting[-1])
-            if held > 4_000_000:
-                yield flush()
-                waiting, held = [], 0
-    yield flush()
 
+def _in_block(context: np.ndarray, block: int, blocks: int) -> np.ndarray:
+    return _text.mix(context ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(blocks) == block
 
-def numbered(words: Words, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: its class, the class before it (a start at each text's head), and its place among the frequent words or -1."""
-    at = _text.lookup(words.hashes, hashes)
-    own = np.where(at >= 0, words.number[at] if len(words.number) else words.other, words.other)
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[first[:-1]] = words.start
-    return own, before, at
 
+def _counted(block: int | None, blocks: int = 1):
+    """Counts of words (block None) or of the pairs of a block of contexts: in the texts to learn from, and in all."""
 
-def _pair_counts(sent):
     def run(batches):
-        words, counts = sent.value, {}
-        width = words.start + 1
         waiting, held = [], 0
 
         def flush():
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *waiting]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)], ["context", "word", "n"])
+            context, word, train = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
+            order = np.argsort(word if block is None else pair_keys(context, word))
+            context, word, train = context[order], word[order], train[order].astype(np.int64)
+            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])])) if len(word) else np.zeros(0, np.int64)
+            n = np.add.reduceat(train, new) if len(new) else np.zeros(0, np.int64)
+            columns = [pa.array(context[new].view(np.int64)), pa.array(word[new].view(np.int64)), pa.array(n), pa.array(np.diff(np.append(new, len(word))))]
+            return pa.RecordBatch.from_arrays(columns, ["context", "word", "n", "every"])
 
-        del counts
         for batch in batches:
-            for _, _, data, offsets in _text.slices(batch.column("text")):
-                own, before, _ = numbered(words, *tokens(data, offsets))
-                waiting.append(before * width + own)
-                held += len(own)
-                if held > 4_000_000:
+            learns = batch.column("train").to_numpy(zero_copy_only=False)
+            for i, _, data, offsets in _text.slices(batch.column("text")):
+                word, first = tokens(data, offsets)
+                train = np.repeat(learns[i : i + len(first) - 1], np.diff(first))
+                context = np.zeros_like(word) if block is None else contexts(word, first)
+                if blocks > 1:
+                    own = _in_block(context, block, blocks)
+                    context, word, train = context[own], word[own], train[own]
+                waiting.append((context, word, train))
+                held += len(word)
+                if held > _CHUNK:
                     yield flush()
                     waiting, held = [], 0
         yield flush()
@@ -149,156 +97,288 @@ def _pair_counts(sent):
     return run
 
 
+_COUNTS = "context long, word long, n long, every long"
+
+
+def _rank():
+    return F.floor(F.log2("every") * 8)
+
+
+def _limit(counts: DataFrame, most: int) -> int:
+    """The smallest bucket of counts from which on there are at most ``most`` rows, from a histogram of a few hundred rows."""
+    left, out = most, 1 << 30
+    for bucket, n in sorted(((r["b"], r["n"]) for r in counts.groupBy(_rank().alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        out = bucket
+    return out
+
+
+@dataclass
 class Model:
-    """What scoring needs; its size is bounded by the vocabulary."""
-
-    def __init__(self, words, table, n_train, n_types, other_total, other_types, other_discount, other_tables_rate):
-        self.words, self.table, self.n_train, self.n_types = words, table, n_train, n_types
-        self.other_total, self.other_types, self.other_discount, self.other_new = other_total, other_types, other_discount, other_tables_rate
-
-    def base_log(self, counts):
-        return np.log10((counts + 0.5) / (self.n_train + 0.5 * (self.n_types + 1)))
-
-    def within_other(self, counts):
-        """log10 probability of a word within the class of all other words."""
-        seen = np.maximum(counts - self.other_discount, 0.0)
-        return np.log10((seen + self.other_new / (self.other_types + 1)) / (1.0 + self.other_total))
-
-
-def _discount(counts: np.ndarray) -> float:
-    one, two = float((counts == 1).sum()), float((counts == 2).sum())
-    return float(np.clip(one / (one + 2 * two) if one else 0.5, 0.1, 0.95))
-
-
-def fit(train: DataFrame, classes: int = 2048, frequent: int = 1 << 18, sweeps: int = 6, burn_in: int = 3, strength: float = 1.0, seed: int = 7) -> tuple[Model, DataFrame]:
-    """The model and the (word, n) counts of all training tokens, stored."""
-    spark = train.sparkSession
-    counts = stored(train.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    words = Words(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), classes)
-    width = classes + 2
-    sent = spark.sparkContext.broadcast(words)
-    pairs = stored(train.select("text").mapInArrow(_pair_counts(sent), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")), "pairs")
-    # restaurants are whole in one task: a context has at most width dishes
-    hyper = pairs.agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-    discount = float(np.clip(hyper["one"] / max(hyper["one"] + 2 * hyper["two"], 1), 0.1, 0.95))
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state = stored(pairs.select("context", "word", "n", F.lit(1).cast("long").alias("tables"), F.lit(0.0).alias("kept")).repartition(n_tasks, "context"), "seats")
-    rng = np.random.default_rng(seed)
-    parent = np.full(width, 1 / width)
-    parent_tables, n_samples, guests = None, 0, np.zeros(width)
-    table_ = np.zeros((width, width), np.float32)  # a running sum, so that one table is held however many sweeps count
-    for sweep in range(sweeps):
-        keep = sweep >= burn_in
-        state = stored(state.repartition(n_tasks, "context").sortWithinPartitions("context", "word").mapInArrow(_sweep(parent, discount, strength, seed + sweep, keep), state.schema), "seats")
-        sums = state.groupBy("word").agg(F.sum("tables").alias("t")).collect()  # a row per word of the vocabulary
-        customers = np.zeros(width, np.int64)
-        customers[[r["word"] for r in sums]] = [r["t"] for r in sums]
-        eaten = np.flatnonzero(customers)
-        parent_discount = 0.5
-        current = np.ones(len(eaten), np.int64) if parent_tables is None else np.minimum(parent_tables[eaten], customers[eaten])
-        parent_tables = np.zeros(width, np.int64)
-        parent_tables[eaten] = seat(np.zeros(len(eaten), np.int64), customers[eaten], np.maximum(current, 1), np.full(len(eaten), 1 / width), parent_discount, strength, rng)
-        opened, n = parent_tables.sum(), customers.sum()
-        parent = (np.maximum(customers - parent_discount * parent_tables, 0) + (strength + parent_discount * opened) / width) / (strength + n)
-        if keep:
-            rows = state.groupBy("context").agg(F.sum("tables").alias("t"), F.sum("n").alias("n")).collect()  # a row per context
-            opened_by, guests = np.zeros(width), np.zeros(width)
-            opened_by[[r["context"] for r in rows]] = [r["t"] for r in rows]
-            guests[[r["context"] for r in rows]] = [r["n"] for r in rows]
-            n_samples += 1
-            for context in range(width):
-                table_[context] += (strength + discount * opened_by[context]) * parent
-    table_ = table_ / n_samples if n_samples else np.full((width, width), 1 / width, np.float32)
-    masses = state.select("context", "word", (F.col("n") - discount * F.col("kept") / max(n_samples, 1)).alias("mass")).mapInArrow(_packed, "cell binary, mass binary")
-    for row in masses.toLocalIterator():  # eight bytes for each pair of the vocabulary at most, a task at a time
-        table_.reshape(-1)[_place(row["cell"], width)] += np.frombuffer(row["mass"], np.float32)
-    table_ /= (strength + guests)[:, None].astype(np.float32)
-    np.log10(table_, out=table_)
-    n_train, n_types = int(total["n"] or 0), int(total["types"] or 0)
-    named = words.number < classes
-    other_total, other_types = n_train - int(words.counts[named].sum()), n_types - int(named.sum())
-    other_discount = float(np.clip(total["one"] / max(total["one"] + 2 * total["two"], 1), 0.1, 0.95)) if total["one"] else 0.5
-    return Model(words, table_, n_train, n_types, other_total, other_types, other_discount, 1.0 + other_discount * other_types), counts
-
-
-def _place(cells: bytes, width: int) -> np.ndarray:
-    cell = np.frombuffer(cells, np.uint32).astype(np.int64)
-    return (cell >> 16) * width + (cell & 0xFFFF)
-
-
-def _packed(batches):
-    """Each batch's contexts and words (16 bits each, so up to 65,000 classes) and their masses, as bytes of one row."""
-    for batch in batches:
-        context, word, mass = (batch.column(c).to_numpy() for c in ("context", "word", "mass"))
-        cell = (context << 16 | word).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([cell.tobytes()], pa.binary()), pa.array([mass.astype(np.float32).tobytes()], pa.binary())], ["cell", "mass"])
-
-
-def _sweep(parent: np.ndarray, discount: float, strength: float, seed: int, keep: bool):
+    """Tables of the fit and the scalars of scoring."""
+
+    words: DataFrame  # word, n, every, log_p, log_t, bow: log10 of p(w), of strength + d t_u and of the parent's share
+    repeated: DataFrame  # context, word, every, weight: of pairs that stand in all texts more than once
+    word_limit: int
+    pair_limit: int
+    n_train: int
+    n_types: int
+    unknown: float  # log10 of p of the unknown word
+    start: tuple[float, float]  # log_t and bow of a text's start
+    discount: float
+    strength: float
+
+    def base_log(self, n):
+        return np.log10((np.asarray(n, float) + 0.5) / (self.n_train + 0.5 * (self.n_types + 1)))
+
+
+_STATE = "context long, word long, n long, every long, tables long, kept double, part int"
+
+
+def _seated(discount: float, strength: float, seed: int, keep: bool, rows: int = 500_000):
+    """One sweep over batches sorted by (context, part). A row without word tells the tables of the context's pairs seen once."""
+
+    def sampled(t: pa.Table, rng) -> pa.RecordBatch:
+        word, n, tables, kept, p, total = (t.column(c).to_numpy() for c in ("word", "n", "tables", "kept", "p", "total"))
+        context, part = t.column("context").to_numpy(), t.column("part").to_numpy()
+        new = np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
+        number = np.cumsum(new) - 1
+        totals = np.where(np.isnan(total[new]), np.bincount(number, tables), total[new])
+        tables = seating.sweep(number, n, tables, totals, np.nan_to_num(p), discount, strength, rng)
+        columns = [t.column("context"), t.column("word"), t.column("n"), t.column("every"), pa.array(tables), pa.array(kept + tables * float(keep)), t.column("part")]
+        return pa.Table.from_arrays(columns, ["context", "word", "n", "every", "tables", "kept", "part"])
+
     def run(batches):
-        batches = list(batches)  # this task's restaurants, bounded by the vocabulary
-        if not batches:
-            return
-        whole = pa.Table.from_batches(batches)
-        context, word, n, tables, kept = (whole.column(c).to_numpy() for c in ("context", "word", "n", "tables", "kept"))
-        number = np.unique(context, return_inverse=True)[1]
-        rng = np.random.default_rng([seed, int(context[0]) if len(context) else 0])
-        tables = seat(number, n, tables, parent[word], discount, strength, rng)
-        yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(word), pa.array(n), pa.array(tables), pa.array(kept + tables * float(keep))], ["context", "word", "n", "tables", "kept"])
+        rng, waiting, held = np.random.default_rng([seed, TaskContext.get().partitionId()]), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            held += batch.num_rows
+            if held < rows:
+                continue
+            whole = pa.Table.from_batches(waiting)  # up to the last whole restaurant
+            context, part = whole.column("context").to_numpy(), whole.column("part").to_numpy()
+            cut = int(((context != context[-1]) | (part != part[-1])).sum())
+            if cut:
+                yield from sampled(whole.slice(0, cut), rng).to_batches()
+                waiting, held = whole.slice(cut).to_batches(), len(whole) - cut
+        if waiting:
+            yield from sampled(pa.Table.from_batches(waiting), rng).to_batches()
 
     return run
 
 
-def _score(sent):
+def _parent(total: float, discount: float, strength: float, types: int, seed: int):
+    """The parent's tables, each dish from the total of the sweep before."""
+
+    def run(batches):
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            customers, tables = batch.column("customers").to_numpy(), batch.column("tables").to_numpy()
+            others = np.maximum(total - tables, 0).astype(float)
+            tables = seating.draw(customers, np.minimum(np.maximum(tables, np.minimum(customers, 1)), customers), others, np.full(len(customers), 1 / (types + 1)), discount, strength, rng)
+            yield batch.set_column(batch.schema.get_field_index("tables"), "tables", pa.array(tables))
+
+    return run
+
+
+def _of_two(one: int, two: int) -> float:
+    """A discount from the numbers of dishes with one and with two customers."""
+    return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
+
+
+def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, frequent: int = 1 << 18, blocks: int = 4, split: int = 200_000, seed: int = 7) -> Model:
+    """Learn from the rows of ``documents`` for which ``learns`` holds; the counts of the others only choose what is sent to all tasks."""
+    spark = documents.sparkSession
+    texts = documents.select(F.coalesce(learns, F.lit(False)).alias("train"), "text")
+    total = lambda c: F.sum(c).alias(c)
+    counts = stored(texts.mapInArrow(_counted(None), _COUNTS).groupBy("word").agg(total("n"), total("every")), "words")
+    size = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("types"), F.sum(F.when(F.col("word") == 0, F.col("n"))).alias("texts")).first()
+    n_train, n_types, n_texts = (int(size[c] or 0) for c in ("n", "types", "texts"))
+    repeated, by_context, by_word = [], [], []
+    for block in range(blocks):
+        pairs = stored(texts.mapInArrow(_counted(block, blocks), _COUNTS).groupBy("context", "word").agg(total("n"), total("every")), "pairs")
+        repeated.append(stored(pairs.where("every > 1"), "repeated"))
+        once = pairs.where("n = 1")
+        by_context.append(stored(once.groupBy("context").agg(F.count("*").alias("once")), "once"))
+        by_word.append(stored(once.groupBy("word").agg(F.count("*").alias("once")), "once"))
+        drop(pairs)
+    every = lambda parts: reduce(DataFrame.union, parts)
+    once_by_context = every(by_context)
+    once_by_word = every(by_word).groupBy("word").agg(total("once"))
+    pairs = every(repeated)
+    ones, twos = once_by_context.agg(F.sum("once")).first()[0] or 0, pairs.where("n = 2").count()
+    discount = _of_two(ones, twos)
+    zero = F.lit(0).cast("long")
+    seen = pairs.where("n > 1")
+    hot = stored(seen.groupBy("context").agg(F.count("*").alias("dishes")).where(F.col("dishes") > split).select("context", F.ceil(F.col("dishes") / split).cast("int").alias("parts")), "hot")
+    hot = None if hot.isEmpty() else hot
+    none = F.lit(0).alias("part")
+    state = seen.select("context", "word", "n", "every", F.lit(1).cast("long").alias("tables"), F.lit(0.0).alias("kept"), none)
+    state = state.union(once_by_context.select("context", F.lit(None).cast("long"), zero, zero, "once", F.lit(0.0), none))
+    if hot is not None:
+        state = state.join(hot, "context", "left").withColumn("part", F.pmod(F.xxhash64("word"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    parents = counts.join(once_by_word, "word", "left").select("word", "n", "every", F.coalesce("once", zero).alias("once"), zero.alias("customers"), zero.alias("tables"), F.lit(0.0).alias("p"), F.lit(0.0).alias("kept"))
+    n_tasks, parent_discount, parent_tables, samples, unknown = int(spark.conf.get("spark.sql.shuffle.partitions")), 0.5, 0, 0, 0.0
+    old = []
+    for sweep in range(sweeps + 1):  # the first round only seats the parent
+        keep = sweep > burn_in
+        guests = state.where("word is not null").groupBy("word").agg(F.sum("tables").alias("guests"))
+        parents = parents.join(guests, "word", "left").withColumn("customers", F.col("once") + F.coalesce("guests", zero)).drop("guests")
+        parents = stored(parents.mapInArrow(_parent(parent_tables, parent_discount, strength, n_types, seed + sweep), parents.schema), "parents")
+        told = parents.agg(F.sum("customers"), F.sum("tables")).first()
+        customers, parent_tables = int(told[0] or 0), int(told[1] or 0)
+        base = (strength + parent_discount * parent_tables) / (n_types + 1)
+        p = (F.col("customers") - parent_discount * F.col("tables") + base) / (strength + customers)
+        parents = parents.withColumn("p", p).withColumn("kept", F.col("kept") + F.when(F.lit(keep), F.col("p")).otherwise(0.0))
+        unknown, samples = unknown + keep * base / (strength + customers), samples + keep
+        if sweep == sweeps:
+            break
+        rows = state.join(parents.select("word", "p"), "word", "left").withColumn("total", F.lit(float("nan")))
+        if hot is not None:
+            totals = state.join(hot, "context", "left_semi").groupBy("context").agg(F.sum("tables").cast("double").alias("t"))
+            rows = rows.join(totals, "context", "left").withColumn("total", F.coalesce("t", "total")).drop("t")
+        rows = rows.select("context", "word", "n", "every", "tables", "kept", "part", F.coalesce("p", F.lit(0.0)).alias("p"), "total").repartition(n_tasks, "context", "part").sortWithinPartitions("context", "part")
+        state = stored(rows.mapInArrow(_seated(discount, strength, seed + 100 + sweep, sweep >= burn_in), _STATE), "seats")
+        for x in old:
+            drop(x)
+        old = [state]
+    seats = max(sweeps - burn_in, 1)
+    opened = state.groupBy("context").agg(F.sum(F.when(F.col("word").isNull(), F.col("tables")).otherwise(F.col("kept") / seats)).alias("t"))
+    opened = stored(opened, "opened")
+    began = opened.where(F.col("context") == int(START)).first()
+    began = began["t"] if began else 0.0
+    share = strength + discount * F.coalesce("t", F.lit(0.0))
+    words = parents.join(opened.withColumnRenamed("context", "word"), "word", "left")
+    words = stored(words.select("word", "n", "every", F.log10(F.col("kept") / max(samples, 1)).alias("log_p"), F.log10(share).alias("log_t"), F.log10(share / (strength + F.col("n"))).alias("bow")), "lookup")
+    weight = (F.col("n") - discount * F.col("kept") / seats) / (1 - discount)
+    known = state.where("word is not null").select("context", "word", "every", weight.alias("weight"))
+    known = known.union(pairs.where("n < 2").select("context", "word", "every", F.col("n").cast("double")))
+    start = (float(np.log10(strength + discount * began)), float(np.log10((strength + discount * began) / (strength + n_texts))))
+    return Model(words, known, _limit(counts, frequent), _limit(known, frequent), n_train, n_types, float(np.log10(unknown / max(samples, 1))), start, discount, strength)
+
+
+class Frequent:
+    """What is sent to all tasks: at most ``frequent`` words and as many pairs, whatever the input."""
+
+    def __init__(self, model: Model):
+        rows = model.words.where(_rank() >= model.word_limit).toArrow()
+        hashes = rows["word"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        self.words = hashes[order]
+        self.n, self.log_p, self.log_t, self.bow = (rows[c].to_numpy()[order] for c in ("n", "log_p", "log_t", "bow"))
+        rows = model.repeated.where(_rank() >= model.pair_limit).select("context", "word", "weight").toArrow()
+        keys = pair_keys(rows["context"].to_numpy().view(np.uint64), rows["word"].to_numpy().view(np.uint64))
+        order = np.argsort(keys)
+        self.pairs, self.weight = keys[order], rows["weight"].to_numpy()[order]
+        self.start, self.rest = model.start, float(np.log10(1 - model.discount))
+        self.base = model.base_log(self.n)
+
+    def single(self, context: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 of the gain of a pair seen once: (1 - d) / ((strength + d t_u) p(w)); nan if either word isn't here."""
+        if not len(self.words):
+            return np.full(len(at), np.nan)
+        t = np.where(context == START, self.start[0], np.where(before >= 0, self.log_t[before], np.nan))
+        return self.rest - t - np.where(at >= 0, self.log_p[at], np.nan)
+
+
+def _scored(sent):
+    """Per text: tokens, known ones, base and score over the frequent words and pairs, and the words that aren't among them."""
+
     def run(batches):
-        model, done = sent.value, 0
-        words, task = model.words, TaskContext.get().partitionId()
-        base_of, within = model.base_log(words.counts.astype(float)), model.within_other(words.counts.astype(float))
+        f = sent.value
         for batch in batches:
             out = {k: [np.zeros(0)] for k in ("n", "known", "base", "score")}
             rest, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in _text.slices(batch.column("text")):
                 hashes, first = tokens(data, offsets)
-                own, before, at = numbered(words, hashes, first)
-                score = model.table[before, own].astype(float)
-                known = at >= 0
-                base = np.where(known, base_of[at] if len(base_of) else 0.0, 0.0)
-                score += np.where(known & (own == words.other), within[at] if len(within) else 0.0, 0.0)
+                context, at = contexts(hashes, first), _text.lookup(f.words, hashes)
+                before = np.concatenate([[-1], at[:-1]])
+                here = at >= 0
+                pick = lambda values, at=at, here=here: np.where(here, values[at], 0.0) if len(values) else np.zeros(len(at))
+                single, pair = f.single(context, at, before), _text.lookup(f.pairs, pair_keys(context, hashes))
+                gain = np.where((pair >= 0) & ~np.isnan(single), f.weight[pair] if len(f.weight) else 0.0, 0.0)
+                score = pick(f.log_p) + pick(f.bow) * (hashes != END) + np.log10(1 + gain * 10 ** np.nan_to_num(single))
+                score[first[:-1]] += f.start[1]
                 out["n"].append(np.diff(first))
-                for name, values in (("known", known.astype(np.int64)), ("base", base), ("score", score)):
+                for name, values in (("known", (pick(f.n) > 0).astype(np.int64)), ("base", pick(f.base)), ("score", score)):
                     out[name].append(_text.segment_sum(values, first))
-                rest.append(hashes[~known])
-                sizes.append(_text.segment_sum((~known).astype(np.int64), first))
-            n_rows = batch.num_rows
-            key = pa.array((task << 40) + done + np.arange(n_rows))
-            done += n_rows
+                rest.append(hashes[~here])
+                sizes.append(_text.segment_sum((~here).astype(np.int64), first))
             bounds = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
             columns = [pa.array(np.concatenate(out[k]).astype(np.int64 if k in ("n", "known") else float)) for k in out]
-            yield pa.RecordBatch.from_arrays([key, batch.column("doc_id"), *columns, pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(rest).view(np.int64)))], ["key", "doc_id", *out, "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("train"), *columns, pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(rest).view(np.int64)))], ["key", "doc_id", "train", *out, "rest"])
+
+    return run
+
+
+def _occurrences(sent, block: int, blocks: int, rare: bool):
+    """(key, context, word, single, train) of the pairs that aren't looked up on the spot; rare: those with a word that isn't frequent."""
+
+    def run(batches):
+        f = sent.value
+        for batch in batches:
+            keys, learns = batch.column("key").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in _text.slices(batch.column("text")):
+                word, first = tokens(data, offsets)
+                context, row = contexts(word, first), np.repeat(np.arange(i, j), np.diff(first))
+                own = _in_block(context, block, blocks)
+                word, context, row = word[own], context[own], row[own]
+                single = f.single(context, _text.lookup(f.words, word), _text.lookup(f.words, context))
+                asked = np.isnan(single) if rare else ~np.isnan(single) & (_text.lookup(f.pairs, pair_keys(context, word)) < 0)
+                word, context, row, single = word[asked], context[asked], row[asked], single[asked]
+                columns = [pa.array(keys[row]), pa.array(context.view(np.int64)), pa.array(word.view(np.int64)), pa.array(single.astype(np.float32)), pa.array(learns[row])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "context", "word", "single", "train"])
 
     return run
 
 
-def scored(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score and perplexity of every document."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(sent), "key long, doc_id long, n long, known long, base double, score double, rest array<long>")
-    rows = stored(rows, "scored")
-    rare = rows.select("key", F.explode("rest").alias("word")).join(counts, "word", "left").select("key", F.coalesce("n", F.lit(0)).alias("c"))
-    base = F.log10((F.col("c") + 0.5) / (model.n_train + 0.5 * (model.n_types + 1)))
-    seen = F.greatest(F.col("c") - F.lit(model.other_discount), F.lit(0.0))
-    within = F.log10((seen + model.other_new / (model.other_types + 1)) / (1.0 + model.other_total))
-    rare = rare.groupBy("key").agg(F.sum(base).alias("rare_base"), F.sum(within).alias("rare_score"), F.count_if(F.col("c") > 0).alias("rare_known"))
-    out = rows.drop("rest").join(rare, "key", "left")
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    out = out.select("doc_id", F.col("n").alias("n_tokens"), add("known", "rare_known").cast("long").alias("n_known"), add("base", "rare_base").alias("base_score"), add("score", "rare_score").alias("score"))
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+def scored(documents: DataFrame, learns: Column, blocks: int = 4, **options) -> tuple[DataFrame, Model]:
+    """doc_id, train, n_tokens, n_known, base_score, score and perplexity of every document, and the model of those that ``learns`` names."""
+    model = fit(documents, learns, blocks=blocks, **options)
+    sent = documents.sparkSession.sparkContext.broadcast(Frequent(model))
+    doc_id = F.col("doc_id").cast("long")
+    texts = documents.select(F.xxhash64(doc_id, "text").alias("key"), doc_id.alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("train"), "text")
+    rows = stored(texts.mapInArrow(_scored(sent), "key long, doc_id long, train boolean, n long, known long, base double, score double, rest array<long>"), "scored")
+    # words that weren't sent
+    rare = rows.select("key", F.explode("rest").alias("word")).join(model.words.select("word", "n", "log_p", "bow"), "word", "left")
+    base = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (model.n_train + 0.5 * (model.n_types + 1)))
+    told = rare.select("key", base.alias("base"), (F.coalesce("log_p", F.lit(model.unknown)) + F.when(F.col("word") == 0, 0.0).otherwise(F.coalesce("bow", F.lit(0.0)))).alias("score"), (F.coalesce("n", F.lit(0)) > 0).cast("long").alias("known"))
+    parts = [stored(told.groupBy("key").agg(F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("known").alias("known")), "rare")]
+    # pairs that weren't sent
+    slim = texts.select("key", "train", "text")
+    schema = "key long, context long, word long, single float, train boolean"
+    log_p = model.words.select("word", "log_p")
+    log_t = model.words.select(F.col("word").alias("context"), "log_t")
+    both = Window.partitionBy("context", "word")
+    for block in range(blocks + 1):
+        last = block == blocks  # pairs with a rare word, of all contexts
+        met = slim.mapInArrow(_occurrences(sent, 0 if last else block, 1 if last else blocks, last), schema)
+        known = model.repeated.where(_rank() < model.pair_limit)
+        if last:
+            met = met.join(log_p, "word", "left").join(log_t, "context", "left")
+            at = F.when(F.col("context") == int(START), F.lit(model.start[0])).otherwise(F.coalesce("log_t", F.lit(float(np.log10(model.strength)))))
+            met = met.select("key", "context", "word", (float(np.log10(1 - model.discount)) - at - F.coalesce("log_p", F.lit(model.unknown))).cast("float").alias("single"), "train")
+            known = model.repeated
+        known = known.where("weight > 1").select(F.lit(None).cast("long").alias("key"), "context", "word", F.lit(None).cast("float").alias("single"), F.lit(False).alias("train"), "weight")
+        every = met.withColumn("weight", F.lit(None).cast("double")).unionByName(known)
+        every = every.select("key", "single", F.max("weight").over(both).alias("weight"), F.count_if("train").over(both).alias("n")).where("key is not null and n > 0")
+        gain = F.log10(1 + F.coalesce("weight", F.lit(1.0)) * F.pow(F.lit(10.0), "single"))
+        parts.append(stored(every.groupBy("key").agg(F.lit(0.0).alias("base"), F.sum(gain).alias("score"), F.lit(0).cast("long").alias("known")), "gains"))
+    more = reduce(DataFrame.union, parts).groupBy("key").agg(*(F.sum(c).alias(f"more_{c}") for c in ("base", "score", "known")))
+    # rows equal in id and text share a key, so a key's sums are those of all its rows
+    again = rows.groupBy("key").agg(F.count("*").alias("rows"))
+    more = again.join(more, "key", "left")
+    add = lambda a: F.col(a) + F.coalesce(F.col(f"more_{a}") / F.col("rows"), F.lit(0))
+    out = rows.drop("rest").join(more, "key", "left")
+    out = out.select("doc_id", "train", F.col("n").alias("n_tokens"), add("known").cast("long").alias("n_known"), add("base").alias("base_score"), add("score").alias("score"))
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), model
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = fit(documents.where(~held_out(5)))
-    found = scored(documents, model, counts)
-    return found.select("doc_id", held_out(5).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_train).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+    found, model = scored(documents, ~held_out(5))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_train).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -6,9 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SF, rows_of
-from quarry.llm import decontamination, language_model, license, neardup, pii, suffixes
+from quarry.llm import decontamination, language_model, license, neardup, pii, seating, suffixes
+from quarry.llm._store import held_out
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD, TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,13 +189,54 @@ def test_language_model(spark, folder):
 
 
 def test_language_model_sums_to_one(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model, counts = language_model.fit(docs, classes=50)
-    assert abs((10 ** model.table.astype(float)).sum(1) - 1).max() < 1e-3
-    import numpy as np
-
-    rest = np.sort(counts.toPandas()["n"].to_numpy())[::-1][50:]
-    assert (10 ** model.within_other(rest)).sum() + 10 ** model.within_other(np.zeros(1))[0] < 1 + 1e-6
+    """Over the vocabulary and the unknown word, in contexts of every kind; whatever is sent or split, the scores are alike."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found, model = language_model.scored(docs, ~held_out(5), blocks=2)
+    words, pairs = model.words.where("n > 0").toPandas(), model.repeated.toPandas()
+    assert abs((10.0 ** words["log_p"]).sum() + 10.0**model.unknown - 1) < 1e-6
+    p, at = dict(zip(words["word"], 10.0 ** words["log_p"], strict=True)), words.set_index("word")
+    singles = Counter()
+    for i, t in docs.collect():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            hashes, first = language_model.tokens(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))
+            before = language_model.contexts(hashes, first)
+            singles.update(zip(before.view(np.int64).tolist(), hashes.view(np.int64).tolist(), strict=True))
+    by_context = defaultdict(dict)
+    for c, w, weight in zip(pairs["context"], pairs["word"], pairs["weight"], strict=True):
+        if weight > 0:
+            by_context[c][w] = weight
+    for (c, w), n in singles.items():
+        if n == 1:
+            by_context[c][w] = 1.0
+    for c in [x for x in by_context if x in at.index][:200]:
+        t = 10.0 ** at.loc[c, "log_t"]
+        gain = sum(weight * (1 - model.discount) / (t * p[w]) * p[w] for w, weight in by_context[c].items())
+        assert abs(10.0 ** at.loc[c, "bow"] * (1 + gain) - 1) < 1e-6
+    want = {r["doc_id"]: r["score"] for r in found.collect()}
+    again, _ = language_model.scored(docs, ~held_out(5), blocks=1, frequent=50, split=40)
+    assert all(abs(want[r["doc_id"]] - r["score"]) < 0.03 * abs(want[r["doc_id"]]) for r in again.collect())
+
+
+@pytest.mark.parametrize(("customers", "others", "base", "discount"), [(65, 50, 0.01, 0.7), (500, 300, 0.02, 0.8), (600, 5000, 0.3, 0.5), (2000, 300, 0.02, 0.8)])
+def test_tables_follow_the_exact_law(customers, others, base, discount):
+    """Mean tables against the law enumerated with the recursion's Stirling numbers, small and large dishes."""
+    t = np.arange(1, customers + 1)
+    law = seating.log_stirling(discount, customers)[customers, 1:] + t * np.log(base) + np.log(1 + discount * (others + t - 1)).cumsum()
+    law = np.exp(law - law.max())
+    law /= law.sum()
+    mean, n = (law * t).sum(), 2000
+    error = np.sqrt(((law * t * t).sum() - mean**2) / n)
+    rng, tables = np.random.default_rng(8), np.ones(n, np.int64)
+    for _ in range(3):
+        tables = seating.draw(np.full(n, customers), tables, np.full(n, others), np.full(n, base), discount, 1.0, rng)
+    assert abs(tables.mean() - mean) < 3 * error
+
+
+def test_stirling_numbers_of_large_dishes():
+    for discount in (0.3, 0.5, 0.8):
+        exact, t = seating.log_stirling(discount, 900)[900, 1:], np.arange(1, 901)
+        found = seating.log_stirling_at(np.full(900, 900), t, discount)
+        assert abs((exact - found) - (exact - found)[0]).max() < 0.5  # of values that span hundreds
 
 
 def test_deduplicated_keeps_one_text_of_each_group(spark, odd):
