@@ -218,17 +218,21 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
     hot = None if hot.isEmpty() else hot
     none = F.lit(0).alias("part")
     state = seen.select("context", "word", "n", "every", F.lit(1).cast("long").alias("tables"), F.lit(0.0).alias("kept"), none)
-    state = state.union(once_by_context.select("context", F.lit(None).cast("long"), zero, zero, "once", F.lit(0.0), none))
+    alone = once_by_context.join(seen.select("context").distinct(), "context", "left_semi")  # other contexts have nothing to sample
+    state = state.union(alone.select("context", F.lit(None).cast("long"), zero, zero, "once", F.lit(0.0), none))
     if hot is not None:
         state = state.join(hot, "context", "left").withColumn("part", F.pmod(F.xxhash64("word"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     parents = counts.join(once_by_word, "word", "left").select("word", "n", "every", F.coalesce("once", zero).alias("once"), zero.alias("customers"), zero.alias("tables"), F.lit(0.0).alias("p"), F.lit(0.0).alias("kept"))
     n_tasks, parent_discount, parent_tables, samples, unknown = int(spark.conf.get("spark.sql.shuffle.partitions")), 0.5, 0, 0, 0.0
-    old = []
+    old, before = [], None
     for sweep in range(sweeps + 1):  # the first round only seats the parent
         keep = sweep > burn_in
         guests = state.where("word is not null").groupBy("word").agg(F.sum("tables").alias("guests"))
         parents = parents.join(guests, "word", "left").withColumn("customers", F.col("once") + F.coalesce("guests", zero)).drop("guests")
         parents = stored(parents.mapInArrow(_parent(parent_tables, parent_discount, strength, n_types, seed + sweep), parents.schema), "parents")
+        if before is not None:
+            drop(before)
+        before = parents
         told = parents.agg(F.sum("customers"), F.sum("tables")).first()
         customers, parent_tables = int(told[0] or 0), int(told[1] or 0)
         base = (strength + parent_discount * parent_tables) / (n_types + 1)
@@ -247,7 +251,8 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
             drop(x)
         old = [state]
     seats = max(sweeps - burn_in, 1)
-    opened = state.groupBy("context").agg(F.sum(F.when(F.col("word").isNull(), F.col("tables")).otherwise(F.col("kept") / seats)).alias("t"))
+    opened = state.where("word is not null").groupBy("context").agg(F.sum(F.col("kept") / seats).alias("t"))
+    opened = opened.union(once_by_context.select("context", F.col("once").cast("double"))).groupBy("context").agg(F.sum("t").alias("t"))
     opened = stored(opened, "opened")
     began = opened.where(F.col("context") == int(START)).first()
     began = began["t"] if began else 0.0
