@@ -9,8 +9,8 @@ included, that are known to be of a kind, an instance the noisy-or of its patter
 
 Surviving patterns are sent to the texts in blocks of ``block_patterns``; a further block is a further pass.
 
-Only distinct (pattern, instance) edges are joined and both joins are salted, so a pattern or instance that holds a
-large share of the rows is spread over many tasks.
+Only distinct (pattern, instance) edges are joined and all joins are salted, so a pattern or instance that holds a
+large share of the rows is spread over many tasks. A pattern's words are whole words, however long.
 
 Edge cases: a null or empty text has no spans. Occurrences are keyed by a hash of id and text, so repeated rows get the
 same spans and null ids work. An empty table gives an empty result. Only named columns are read.
@@ -35,8 +35,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]{4,}")
 _BODY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_./:#-")
 _BUSY = re.compile(r"[0-9@]")
-#: characters on either side in which a context's words stand, and words that a slot may hold
-REACH, MOST = 64, 6
+MOST = 6  # words that a slot may hold
 _TOKEN = re.compile(r"\S+")
 _GROUP = re.compile(r"[0-9]+")
 _TRIM = ".,;:!?()[]{}<>\"'`*|"
@@ -100,9 +99,28 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
+def _words_before(text: str, a: int) -> list[str]:
+    """The last two words before a, whole however long they are: the window grows until a third one begins in it."""
+    reach = 64
+    while True:
+        found = text[max(0, a - reach) : a].split()
+        if reach >= a or len(found) > 2:
+            return found[-2:]
+        reach *= 2
+
+
+def _word_after(text: str, b: int) -> list[str]:
+    reach = 64
+    while True:
+        found = text[b : b + reach].split()
+        if b + reach >= len(text) or len(found) > 1:
+            return found[:1]
+        reach *= 2
+
+
 def _context(text: str, a: int, b: int) -> list[str]:
-    left = text[max(0, a - REACH) : a].lower().split()[-2:]
-    right = text[b : b + REACH].lower().split()[:1]
+    left = [w.lower() for w in _words_before(text, a)]
+    right = [w.lower() for w in _word_after(text, b)]
     out = []
     if len(left) == 2:
         out.append("L:" + " ".join(left))
@@ -226,9 +244,10 @@ def _edges(places: DataFrame, salts: int) -> DataFrame:
     return stored(edges, "pii-edges")
 
 
-def _worth(edges: DataFrame, belief: DataFrame, support: int) -> DataFrame:
+def _worth(edges: DataFrame, belief: DataFrame, support: int, salts: int) -> DataFrame:
     """(pattern, kind, worth) of the patterns that survive; stored."""
-    held = edges.drop("kind").join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("known"), F.count("*").alias("distinct_known"))
+    by_pattern = F.pmod(F.xxhash64("pattern"), F.lit(salts)).alias("salt")
+    held = edges.select("pattern", "instance", by_pattern).join(belief.select("*", _salts(salts)), ["instance", "salt"]).groupBy("pattern", "kind").agg(F.sum("confidence").alias("known"), F.count("*").alias("distinct_known"))
     held = held.where(F.col("distinct_known") >= support)
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("all"))
     return stored(held.join(sizes, "pattern").select("pattern", "kind", ((F.col("known") - 1) / F.col("all")).alias("worth")).where("worth > 0.5"), "pii-patterns")
@@ -246,7 +265,7 @@ def bootstrap(documents: DataFrame, flat: DataFrame, rounds: int = 3, least: flo
     found, asked, places = known.limit(0), None, None
     for _ in range(rounds):
         belief = known.unionByName(found)
-        patterns = _worth(edges, belief, support)
+        patterns = _worth(edges, belief, support, salts)
         fresh = patterns.select("pattern").distinct()
         fresh = fresh if asked is None else fresh.join(asked, "pattern", "left_anti")
         fresh = stored(fresh, "pii-asked")
@@ -255,7 +274,7 @@ def bootstrap(documents: DataFrame, flat: DataFrame, rounds: int = 3, least: flo
         if more is not None:  # what else stands in the slots counts for the patterns' worth as well
             places = more if places is None else stored(places.union(more).dropDuplicates(["key", "start", "end"]), "pii-slots")
             edges = _edges(flat.union(places.select(F.lit(None).cast("string").alias("kind"), "instance", "patterns")), salts)
-            patterns = _worth(edges, belief, support)
+            patterns = _worth(edges, belief, support, salts)
         votes = edges.where("kind is null").drop("kind").join(patterns.select("*", _salts(salts)), ["pattern", "salt"])
         by_kind = votes.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999)))))).alias("confidence"))
         best = by_kind.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("instance", "best.kind", "best.confidence")
