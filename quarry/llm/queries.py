@@ -16,7 +16,4 @@ QUERIES = {
     "op9_neardup": neardup.op9_neardup,
     "op10_language_model": language_model.op10_language_model,
 }
-#: queries with a row for each hit of a search instead of one for each document, beside op7_search
-SEARCHES = {"op7_search_whole": search.op7_search_whole}
-SEARCHES_SQL = {"op7_search_whole": search.OP7_WHOLE_SQL}
 SQL = {"op2_license": license.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op5_decontamination": decontamination.OP5_SQL, "op7_search": search.OP7_SQL, "op9_neardup": neardup.OP9_SQL}

@@ -4,18 +4,22 @@ Each scan task is a shard: it builds an inverted index (postings by document, in
 the terms that some query asks for, and runs block-max WAND for each query with the collection's statistics, counted
 over all documents beforehand. The shards' top k are merged; as impacts are global, the merge is exact.
 
-A query of more than ``MANY`` words is scored term at a time over all its postings in the shard, which is exact as well:
-its bound passes the threshold nearly everywhere, so that there is little to skip.
+A query asks for every distinct word of its document that another one shares. One of more than ``MANY`` words is scored
+term at a time over all its postings in the shard, which is exact as well: its bound passes the threshold nearly
+everywhere, so that there is little to skip.
 
-Queries are sent to the shards in blocks of at most ``block_queries`` queries and about ``block_terms`` query terms; a
-further block is a further pass over the texts.
+So that not every shard tells k rows of every query, the search climbs a ladder: first over a share of the documents
+(by hash of the id) of about one shard, then over shares ``STEP`` times as large, up to all. A query's k-th score over a
+share is a bound that its true k-th can't be under, and the next step's shards tell only what reaches it: about
+``STEP`` * k rows of a query at each step, however many shards there are.
 
-``op7_search_whole`` asks for every distinct word of a query document that another one can share. ``op7_search`` is held
-against SQL that asks for the eight rarest of them.
+Queries are taken in blocks of at most ``block_queries`` queries and about ``block_terms`` query terms, one block after
+another; a further block is a further pass over the texts.
 
 Edge cases: a null or empty text has no terms and is never found; rows without id are not searched; a query without
-terms finds nothing. Ties are broken by the smaller id. Repeated ids are found once each. An empty table gives an empty
-result. Only named columns are read.
+terms finds nothing. Rows that share an id are documents of their own; as a query, an id asks for the words of all its
+rows and finds none of them. Ties are broken by the smaller id. An empty table gives an empty result. Only named columns
+are read.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import stored, table
+from ._store import drop, stored, table
 
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: words of a query from which on all its postings are added up
 MANY = 16
+#: how much larger the share of the documents is at each step of the ladder
+STEP = 8
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray):
@@ -95,14 +101,10 @@ def _query_terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(word, pa.string()), pa.array(_text.hash_words(word).view(np.int64)), pa.array(tf, pa.int64())], ["qid", "word", "term", "tf"])
 
 
-def more_like(queries: DataFrame, terms: DataFrame, n_terms: int | None = None) -> DataFrame:
-    """(qid, word, term, df): each query document's words that some other document can share (df over 1), or its ``n_terms`` rarest ones."""
+def more_like(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, word, term, df): each query document's distinct words that some other document can share (df over 1)."""
     own = queries.where("doc_id is not null").select("doc_id", "text").mapInArrow(_query_terms, "qid long, word string, term long, tf long")
-    shared = own.join(terms.where("df > 1"), "term")
-    if n_terms is None:  # repeated ids: each word of their texts once
-        return shared.select("qid", "word", "term", "df").distinct()
-    rank = Window.partitionBy("qid").orderBy("df", F.desc("tf"), "word")
-    return shared.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= n_terms).select("qid", "word", "term", "df")
+    return own.join(terms.where("df > 1"), "term").select("qid", "word", "term", "df").distinct()
 
 
 class Postings:
@@ -130,8 +132,8 @@ def _advance(p: Postings, at: int, doc: int) -> int:
     return at
 
 
-def block_max_wand(lists: list[Postings], k: int, skip: int = -1) -> list[tuple[float, int]]:
-    """The k best (score, document) over the union of the lists; ties go to the smaller document; ``skip`` is left out."""
+def block_max_wand(lists: list[Postings], k: int, skip: range = range(0), floor: float = -1.0) -> list[tuple[float, int]]:
+    """The k best (score, document) over the union of the lists that score over ``floor``; ties go to the smaller document; those in ``skip`` are left out."""
     at, heap, slack = [0] * len(lists), [], 1 + 1e-12
     active = list(range(len(lists)))
     while True:
@@ -139,7 +141,7 @@ def block_max_wand(lists: list[Postings], k: int, skip: int = -1) -> list[tuple[
         if not active:
             break
         active.sort(key=lambda i: lists[i].docs[at[i]])
-        least = heap[0][0] if len(heap) == k else -1.0
+        least = max(heap[0][0], floor) if len(heap) == k else floor
         bound, pivot = 0.0, -1
         for n, i in enumerate(active):
             bound += lists[i].most
@@ -167,7 +169,7 @@ def block_max_wand(lists: list[Postings], k: int, skip: int = -1) -> list[tuple[
                 for i in here:  # always in the query's order, so equal documents get equal scores
                     score += lists[i].impacts[at[i]]
                     at[i] += 1
-                if doc != skip:
+                if doc not in skip and score > floor:
                     if len(heap) < k:
                         heapq.heappush(heap, (score, -doc))
                     elif score > heap[0][0]:
@@ -185,12 +187,11 @@ def block_max_wand(lists: list[Postings], k: int, skip: int = -1) -> list[tuple[
     return sorted(((s, -d) for s, d in heap), key=lambda x: (-x[0], x[1]))
 
 
-def add_up(docs: np.ndarray, impacts: np.ndarray, n: int, k: int, skip: int = -1) -> list[tuple[float, int]]:
-    """The k best (score, document) of n documents by the sums of their postings; ties and ``skip`` as in block_max_wand()."""
+def add_up(docs: np.ndarray, impacts: np.ndarray, n: int, k: int, skip: range = range(0), floor: float = -1.0) -> list[tuple[float, int]]:
+    """The k best (score, document) of n documents by the sums of their postings; ties, ``skip`` and ``floor`` as in block_max_wand()."""
     score = np.bincount(docs, impacts, n)
-    if skip >= 0:
-        score[skip] = 0.0
-    least = max(np.partition(score, n - k)[n - k] - 1e-6, 0.0) if n > k else 0.0
+    score[skip.start : skip.stop] = 0.0
+    least = max(np.partition(score, n - k)[n - k] - 1e-6, floor, 0.0) if n > k else max(floor, 0.0)
     found = np.flatnonzero(score > least)
     found = found[np.lexsort((found, -score[found].round(9)))][:k]
     return list(zip(score[found].tolist(), found.tolist(), strict=True))
@@ -198,7 +199,7 @@ def add_up(docs: np.ndarray, impacts: np.ndarray, n: int, k: int, skip: int = -1
 
 def _search(sent, mean_length: float, k: int):
     def run(batches):
-        terms, idf, qids, first, query_terms = sent.value
+        terms, idf, qids, first, query_terms, floors = sent.value
         parts, ids, lengths, n_docs = [], [], [], 0
         for batch in batches:
             for i, j, data, offsets in _text.slices(batch.column("text")):
@@ -230,16 +231,15 @@ def _search(sent, mean_length: float, k: int):
             asked = asked[edge[asked] < edge[asked + 1]].tolist()
             if not asked:
                 continue
-            self_at = int(np.searchsorted(own, qids[q]))
-            skip = self_at if self_at < len(own) and own[self_at] == qids[q] else -1
+            skip = range(int(np.searchsorted(own, qids[q])), int(np.searchsorted(own, qids[q], "right")))
             if len(asked) > MANY:
                 cuts = [slice(edge[t], edge[t + 1]) for t in asked]
-                found = add_up(np.concatenate([row[c] for c in cuts]), np.concatenate([impact[c] for c in cuts]), len(own), k, skip)
+                found = add_up(np.concatenate([row[c] for c in cuts]), np.concatenate([impact[c] for c in cuts]), len(own), k, skip, floors[q])
             else:
                 for t in asked:
                     if t not in index:
                         index[t] = Postings(row[edge[t] : edge[t + 1]], impact[edge[t] : edge[t + 1]])
-                found = block_max_wand([index[t] for t in asked], k, skip)
+                found = block_max_wand([index[t] for t in asked], k, skip, floors[q])
             out_q += [int(qids[q])] * len(found)
             out_d += [int(own[d]) for _, d in found]
             out_s += [s for s, _ in found]
@@ -249,7 +249,7 @@ def _search(sent, mean_length: float, k: int):
 
 
 def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float, k: int = 10, block_queries: int = 50_000, block_terms: int = 2_000_000) -> DataFrame:
-    """(qid, rank, doc_id, score): the exact k best documents of each query, but for the query's own row.
+    """(qid, rank, doc_id, score): the exact k best documents of each query, but for the query's own rows.
 
     queries: (qid, word, term, df), stored. Blocks are cut by query id, so each holds about ``block_queries`` queries or ``block_terms`` rows.
     """
@@ -257,6 +257,11 @@ def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float,
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     size = queries.agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("terms")).first()
     n_blocks = max(1, -(-size["queries"] // block_queries), -(-size["terms"] // block_terms))
+    rank = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    share, shards, shares = 1, docs.rdd.getNumPartitions(), [1]
+    while share * STEP <= shards:
+        share *= STEP
+        shares.append(share)
     parts = []
     for block in range(n_blocks):
         rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == block).select("qid", "term", "df").toArrow()
@@ -267,44 +272,42 @@ def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float,
         df = np.zeros(len(terms))
         df[at] = df_of
         qids, first = np.unique(qid, return_index=True)
-        sent = spark.sparkContext.broadcast((terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), qids, np.append(first, len(qid)), at.astype(np.int32)))
-        parts.append(docs.mapInArrow(_search(sent, mean_length, k), "qid long, doc_id long, score double"))
+        floors = np.full(len(qids), -1.0)
+        for share in reversed(shares):
+            sent = spark.sparkContext.broadcast((terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), qids, np.append(first, len(qid)), at.astype(np.int32), floors))
+            some = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+            found = some.mapInArrow(_search(sent, mean_length, k), "qid long, doc_id long, score double").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+            found = stored(found.select("qid", "rank", "doc_id", "score"), "found")
+            if share > 1:  # a number for each query of the block
+                told = found.where(F.col("rank") == k).select("qid", "score").toArrow()
+                floors[np.searchsorted(qids, told["qid"].to_numpy())] = told["score"].to_numpy() * (1 - 1e-9) - 1e-9
+                drop(found)
+            sent.unpersist()
+        parts.append(found)
     found = parts[0]
     for x in parts[1:]:
         found = found.union(x)
-    rank = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
+    return found
 
 
-def _more_like_every_50th(spark, sf_dir: str, n_terms: int | None) -> DataFrame:
+def op7_search(spark, sf_dir: str) -> DataFrame:
+    """Every 50th document asks for all its words."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     terms, n, mean_length = collection(documents)
-    queries = stored(more_like(documents.where("doc_id % 50 = 0"), terms, n_terms), "queries")
+    queries = stored(more_like(documents.where("doc_id % 50 = 0"), terms), "queries")
     found = top_k(documents, queries, n, mean_length)
     return found.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
-def op7_search(spark, sf_dir: str) -> DataFrame:
-    """Queries of the eight rarest words, as its SQL says."""
-    return _more_like_every_50th(spark, sf_dir, 8)
-
-
-def op7_search_whole(spark, sf_dir: str) -> DataFrame:
-    """Queries of all words."""
-    return _more_like_every_50th(spark, sf_dir, None)
-
-
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents WHERE doc_id IS NOT NULL),
-t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS word FROM d),
-p AS (SELECT doc_id, any_value(dl) AS dl, word, count(*) AS tf FROM t GROUP BY doc_id, word),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT r, doc_id, len(w) AS dl, unnest(w) AS word FROM d),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(dl) AS dl, word, count(*) AS tf FROM t GROUP BY r, word),
 s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS DOUBLE) / count(*) AS mean FROM d),
 f AS (SELECT word, count(*) AS df FROM p GROUP BY word),
-q AS (SELECT doc_id AS qid, word, df FROM (SELECT p.doc_id, p.word, df, row_number() OVER (PARTITION BY p.doc_id ORDER BY df, tf DESC, p.word) AS r FROM p JOIN f USING (word) WHERE df > 1 AND p.doc_id % 50 = 0) WHERE r <= 8),
-r AS (SELECT qid, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
-      FROM q JOIN p USING (word) CROSS JOIN s WHERE p.doc_id <> qid GROUP BY qid, p.doc_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
+q AS (SELECT DISTINCT p.doc_id AS qid, word, df FROM p JOIN f USING (word) WHERE df > 1 AND p.doc_id % 50 = 0),
+x AS (SELECT qid, p.r, any_value(p.doc_id) AS doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
+      FROM q JOIN p USING (word) CROSS JOIN s WHERE p.doc_id <> qid GROUP BY qid, p.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x)
 SELECT qid, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score FROM k WHERE rank <= 10
 """
-#: the same without the limit to eight words
-OP7_WHOLE_SQL = OP7_SQL.replace(" WHERE r <= 8)", ")")

@@ -94,7 +94,9 @@ def test_block_max_wand_is_exact():
             for d, s in zip(docs.tolist(), impacts.tolist(), strict=True):
                 scores[d] = scores.get(d, 0.0) + s
         best = sorted(((s, d) for d, s in scores.items() if d != 7), key=lambda x: (-x[0], x[1]))[:10]
-        assert search.block_max_wand(lists, 10, 7) == best
+        assert search.block_max_wand(lists, 10, range(7, 8)) == best
+        floor = best[len(best) // 2][0] if best else 0.0
+        assert search.block_max_wand(lists, 10, range(7, 8), floor) == [x for x in best if x[0] > floor]
 
 
 def test_search_in_blocks(spark):
