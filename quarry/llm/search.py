@@ -275,7 +275,9 @@ def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float,
         floors = np.full(len(qids), -1.0)
         for share in reversed(shares):
             sent = spark.sparkContext.broadcast((terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), qids, np.append(first, len(qid)), at.astype(np.int32), floors))
-            some = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+            some, pick = docs, F.xxhash64("doc_id", "text")
+            if share > 1:  # in shards as large as those of all documents
+                some = docs.where(F.pmod(pick, F.lit(share)) == 0).repartition(-(-shards // share), pick)
             found = some.mapInArrow(_search(sent, mean_length, k), "qid long, doc_id long, score double").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
             found = stored(found.select("qid", "rank", "doc_id", "score"), "found")
             if share > 1:  # a number for each query of the block
