@@ -14,6 +14,7 @@ from . import text as T
 COMMANDS = ("sin", "cos", "tan", "ln", "log", "arcsin", "arccos", "arctan", "frac", "sqrt", "int", "sum", "lim", "alpha", "beta", "gamma", "pi", "infty", "leq", "geq", "neq", "to", "cdot", "partial")
 SYMBOLS = "∫∑∏√∞≤≥≠→←⇒⇔αβγδεθλμπσφωΩ∂∆"
 PUNCTUATION = "，。；：？！“”‘’（）【】《》"
+SUBSCRIPT = r"_\{\(_\{\d+\},_\{\d+\}\)\}"
 BLANKS = r"___+|\\_\\_+|\\underline\{|\\quad|（[\s　]*）|\(\s*\)|□"
 
 
@@ -37,8 +38,8 @@ RULES = (
     Rule("unbalanced_braces", "critical", _some(T.braces_unbalanced)),
     Rule("missing_dollar", "critical", _in_plain(r"(?<!\\)\\(?:" + "|".join(COMMANDS) + r")(?![A-Za-z0-9_\x{4E00}-\x{9FFF}])")),
     Rule("malformed_frac", "critical", _some(T.frac_malformed)),
-    Rule("malformed_subscript", "critical", lambda t, m, p: t.rlike(r"_\{\(_\{\d+\},_\{\d+\}\)\}")),
-    Rule("empty_subscript", "warning", lambda t, m, p: t.rlike(r"_\{\s*\}")),
+    Rule("malformed_subscript", "critical", lambda t, m, p: t.contains("_{") & t.rlike(SUBSCRIPT)),
+    Rule("empty_subscript", "warning", lambda t, m, p: t.contains("_{") & t.rlike(r"_\{\s*\}")),
     Rule("duplicated_var", "warning", _some(lambda s: F.regexp_replace(s, r"_\{?([a-z])\1\}?", "").rlike(r"(?<![a-z])([a-z])\1(?![a-z'])"))),
     Rule("unicode_math", "warning", _in_plain(f"[{SYMBOLS}]")),
     Rule("pua_chars", "critical", lambda t, m, p: t.rlike(r"[\x{E000}-\x{F8FF}]")),
@@ -51,14 +52,24 @@ TYPE_RULES = ("options_type", "missing_options", "wrong_options", "missing_blank
 
 
 def codes(text: Column, rules=RULES) -> Column:
-    """Array of (code, severity) of the rules that a text breaks, in rule order; null counts as empty."""
+    """Array of (code, severity) of the rules that a text breaks, in rule order; null counts as empty.
+
+    The text's math and plain parts are bound once, as the element of a one-element array, and shared by all rules.
+    """
     t = F.coalesce(text, F.lit(""))
     # only texts with a delimiter or a backslash have math to look at
     busy = t.rlike(r"[$\\]")
     math = F.when(busy, T.math_segments(t)).otherwise(F.array().cast("array<string>"))
-    plain = F.when(busy, T.plain_text(t)).otherwise(t)
-    found = [F.when(r.holds(t, math, plain), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"))) for r in rules]
-    return F.array_compact(F.array(*found))
+    # plain text is asked for commands and symbols alone
+    asked = busy & (t.contains("\\") | t.rlike(f"[{SYMBOLS}]"))
+    plain = F.when(asked, T.plain_text(t)).when(busy, F.lit("")).otherwise(t)
+    read = F.struct(t.alias("t"), math.alias("m"), plain.alias("p"))
+
+    def found(x: Column) -> Column:
+        told = [F.when(r.holds(x["t"], x["m"], x["p"]), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"))) for r in rules]
+        return F.array_compact(F.array(*told))
+
+    return F.element_at(F.transform(F.array(read), found), 1)
 
 
 def type_codes(kind: Column, content: Column, options: Column) -> Column:
@@ -99,3 +110,8 @@ def issues(questions: DataFrame, key: str, content: str = "content", kind: str |
         more = questions.select(key, F.lit("question").alias("field"), F.explode(own).alias("i"))
         rows = rows.unionByName(more)
     return rows.select(key, "field", "i.code", "i.severity")
+
+
+def report(found: DataFrame, key: str) -> DataFrame:
+    """(key, codes, severities) of the questions with an issue, to filter by either."""
+    return found.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("codes"), F.array_sort(F.collect_set("severity")).alias("severities"))

@@ -35,19 +35,25 @@ def pieces(pages: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataF
     return rows.where("k > 0").select(*keys, "k", "position", kind.alias("kind"), marker.alias("marker"), F.substring_index("_piece", "\u0002", -1).alias("body"), "n_chars")
 
 
-def questions(pages: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFrame:
+def questions(pages: DataFrame, keys: tuple[str, ...], text: str = "text", page: str | None = None) -> DataFrame:
     """(keys, position, section, topic, number, content): numbered questions, and those without number in an open section.
 
+    keys name one page, or with ``page`` a chapter whose pages follow one another by that column: section and topic then
+    carry on from page to page. A question ends with its page.
+
     A numbered question needs five characters and more than a heading. Without number, text under a topic heading counts
     if the page goes on for over 20 characters, no numbered question follows within 100, and over 10 characters come
     before the next marker.
     """
+    chapter = keys
+    keys = (*keys, page) if page else keys
     rows = pieces(pages, keys, text)
+    order = F.struct(page, "k") if page else F.col("k")
     section = F.when(F.col("kind") == "section", F.col("marker"))
     topic = F.when(F.col("kind") == "section", TOPICS[0]).when(F.col("kind") == "topic", F.col("marker"))
-    rows = rows.withColumns({"_section": section, "_topic": topic})
-    rows = sequence.filled_forward(rows, "_section", "k", keys, SECTIONS[0], "section")
-    rows = sequence.filled_forward(rows, "_topic", "k", keys, TOPICS[0], "topic")
+    rows = rows.withColumns({"_section": section, "_topic": topic, "_order": order})
+    rows = sequence.filled_forward(rows, "_section", "_order", chapter, SECTIONS[0], "section")
+    rows = sequence.filled_forward(rows, "_topic", "_order", chapter, TOPICS[0], "topic")
     after = Window.partitionBy(*keys).orderBy("k").rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("_next", F.min(F.when(F.col("kind") == "question", F.col("position"))).over(after))
     line = F.greatest(F.instr("body", "\n") - 1, F.lit(0))

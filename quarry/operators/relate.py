@@ -20,16 +20,19 @@ def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, name: str, default
     return rows.join(points, F.col(at) == F.col("_point"), "left").drop("_point").withColumn(name, F.coalesce(name, F.lit(default)))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, reach: int = 3) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, reach: int = 3, most: int = 100_000) -> DataFrame:
     """Each left row with the right row nearest in ``at``; ties go to the smaller, nothing beyond ``reach``.
 
-    The right side is first reduced to its distinct places, the left place exploded to its neighbourhood, so the join is
-    on equality and gives at most 2 * reach + 1 rows for a left row; they are reduced by an aggregate.
+    The right side is first reduced to its distinct places and each place spread over its neighbourhood, the nearest
+    one kept of each, so a lookup on equality is left: (at, nearest, distance) for at most 2 * reach + 1 times the places.
+    It is broadcast up to ``most`` places and joined by a shuffle beyond.
     """
-    places = right.select(F.col(right_at).alias("_at")).distinct()
-    near = left.select(key, at, F.explode(F.sequence(F.col(at) - reach, F.col(at) + reach)).alias("_at")).join(places, "_at")
-    best = near.groupBy(key).agg(F.min(F.struct(F.abs(F.col("_at") - F.col(at)).alias("d"), F.col("_at").alias("p"))).alias("_b"))
-    return left.join(best.select(F.col(key).alias("_key"), F.col("_b.p").alias("nearest"), F.col("_b.d").alias("distance")), F.col(key) == F.col("_key"), "left").drop("_key")
+    places = right.select(F.col(right_at).alias("_place")).where("_place is not null").distinct()
+    spread = places.select("_place", F.explode(F.sequence(F.col("_place") - reach, F.col("_place") + reach)).alias("_at"))
+    best = spread.groupBy("_at").agg(F.min(F.struct(F.abs(F.col("_place") - F.col("_at")).alias("d"), F.col("_place").alias("p"))).alias("_b"))
+    side = best.select("_at", F.col("_b.p").alias("nearest"), F.col("_b.d").alias("distance"))
+    side = F.broadcast(side) if places.limit(most + 1).count() <= most else side
+    return left.join(side, F.col(at) == F.col("_at"), "left").drop("_at")
 
 
 def zip_guarded(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str) -> tuple[DataFrame, DataFrame]:

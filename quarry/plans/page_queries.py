@@ -111,16 +111,16 @@ def issue_codes_ordered(spark, sf_dir):
     return per.withColumn("place", place)
 
 
-_OPTIONS_SQL = "CASE ord % 4 WHEN 1 THEN ['A', 'B', 'C', 'D'] WHEN 2 THEN ['A', 'B'] WHEN 3 THEN [] END"
+_KEYS_SQL = "CASE ord % 5 WHEN 1 THEN ['A', 'B', 'C', 'D'] WHEN 2 THEN ['A', 'B'] WHEN 3 THEN [] WHEN 4 THEN ['A', 'B', 'C', 'E'] END"
 
 
-@_query(rf"""WITH {DOCS_SQL}, o AS (SELECT ord, type, content, {_OPTIONS_SQL} AS keys FROM q)
-SELECT ord, 'missing_options' AS code FROM o WHERE type = '选择题' AND coalesce(len(keys), 0) = 0 UNION ALL SELECT ord, 'wrong_options' FROM o WHERE type = '选择题' AND len(keys) > 0 AND len(keys) <> 4
+@_query(rf"""WITH {DOCS_SQL}, o AS (SELECT ord, type, content, {_KEYS_SQL} AS keys FROM q)
+SELECT ord, 'missing_options' AS code FROM o WHERE type = '选择题' AND coalesce(len(keys), 0) = 0 UNION ALL SELECT ord, 'wrong_options' FROM o WHERE type = '选择题' AND len(keys) > 0 AND list_sort(keys) <> ['A', 'B', 'C', 'D']
 UNION ALL SELECT ord, 'missing_blank' FROM o WHERE type = '填空题' AND NOT regexp_matches(content, '___+|\\_\\_+|\\underline\{{|\\quad|（[\s　]*）|\(\s*\)|□')""")
 def type_issues(spark, sf_dir):
     letters = lambda s: F.map_from_arrays(F.array(*map(F.lit, s)), F.array(*map(F.lit, s)))
-    n = F.col("ord") % 4
-    options = F.when(n == 1, letters("ABCD")).when(n == 2, letters("AB")).when(n == 3, F.create_map().cast("map<string,string>"))
+    n = F.col("ord") % 5
+    options = F.when(n == 1, letters("ABCD")).when(n == 2, letters("AB")).when(n == 3, F.create_map().cast("map<string,string>")).when(n == 4, letters("ABCE"))
     d = docs(spark, sf_dir).withColumn("options", options)
     return d.select("ord", F.explode(rules.type_codes(F.col("type"), F.col("content"), F.col("options"))).alias("i")).select("ord", "i.code")
 
@@ -154,7 +154,7 @@ def fixed_chapter_order(spark, sf_dir):
     return publish.in_fixed_order(named, ranges.select("ord", F.col("name").alias("chapter")))
 
 
-@_query(rf"WITH {DOCS_SQL}, s AS (SELECT ord, content || '$$x' || ord || '。$$' AS t FROM q) SELECT ord, md5(regexp_replace(regexp_replace(t, '(\\begin\{{[^}}]+\}}|\$\$)([^$]+?)。(\\end\{{[^}}]+\}}|\$\$)', '\1\2\3。', 'g'), '=（\s*）\$。', '=(\\quad)$。', 'g')) AS after_md5 FROM s")
+@_query(rf"WITH {DOCS_SQL}, s AS (SELECT ord, content || '$$x' || ord || '。$$ \[y。] \begin{{a}}z。\end{{a}}' AS t FROM q) SELECT ord, md5(regexp_replace(regexp_replace(t, '(\\\[|\\begin\{{[^}}]+\}}|\$\$)([^$]+?)。(\]|\\end\{{[^}}]+\}}|\$\$)', '\1\2\3。', 'g'), '=（\s*）\$。', '=(\\quad)$。', 'g')) AS after_md5 FROM s")
 def repair_full_stops(spark, sf_dir):
-    shown = docs(spark, sf_dir).select("ord", F.concat("content", F.lit("$$x"), F.col("ord").cast("string"), F.lit("。$$")).alias("t"))
+    shown = docs(spark, sf_dir).select("ord", F.concat("content", F.lit("$$x"), F.col("ord").cast("string"), F.lit(r"。$$ \[y。] \begin{a}z。\end{a}")).alias("t"))
     return shown.select("ord", F.md5(repair.full_stops_outside(F.col("t"))).alias("after_md5"))

@@ -33,3 +33,15 @@ def statistics(questions: DataFrame) -> DataFrame:
 def write_json(rows: DataFrame, path: str) -> None:
     """Through the file committer, so readers see whole output or none; earlier versions stay under their own path."""
     rows.write.mode("errorifexists").json(path)
+
+
+def write_text(rows: DataFrame, column: str, path: str) -> None:
+    """One string column as lines of text, whole or not at all."""
+    rows.select(column).write.mode("errorifexists").text(path)
+
+
+def write_version(rows: DataFrame, path: str, version: int) -> str:
+    """A new version beside the earlier ones, which stay; returns its folder."""
+    folder = f"{path}/v={version}"
+    write_json(rows, folder)
+    return folder

@@ -54,11 +54,14 @@ def _any(values: str, test: str) -> str:
     return f"len(list_filter({values}, lambda s: {test})) > 0"
 
 
-#: what each rule tests in SQL (t: text, m: math segments, p: plain text); malformed_frac has no counterpart without folds
+_REST = r"array_to_string(regexp_split_to_array(s, '\\frac\s*\{')[i:], '\frac{')"
+_CLOSES = rf"list_filter(range(1, length({_REST}) + 1), lambda j: length(replace(left({_REST}, j), '{{', '')) - length(replace(left({_REST}, j), '}}', '')) = 1)[1]"
+#: what each rule tests in SQL (t: text, m: math segments, p: plain text)
 RULE_SQL = {
     "unbalanced_dollars": "(length(t) - length(replace(t, '$', ''))) % 2 = 1",
     "unbalanced_braces": _any("m", "len(list_filter(range(1, length(s) + 1), lambda i: length(replace(left(s, i), '{', '')) > length(replace(left(s, i), '}', '')))) > 0 OR length(replace(s, '{', '')) <> length(replace(s, '}', ''))"),
     "missing_dollar": rf"regexp_matches(p, '(?:^|[^\\])\\(?:{'|'.join(rules.COMMANDS)})(?:$|[^A-Za-z0-9_\x{{4E00}}-\x{{9FFF}}])')",
+    "malformed_frac": _any("m", rf"len(list_filter(range(2, len(regexp_split_to_array(s, '\\frac\s*\{{')) + 1), lambda i: coalesce(substr({_REST}, {_CLOSES} + 1, 1), '') <> '{{')) > 0"),
     "malformed_subscript": r"regexp_matches(t, '_\{\(_\{\d+\},_\{\d+\}\)\}')",
     "empty_subscript": r"regexp_matches(t, '_\{\s*\}')",
     "duplicated_var": _any("m", rf"regexp_matches(regexp_replace(s, '_\{{?(?:{_DOUBLES})\}}?', '', 'g'), '(?:^|[^a-z])(?:{_DOUBLES})(?:$|[^a-z''])')"),
@@ -77,10 +80,9 @@ s AS (SELECT ord, content AS t, list_filter(list_concat({", ".join(f"regexp_extr
 f AS (SELECT ord, unnest([{", ".join(f"CASE WHEN {test} THEN {_quoted(code)} END" for code, test in RULE_SQL.items())}]) AS code FROM s),
 i AS (SELECT ord, code, CASE WHEN code IN ({", ".join(_quoted(c) for c, s in _SEVERITY.items() if s == "warning")}) THEN 'warning' ELSE 'critical' END AS severity FROM f WHERE code IS NOT NULL)"""
 )
-_TOLD = tuple(r for r in rules.RULES if r.code in RULE_SQL)
 
 
-def _issues(spark, sf_dir, told=_TOLD):
+def _issues(spark, sf_dir, told=rules.RULES):
     return docs(spark, sf_dir).select("ord", F.explode(rules.codes(F.col("content"), told)).alias("i")).select("ord", "i.code", "i.severity")
 
 
@@ -118,7 +120,7 @@ def issues_by_severity(spark, sf_dir):
 
 @_query(f"WITH {ISSUES_SQL} SELECT ord, string_agg(code, ',' ORDER BY code) AS codes FROM i GROUP BY ord")
 def quality_report(spark, sf_dir):
-    found = docs(spark, sf_dir).select("ord", F.transform(rules.codes(F.col("content"), _TOLD), lambda c: c["code"]).alias("c"))
+    found = docs(spark, sf_dir).select("ord", F.transform(rules.codes(F.col("content")), lambda c: c["code"]).alias("c"))
     return found.where(F.size("c") > 0).select("ord", F.concat_ws(",", F.array_sort("c")).alias("codes"))
 
 
@@ -145,7 +147,7 @@ def quality_report_whole(spark, sf_dir):
     return _all_issues(spark, sf_dir).groupBy("ord").agg(F.concat_ws(",", F.array_sort(F.collect_list("code"))).alias("codes"))
 
 
-@_query()
+@_query(f"WITH {ISSUES_SQL} SELECT ord, code, severity FROM i WHERE code = 'malformed_frac'")
 def malformed_frac(spark, sf_dir):
     only = tuple(r for r in rules.RULES if r.code == "malformed_frac")
     return _issues(spark, sf_dir, only)
@@ -172,11 +174,17 @@ def classify_type(spark, sf_dir):
     return docs(spark, sf_dir).groupBy(T.question_type(F.col("content")).alias("type")).agg(F.count("*").alias("n"))
 
 
-@_query()
+_OPTION_SQL = "list_filter(p, lambda x: starts_with(x, '{}'))"
+_OPTIONS_SQL = " || ".join(f"CASE WHEN len({_OPTION_SQL.format(k)}) > 0 THEN '{k}=' || regexp_replace(split_part({_OPTION_SQL.format(k)}[-1], chr(2), 2), {_STRIP}, '', 'g') || ';' ELSE '' END" for k in "ABCD")
+
+
+@_query(rf"""WITH {DOCS_SQL}, o AS (SELECT ord, content, string_split(regexp_replace(translate(content, chr(1) || chr(2), '  '), '([A-D])[.．、]', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:] AS p FROM q WHERE regexp_matches(content, '\n\s*A[.．、]'))
+SELECT ord, {_OPTIONS_SQL} AS options, md5(regexp_replace(regexp_split_to_array(content, '[A-D][.．、]')[1], {_STRIP}, '', 'g')) AS stem_md5 FROM o""")
 def extract_options(spark, sf_dir):
-    """Options of the texts that have a marker on a line of its own; look-ahead has no SQL counterpart."""
+    """Options of the texts that have a marker on a line of its own."""
     d = docs(spark, sf_dir).where(F.col("content").rlike(r"\n\s*A[.．、]"))
-    return d.select("ord", F.to_json(T.options(F.col("content"))).alias("options"), F.md5(T.stem(F.col("content"))).alias("stem_md5"))
+    told = F.concat(*(F.coalesce(F.concat(F.lit(f"{k}="), F.try_element_at("o", F.lit(k)), F.lit(";")), F.lit("")) for k in "ABCD"))
+    return d.select("ord", T.options(F.col("content")).alias("o"), F.md5(T.stem(F.col("content"))).alias("stem_md5")).select("ord", told.alias("options"), "stem_md5")
 
 
 @_query(rf"WITH {DOCS_SQL} SELECT ord, md5(regexp_replace(regexp_replace(content, '(?s)<think>.*?</think>', '', 'g'), {_STRIP}, '', 'g')) AS said_md5 FROM q")

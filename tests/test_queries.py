@@ -1,6 +1,6 @@
 import pytest
 from oracle import differ
-from quarry.plans import page_queries  # noqa: F401  registers its queries
+from quarry.plans import page_queries, rebuild_queries  # noqa: F401  register their queries
 from quarry.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
