@@ -33,6 +33,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Over all cores: an input of fewer splits than cores is dealt out before the rules read its texts; others stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -83,7 +89,7 @@ i AS (SELECT ord, code, CASE WHEN code IN ({", ".join(_quoted(c) for c, s in _SE
 
 
 def _issues(spark, sf_dir, told=rules.RULES):
-    return docs(spark, sf_dir).select("ord", F.explode(rules.codes(F.col("content"), told)).alias("i")).select("ord", "i.code", "i.severity")
+    return _spread(docs(spark, sf_dir)).select("ord", F.explode(rules.codes(F.col("content"), told)).alias("i")).select("ord", "i.code", "i.severity")
 
 
 QUERIES: dict = {}
@@ -120,13 +126,14 @@ def issues_by_severity(spark, sf_dir):
 
 @_query(f"WITH {ISSUES_SQL} SELECT ord, string_agg(code, ',' ORDER BY code) AS codes FROM i GROUP BY ord")
 def quality_report(spark, sf_dir):
-    found = docs(spark, sf_dir).select("ord", F.transform(rules.codes(F.col("content")), lambda c: c["code"]).alias("c"))
-    return found.where(F.size("c") > 0).select("ord", F.concat_ws(",", F.array_sort("c")).alias("codes"))
+    # as the row of a generator, a text's codes are found once however often they are asked for
+    found = _spread(docs(spark, sf_dir)).select("ord", F.explode(F.array(rules.codes(F.col("content")))).alias("c"))
+    return found.where(F.size("c") > 0).select("ord", F.concat_ws(",", F.array_sort("c.code")).alias("codes"))
 
 
 def _all_issues(spark, sf_dir):
     """Every rule over content, options and type. The options are those that the content holds, or null."""
-    d = docs(spark, sf_dir)
+    d = _spread(docs(spark, sf_dir))
     found = T.options(F.col("content"))
     return rules.issues(d.withColumn("options", F.when(F.size(found) > 0, found)), "ord")
 
@@ -165,7 +172,7 @@ _CLEAN = rf"regexp_replace(regexp_replace(array_to_string(list_transform(string_
 
 @_query(f"WITH {DOCS_SQL} SELECT ord, md5({_CLEAN}) AS clean_md5 FROM q")
 def clean_text(spark, sf_dir):
-    return docs(spark, sf_dir).select("ord", F.md5(T.clean_text(F.col("content"))).alias("clean_md5"))
+    return _spread(docs(spark, sf_dir)).select("ord", F.md5(T.clean_text(F.col("content"))).alias("clean_md5"))
 
 
 @_query(rf"""WITH {DOCS_SQL} SELECT CASE WHEN regexp_matches(content, '\n\s*A[.．、]') OR contains(content, '(A)') OR contains(content, '（A）') THEN '选择题' WHEN contains(content, '____') OR contains(lower(content), 'underline') THEN '填空题'
