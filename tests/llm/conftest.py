@@ -40,6 +40,9 @@ def odd_tables():
         (20, "été ÀÉ naïve K \U0001f600 x y żółć", "é"), (21, "a" * 500, "z"), (22, "ab" * 300, "z"), (23, prose(30_000), "a"), (24, "x" * 8_000, "a"),
         (25, f"{shared} {shared}", "b"), (26, "mit license " * 40, "b"),
     ]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"
+    documents += [(110, f"Copyright (c) 2020 {prose(3)}\n\n{mit} of it {prose(20)}", "z"), (111, f"{mit[200:]} {prose(9)} permission is hereby granted free of charge", "z"), (112, " ".join([mit] * 30), "z"), (113, "wor\u212a mit licen\u017fe MIT LICENSE", "z")]
+    documents += [(114, f"{prose(4)} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {prose(4)}", "z")]
     # rows that share an id but not their text, and the near copies of each
     one, two, three = prose(60), prose(70), prose(50)
     near_one, near_two = (f"{x} more" for x in (one, two))

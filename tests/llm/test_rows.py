@@ -43,6 +43,11 @@ def test_license(spark, folder):
     assert counted(license.op2_license(spark, folder), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
 
 
+def test_license_bodies_without_names(spark, odd):
+    labels = {r["doc_id"]: r["labels"] for r in license.op2_license(spark, odd).where("doc_id between 110 and 114").collect()}
+    assert labels == {110: "mit", 111: "", 112: "mit", 113: "mit", 114: "bsd"}
+
+
 def contaminations(folder):
     items = defaultdict(set)
     for i, text in rows_of(folder, "item_id", "text", name="benchmark"):
