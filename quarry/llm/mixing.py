@@ -106,7 +106,8 @@ def training_order(documents: DataFrame) -> DataFrame:
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return arranged(mix(documents)).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.round(F.try_element_at("positions", F.lit(1)), 6).alias("position")
+    return arranged(mix(documents)).select("doc_id", "size", "source_size", "target", "taken", first)
 
 
 OP4_SQL = r"""
@@ -118,11 +119,12 @@ l AS (SELECT *, CAST(coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UN
              CAST(sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS room,
              row_number() OVER (ORDER BY cap / w, r) AS k, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM w),
 v AS (SELECT *, (CAST(1.5 AS DOUBLE) * total - capped) / room AS level FROM l),
-t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), w * (SELECT arg_min(level, k) FROM v WHERE level * w <= cap)) AS target FROM v),
-p AS (SELECT doc_id, size, source_size, target,
+t AS (SELECT source, source_size, [1.5, 1.0, 0.5][CAST(r % 3 AS INT) + 1]::DOUBLE AS a, [0.5, 1.0, 1.5][CAST(r % 3 AS INT) + 1]::DOUBLE AS b, least(CAST(cap AS DOUBLE), w * (SELECT arg_min(level, k) FROM v WHERE level * w <= cap)) AS target FROM v),
+p AS (SELECT doc_id, size, source_size, target, a, b,
              CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(floor(least(target, c + size)) - floor(least(target, c)) + floor(least(target, c + source_size + size)) - floor(least(target, c + source_size)) AS BIGINT) AS taken
-FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, CAST(floor(least(target, c + size)) - floor(least(target, c)) AS BIGINT) AS once, CAST(floor(least(target, c + source_size + size)) - floor(least(target, c + source_size)) AS BIGINT) AS again FROM p),
+x AS (SELECT *, CASE WHEN once > 0 THEN c / target WHEN again > 0 THEN (c + source_size) / target END AS x FROM n)
+SELECT doc_id, size, source_size, target, once + again AS taken, round((a + b) * x / (a + sqrt(greatest(a * a + (b * b - a * a) * x, 0.0))), 6) AS position
+FROM x
 """

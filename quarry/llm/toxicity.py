@@ -6,7 +6,8 @@ segment scores into E-values, and a logistic calibration on the sample turns the
 
 Edge cases: a null or empty text has no segment and gets the score of a text without evidence; without labels of both
 classes nothing is significant and all scores are the share of label 1 (0 without labels). Repeated rows are scored
-alike. Only the named columns are read, so extra columns can't clash.
+alike, and equal scores are equal evidence, so ties need no rule. Only the named columns are read, so extra columns can't
+clash.
 """
 
 from __future__ import annotations
@@ -116,7 +117,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prio
     order = np.argsort(keys)
     p, q = found["toxic"].sum() / n["toxic"], found["clean"].sum() / n["clean"]
     rest = float(np.log(max(1 - p, 1e-9)) - np.log(max(1 - q, 1e-9)))
-    odds_of = np.log((found["toxic"] + 0.5) / n["toxic"]).to_numpy(float) - np.log((found["clean"] + 0.5) / n["clean"]).to_numpy(float)
+    # the scores that segments sum up: log-odds under a Dirichlet prior of the pooled counts, worth a share of the sample's tokens
+    pooled = prior * (found["toxic"] + found["clean"]).to_numpy(float)
+    worth = prior * (n["toxic"] + n["clean"])
+    odds_of = np.log((found["toxic"].to_numpy(float) + pooled) / (n["toxic"] + worth)) - np.log((found["clean"].to_numpy(float) + pooled) / (n["clean"] + worth))
     model = Lexicon(keys[order], np.maximum(odds_of, 0.1)[order], min(rest, -1e-3))
     share = ((found["clean"] + 0.5) / n["clean"]).to_numpy(float)[order]
 
