@@ -142,8 +142,12 @@ def slots(text: str, taken: list[tuple[int, int, bool]], lefts: frozenset[str],
         return []
     tokens, out = [m.span() for m in _TOKEN.finditer(text)], []
     for i in heads:
-        a, word = tokens[i][0], text[slice(*tokens[i])]
-        a += len(word) - len(word.lstrip(_TRIM))
+        s, e = tokens[i]
+        word = text[s:e]
+        lead = len(word) - len(word.lstrip(_TRIM))
+        a = s + lead
+        left = ([*lower[max(0, i - 1) : i], word[:lead]] if lead else lower[max(0, i - 2) : i])[-2:]
+        by_left, before = len(left) == 2 and f"L:{left[0]} {left[1]}" in wanted, f"B:{left[-1]}|"
         one, best, groups = None, None, True
         for j in range(i, min(i + MOST, len(tokens))):
             s, e = tokens[j]
@@ -152,12 +156,13 @@ def slots(text: str, taken: list[tuple[int, int, bool]], lefts: frozenset[str],
             b = max(a, s) + len(text[max(a, s) : e].rstrip(_TRIM))
             if b <= max(a, s):
                 break
-            around = [p for p in _context(text, a, b) if p in wanted]
+            right = text[b:e].lower() or (lower[j + 1] if j + 1 < len(lower) else "")
+            between = right and before + right in wanted
             groups = groups and _GROUP.fullmatch(text, max(a, s), b) is not None
-            if any(p[0] == "B" for p in around):
+            if between:
                 best = (a, b)
                 break
-            if around and (j == i or groups):
+            if by_left and (j == i or groups):
                 one = (a, b)
             if b < e:
                 break
@@ -201,23 +206,21 @@ def _slots(sent):
             key, start, end, instance, patterns = [], [], [], [], []
             for k, text in zip(batch.column("key"), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                if not slots(text, [], lefts, wanted):
-                    continue
                 own = base_spans(text)
-                taken = [(a, b, False) for _, a, b in own] + [(a, b, True) for a, b in candidates(text, own)]
+                taken = [(a, b, False) for _, a, b in own] + ([(a, b, True) for a, b in candidates(text, own)] if _BUSY.search(text) else [])
                 for a, b in slots(text, taken, lefts, wanted):
                     key.append(k.as_py())
                     start.append(a)
                     end.append(b)
                     instance.append(text[a:b])
-                    patterns.append(_context(text, a, b))
+                    patterns.append([p for p in _context(text, a, b) if p in wanted])
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(instance, pa.string()), pa.array(patterns, pa.list_(pa.string()))], ["key", "start", "end", "instance", "patterns"])
 
     return run
 
 
 def slot_places(documents: DataFrame, patterns: DataFrame, block_patterns: int = 200_000) -> DataFrame | None:
-    """(key, start, end, instance, patterns) of what stands in the slots of these patterns; stored, None without patterns."""
+    """(key, start, end, instance, patterns) of what stands in the slots of these patterns, with those of them around it; stored, None without patterns."""
     n = patterns.count()
     texts, found = documents.select(row_key().alias("key"), "text"), None
     n_blocks = -(-n // block_patterns)
@@ -227,7 +230,13 @@ def slot_places(documents: DataFrame, patterns: DataFrame, block_patterns: int =
         lefts |= frozenset(p[2:].partition("|")[0] for p in wanted if p[0] == "B")  # a word that holds the bar itself
         part = texts.mapInArrow(_slots(documents.sparkSession.sparkContext.broadcast((lefts, wanted))), _SLOT)
         found = part if found is None else found.union(part)
-    return None if found is None else stored(found.dropDuplicates(["key", "start", "end"]), "pii-slots")
+    return None if found is None else stored(_merged(found), "pii-slots")
+
+
+def _merged(places: DataFrame) -> DataFrame:
+    """One row for each place, with all its patterns: a few, two for each pass that found it."""
+    every = F.array_distinct(F.flatten(F.collect_list("patterns"))).alias("patterns")
+    return places.groupBy("key", "start", "end").agg(F.first("instance").alias("instance"), every)
 
 
 def row_key():
@@ -272,7 +281,7 @@ def bootstrap(documents: DataFrame, flat: DataFrame, rounds: int = 3, least: flo
         more = slot_places(documents, fresh, block_patterns)
         asked = fresh if asked is None else asked.union(fresh)
         if more is not None:  # what else stands in the slots counts for the patterns' worth as well
-            places = more if places is None else stored(places.union(more).dropDuplicates(["key", "start", "end"]), "pii-slots")
+            places = more if places is None else stored(_merged(places.union(more)), "pii-slots")
             edges = _edges(flat.union(places.select(F.lit(None).cast("string").alias("kind"), "instance", "patterns")), salts)
             patterns = _worth(edges, belief, support, salts)
         votes = edges.where("kind is null").drop("kind").join(patterns.select("*", _salts(salts)), ["pattern", "salt"])
