@@ -45,6 +45,14 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def working_name(name: str, columns) -> str:
+    """A working column's name that no column of the caller's table has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import stored, table
+from ._store import stored, table, working_name
 
 WINDOW = 13
 _SPAN = pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
@@ -203,11 +203,11 @@ def contaminated(n_words: Column, hits: Column, share: int = 20) -> Column:
 
 def clean(documents: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The documents that aren't contaminated, with their columns. The keys of the others are broadcast up to ``broadcast_rows``."""
-    key = F.xxhash64("doc_id", "text")
+    key, gone_key = F.xxhash64("doc_id", "text"), working_name("_gone_key", documents.columns)
     found = matches(documents.select(key.alias("key"), "text"), benchmark, ("key",))
-    gone = stored(found.where(contaminated(F.col("n_words"), n_hit(F.col("spans")))).select(F.col("key").alias("_gone_key")).distinct(), "contaminated")
+    gone = stored(found.where(contaminated(F.col("n_words"), n_hit(F.col("spans")))).select(F.col("key").alias(gone_key)).distinct(), "contaminated")
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return documents.join(side, key == F.col("_gone_key"), "left_anti")
+    return documents.join(side, key == F.col(gone_key), "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

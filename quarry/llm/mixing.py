@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import table, working_name
 
 WEIGHTS = (5, 2, 1)
 #: start and end rate of a source's weight, repeating over the sources: early, even and late sources
@@ -93,8 +93,9 @@ def arranged(mixed: DataFrame, positions: str = "positions") -> DataFrame:
     """The documents in training order: range-sorted by their first position; those that aren't taken come last."""
     first = F.coalesce(F.try_element_at(positions, F.lit(1)), F.lit(2.0))
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = mixed.withColumn("_first", first).withColumn("_tie", F.xxhash64(*mixed.columns))  # spreads those of equal position
-    return rows.repartitionByRange(n, "_first", "_tie").sortWithinPartitions("_first", "_tie").drop("_first", "_tie")
+    place, tie = working_name("_first", mixed.columns), working_name("_tie", mixed.columns)
+    rows = mixed.withColumn(place, first).withColumn(tie, F.xxhash64(*mixed.columns))  # spreads those of equal position
+    return rows.repartitionByRange(n, place, tie).sortWithinPartitions(place, tie).drop(place, tie)
 
 
 def training_order(documents: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import drop, stored, table
+from ._store import drop, stored, table, working_name
 
 WORDS = 5
 BANDS, ROWS = 24, 4
@@ -355,6 +355,7 @@ def deduplicated(documents: DataFrame, percent: int = 80, broadcast_ids: int = 1
     Groups are of texts, whatever their ids: rows that share an id but no words stay both. Of rows equal in id and text one
     stays, which one of them isn't fixed; texts without words all stay.
     """
+    id_, h = (working_name(n, documents.columns) for n in ("_id", "_h"))
     rows = signed(documents)
     usable = rows.where("n_shingles > 0")
     named, _ = linked_classes(documents, usable, percent, 4096, broadcast_ids, False)
@@ -362,11 +363,11 @@ def deduplicated(documents: DataFrame, percent: int = 80, broadcast_ids: int = 1
     member = stored(member.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n")), "member")
     rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "h")
     least = member.groupBy("component").agg(F.min(rank).alias("least"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
-    told = stored(member.join(least, "component").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (rank != F.col("least")).alias("goes"), "n"), "told")
-    gone, again = told.where("goes").select("_id", "_h"), told.where("not goes and n > 1").select("_id", "_h")
+    told = stored(member.join(least, "component").select(F.col("doc_id").alias(id_), F.col("h").alias(h), (rank != F.col("least")).alias("goes"), "n"), "told")
+    gone, again = told.where("goes").select(id_, h), told.where("not goes and n > 1").select(id_, h)
     drop(member)
     some = lambda side: F.broadcast(side) if side.count() <= broadcast_ids else side
-    the_same = documents["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"]) == F.col("_h"))
+    the_same = documents["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(documents["text"]) == F.col(h))
     out = documents.join(some(gone), the_same, "left_anti")
     if again.isEmpty():
         return out

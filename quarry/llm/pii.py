@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stored, table
+from ._store import stored, table, working_name
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -331,15 +331,16 @@ def redacted(documents: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     The few texts with discovered spans are broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond.
     """
     more = stored(discovered(documents, extracted(documents)), "pii-more")
-    side = more.select(F.col("key").alias("_pii_key"), F.col("more").alias("_pii_more"))
+    names = documents.columns
+    own, key, found = (working_name(n, names) for n in ("_own_key", "_pii_key", "_pii_more"))
+    side = more.select(F.col("key").alias(key), F.col("more").alias(found))
     if more.count() <= broadcast_rows:
         side = F.broadcast(side)
-    names = documents.columns
-    rows = documents.withColumn("_pii_key_", row_key()).join(side, F.col("_pii_key_") == F.col("_pii_key"), "left").select(*names, "_pii_more")
+    rows = documents.withColumn(own, row_key()).join(side, F.col(own) == F.col(key), "left").select(*names, found)
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([_redact(t.as_py(), m.as_py()) for t, m in zip(batch.column("text"), batch.column("_pii_more"), strict=True)], pa.string())
+            texts = pa.array([_redact(t.as_py(), m.as_py()) for t, m in zip(batch.column("text"), batch.column(found), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names)
 
     out = rows.mapInArrow(run, documents.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import held_out, label_sample, table
+from ._store import held_out, label_sample, table, working_name
 
 FEATURES = ("log_bytes", "log_words", "word_bytes", "upper", "digit", "punct", "symbol", "newline", "high", "distinct", "line_bytes", "line_copies", "short_words", "long_words", "upper_words", "marked_words", "ends", "pair_copies")
 
@@ -173,9 +173,7 @@ def scored(documents: DataFrame, model: Trees, column: str = "score") -> DataFra
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns."""
-    name = "quality_score"
-    while name in documents.columns:
-        name += "_"
+    name = working_name("quality_score", documents.columns)
     return scored(documents, fit(documents, labels), name).where(F.col(name) >= threshold).drop(name)
 
 

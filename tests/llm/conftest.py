@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-CLASHING = ("score", "key", "label", "size", "taken", "target", "words", "places", "spans", "n_words", "text_")
+CLASHING = ("score", "key", "label", "size", "taken", "target", "words", "places", "spans", "n_words", "text_", "_first", "_tie", "_id", "_h", "h", "component", "_gone_key", "_own_key", "_pii_key", "_pii_more", "quality_score", "_kept", "_size", "_source", "positions")
 
 
 def write(folder, documents, labels=(), benchmark=()):
