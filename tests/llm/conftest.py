@@ -9,10 +9,10 @@ import pytest
 CLASHING = ("score", "key", "label", "size", "taken", "target", "words", "places", "spans", "n_words", "text_", "_first", "_tie", "_id", "_h", "h", "component", "_gone_key", "_own_key", "_pii_key", "_pii_more", "quality_score", "_kept", "_size", "_source", "positions")
 
 
-def write(folder, documents, labels=(), benchmark=()):
-    """documents: (doc_id, text, source); labels: (doc_id, quality, toxic); benchmark: (item_id, text)."""
+def write(folder, documents, labels=(), benchmark=(), langs=None):
+    """documents: (doc_id, text, source); labels: (doc_id, quality, toxic); benchmark: (item_id, text); langs: of the documents, else null."""
     ids, texts, sources = zip(*documents, strict=True) if documents else ((), (), ())
-    columns = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.nulls(len(ids), pa.string()), "source": pa.array(sources, pa.string()), "n_chars": pa.nulls(len(ids), pa.int64())}
+    columns = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs or [None] * len(ids), pa.string()), "source": pa.array(sources, pa.string()), "n_chars": pa.nulls(len(ids), pa.int64())}
     columns |= {c: pa.array(["x"] * len(ids), pa.string()) for c in CLASHING}
     pq.write_table(pa.table(columns), f"{folder}/documents.parquet")
     a, b, c = zip(*labels, strict=True) if labels else ((), (), ())

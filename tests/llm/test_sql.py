@@ -21,7 +21,7 @@ def test_empty(spark, empty, name):
     assert QUERIES[name](spark, empty).collect() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op7_search"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op7_search", "op11_whitening", "op12_warc", "op13_audit"}))
 def test_odd_rows_stay(spark, odd, name):
     """One row out for each row in, null and repeated ids included."""
     assert sorted(map(str, (r["doc_id"] for r in QUERIES[name](spark, odd).collect()))) == sorted(map(str, (r["doc_id"] for r in spark.read.parquet(f"{odd}/documents.parquet").collect())))
