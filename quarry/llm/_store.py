@@ -40,9 +40,13 @@ def drop(df: DataFrame) -> None:
     """Delete a table that stored() wrote and nothing will read again."""
     path = getattr(df, "_quarry_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        removed(df.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one, whatever file system it is on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def working_name(name: str, columns) -> str:

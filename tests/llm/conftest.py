@@ -19,9 +19,20 @@ def write(folder, documents, labels=(), benchmark=(), langs=None):
     pq.write_table(pa.table({"doc_id": pa.array(a, pa.int64()), "quality": pa.array(b, pa.int32()), "toxic": pa.array(c, pa.int32())}), f"{folder}/labels.parquet")
     a, b = zip(*benchmark, strict=True) if benchmark else ((), ())
     pq.write_table(pa.table({"item_id": pa.array(a, pa.int64()), "text": pa.array(b, pa.string())}), f"{folder}/benchmark.parquet")
+    others(folder, [], [])
     return str(folder)
 
 
+def others(folder, embeddings, pages):
+    """embeddings: (vec_id, vector); pages: (page_id, url, html)."""
+    a, b = zip(*embeddings, strict=True) if embeddings else ((), ())
+    clashing = {c: pa.array(["x"] * len(a), pa.string()) for c in ("x", "n", "w", "k", "up", "part", "deviation")}
+    pq.write_table(pa.table({"vec_id": pa.array(a, pa.int64()), "embedding": pa.array(b, pa.list_(pa.float32())), "label": pa.nulls(len(a), pa.int32()), **clashing}), f"{folder}/embeddings.parquet")
+    a, b, c = zip(*pages, strict=True) if pages else ((), (), ())
+    clashing = {x: pa.array(["x"] * len(a), pa.string()) for x in ("digest", "first", "salt", "url_key", "captured", "run", "range", "position", "refers_to", "n_bytes")}
+    pq.write_table(pa.table({"page_id": pa.array(a, pa.int64()), "url": pa.array(b, pa.string()), "html": pa.array(c, pa.string()), **clashing}), f"{folder}/pages.parquet")
+
+
 def odd_tables():
     r = random.Random(5)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(400)]
@@ -55,7 +66,18 @@ def odd_tables():
 
 @pytest.fixture(scope="session")
 def odd(tmp_path_factory):
-    return write(tmp_path_factory.mktemp("odd"), *odd_tables())
+    folder = tmp_path_factory.mktemp("odd")
+    write(folder, *odd_tables())
+    others(folder, [(1, [0.5, 1.0]), (1, [0.5, 1.0]), (2, None), (None, [0.25, -2.0]), (3, [float("nan"), 1.0]), (4, [3.0])], odd_pages())
+    return str(folder)
+
+
+def odd_pages():
+    body = "<p>" + "same words again " * 10
+    urls = ["https://www.Example.COM/a?b=1#c", "http://example.com/a?b=1", "http://example.com", "ftp://x.y.z:21/p q\tr\n", "", None, "no scheme/at all", "HTTP://ÄÖ.example.com/ü", "http://www2.b.org?x#y#z", "://odd", "a" * 5000]
+    rows = [(k, urls[k % len(urls)], f"{k}" if k % 3 else body) for k in range(40)]
+    rows += [(None, urls[0], body), (None, None, None), (7, None, ""), (7, "http://example.com/a?b=1", body), (0, urls[0], body), (-5, urls[1], "short"), (90, urls[0], "x" * 300_000), (91, urls[0], "a\r\n\r\nWARC/1.1\r\n" * 20), (92, urls[0], "a\r\n\r\nWARC/1.1\r\n" * 20), (93, urls[0], "é" * 50), (94, urls[1], "é" * 50), (95, urls[1], "é" * 49), (96, urls[1], "é" * 49)]
+    return rows
 
 
 @pytest.fixture(scope="session")
