@@ -60,7 +60,8 @@ def cells(documents: DataFrame, labels: DataFrame, part: str = "lang") -> DataFr
     copies = same.withColumn("copies", F.col("with_id") - F.when(first, F.col("n_least")).otherwise(0))
     both = F.array(F.struct(F.lit(False).alias("E"), (F.col("n") - F.col("copies")).alias("n")), F.struct(F.lit(True).alias("E"), F.col("copies").alias("n")))
     split = copies.select("part", "failed.*", "good", "toxic", F.explode(both).alias("s")).select("part", *"ABCD", "s.E", "good", "toxic", "s.n")
-    return split.where("n > 0").groupBy("part", *FILTERS, "good", "toxic").agg(F.sum("n").alias("n"))
+    counts = split.where("n > 0").groupBy("part", *FILTERS, "good", "toxic").agg(F.sum("n").alias("n"))
+    return counts.coalesce(documents.sparkSession.sparkContext.defaultParallelism)  # few rows, so no task for each shuffle partition
 
 
 def survivors(counts: DataFrame, filters: str = FILTERS, total: bool = False) -> DataFrame:
