@@ -55,8 +55,7 @@ def bank(joined: DataFrame, offset: int = 15) -> DataFrame:
     good = numbered_only(succeeded(joined))
     crop = normalize.portable_path(F.col("crop"))
     rows = good.select("page", "index", "qnum", "content", (F.col("page") - offset).alias("printed_page"), F.nullif(crop, F.lit("")).alias("cropped"), (F.coalesce("crop", F.lit("")) != "").alias("has_image"))
-    rows = rows.withColumn("_order", F.col("page").cast("long") * 4096 + F.col("index"))
-    return sequence.numbered(rows, "_order", name="id", width=1 << 18).drop("_order")
+    return sequence.numbered_within(rows, "page", "index", name="id")
 
 
 def outcomes(joined: DataFrame) -> DataFrame:

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import first_range
 
-def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, name: str, default=None, most: int = 100_000) -> DataFrame:
-    """The first closed range (name, start, end, ord) that holds the value, or the default.
 
-    The ranges are a dimension, broadcast up to ``most`` rows. Larger ones are exploded to their integer points, so the
-    join is on equality.
-    """
-    if ranges.limit(most + 1).count() <= most:
-        side = F.broadcast(ranges.agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "name"))).alias("_ranges")))
-        found = F.element_at(F.concat(F.filter("_ranges", lambda r: F.col(at).between(r["start"], r["end"])), F.array(F.lit(None).cast("struct<ord:int,start:int,end:int,name:string>"))), 1)["name"]
-        return rows.join(side, F.lit(True), "left").withColumn(name, F.coalesce(found, F.lit(default))).drop("_ranges")
-    points = ranges.select(F.explode(F.sequence("start", "end")).alias("_point"), "ord", "name").groupBy("_point").agg(F.min_by("name", "ord").alias(name))
-    return rows.join(points, F.col(at) == F.col("_point"), "left").drop("_point").withColumn(name, F.coalesce(name, F.lit(default)))
+def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, name: str, default=None) -> DataFrame:
+    """The first closed range (name, start, end, ord) that holds the value, or the default; see ``intervals.first_range``."""
+    return first_range(rows, ranges, at, name, default)
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, reach: int = 3, most: int = 100_000) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: fixed values: delimiters of display math, and a subscript pair whose digits each have braces of their own
-OPENING, CLOSING = r"\$\$|\\\[|\\begin\{[^}]+\}", r"\$\$|\]|\\end\{[^}]+\}"
+#: fixed values: a subscript pair whose digits each have braces of their own, and an empty bracket before a final dollar
 DOUBLED_SUBSCRIPT = r"_\{\(_\{(\d+)\},_\{(\d+)\}\)\}"
+EMPTY_BRACKET = r"=（\s*）\$。"
+STOP = "。"
 
 
 def subscripts(text: Column) -> Column:
@@ -23,23 +24,34 @@ def blank_suffix(text: Column) -> Column:
     return F.when(odd & text.rlike(r"\\_\$。$"), fixed).otherwise(text)
 
 
-def full_stops_outside(text: Column) -> Column:
-    r"""A full stop that ends display math moves behind it; an empty bracket before a final dollar becomes (\quad).
+def _stop_behind(text: Column, opening: str, closing: str, end: str) -> Column:
+    """Behind each opening, the first stop right before a closing goes behind the end of that closing, if no dollar stands between."""
+    pieces = F.split(text, "\\Q" + opening + "\\E", -1)
 
-    The text is cut at the stops before a closing delimiter. Such a stop moves if an opening one stands before it, since
-    the last move, with something but no dollar in between.
-    """
-    cut = F.split(text, f"。(?={CLOSING})")
+    def moved(piece: Column, i: Column) -> Column:
+        at = F.instr(piece, STOP + closing)
+        rest = F.substr(piece, at + 1)
+        until = F.instr(rest, end) + (len(end) - 1)
+        known = (i > 0) & (at > 1) & ~F.left(piece, at - 1).contains("$") & (F.instr(rest, end) > 0)
+        return F.when(known, F.concat(F.left(piece, at - 1), F.left(rest, until), F.lit(STOP), F.substr(rest, until + 1))).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, moved), opening)
 
-    def step(s: Column, piece: Column) -> Column:
-        mark = F.regexp_extract(piece, f"^(?:{CLOSING})", 0)
-        moved = s["now"].rlike(f"(?:{OPENING})[^$]+$")
-        rest = F.substring(piece, F.length(mark) + 1, F.length(piece))
-        return F.struct(F.when(moved, F.concat(s["out"], s["now"], mark, F.lit("。"))).otherwise(s["out"]).alias("out"), F.when(moved, rest).otherwise(F.concat(s["now"], F.lit("。"), piece)).alias("now"))
 
-    zero = F.struct(F.lit("").alias("out"), F.element_at(cut, 1).alias("now"))
-    moved = F.when(F.size(cut) > 1, F.aggregate(F.slice(cut, 2, 1 << 20), zero, step, lambda s: F.concat(s["out"], s["now"]))).otherwise(text)
-    return F.regexp_replace(moved, r"=（\s*）\$。", r"=(\\quad)\$。")
+def full_stops_outside(text: Column) -> Column:
+    r"""A full stop that ends a display moves behind it; an empty bracket before a final dollar becomes (\quad).
+
+    Displays are environments, then those that \[ opens and ] closes, then what stands between two double dollars, so a
+    stop in an environment between dollars may end up behind the dollars. A display that holds a dollar, or the stop
+    only, stays.
+    """
+    inner = _stop_behind(_stop_behind(text, r"\begin{", r"\end{", "}"), r"\[", "]", "]")
+    pieces = F.split(inner, r"\Q$$\E", -1)
+    ends = lambda p, i: (i > 0) & (i < F.size(pieces) - 1) & (F.length(p) > 1) & p.endswith(STOP) & ~p.contains("$")
+    # what follows a display takes over its stop
+    taken = lambda i: F.when((i > 1) & ends(F.get(pieces, F.greatest(i - 1, F.lit(0))), i - 1), STOP).otherwise("")
+    whole = F.transform(pieces, lambda p, i: F.concat(taken(i), F.when(ends(p, i), F.left(p, F.length(p) - 1)).otherwise(p)))
+    return F.regexp_replace(F.array_join(whole, "$$"), EMPTY_BRACKET, r"=(\\quad)\$。")
 
 
 def cleaned(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -24,6 +24,20 @@ def numbered(rows: DataFrame, order: str, keys: tuple[str, ...] = (), name: str
     return out.select(*rows.columns, name)
 
 
+def numbered_within(rows: DataFrame, outer: str, inner: str, name: str = "number") -> DataFrame:
+    """1..n over all rows by (outer, inner): numbered inside each outer value, on from the rows of those before it.
+
+    Values may be of any size, and one outer value may hold most rows. The outer values' counts are summed by blocks first.
+    """
+    counts = rows.groupBy(F.col(outer).alias("_outer")).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_outer") / 4096))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(F.col("_block").alias("_of")).agg(F.sum("_n").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier(Window.orderBy("_of"))), F.lit(0)))
+    starts = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("_block").orderBy("_outer"))), F.lit(0)))
+    starts = starts.join(blocks, F.col("_block").eqNullSafe(F.col("_of"))).select("_outer", (F.col("_inside") + F.col("_before")).alias("_first"))
+    joined = numbered(rows, inner, (outer,), name).join(starts, F.col(outer).eqNullSafe(F.col("_outer")))
+    return joined.select(*rows.columns, (F.col(name) + F.col("_first")).alias(name))
+
+
 def running_start(counts: DataFrame, order: str, count: str, first: int = 1, keys: tuple[str, ...] = (), name: str = "start") -> DataFrame:
     """The number at which each page's run begins: ``first`` plus the counts of the pages before."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -154,7 +154,22 @@ def fixed_chapter_order(spark, sf_dir):
     return publish.in_fixed_order(named, ranges.select("ord", F.col("name").alias("chapter")))
 
 
-@_query(rf"WITH {DOCS_SQL}, s AS (SELECT ord, content || '$$x' || ord || '。$$ \[y。] \begin{{a}}z。\end{{a}}' AS t FROM q) SELECT ord, md5(regexp_replace(regexp_replace(t, '(\\\[|\\begin\{{[^}}]+\}}|\$\$)([^$]+?)。(\]|\\end\{{[^}}]+\}}|\$\$)', '\1\2\3。', 'g'), '=（\s*）\$。', '=(\\quad)$。', 'g')) AS after_md5 FROM s")
+def _behind_sql(text: str, opening: str, closing: str, end: str) -> str:
+    """The rule in words: cut at the openings; the first stop before a closing, without a dollar before it, goes behind that closing."""
+    at, rest = f"instr(p, '。{closing}')", f"substr(p, instr(p, '。{closing}') + 1)"
+    until = f"(instr({rest}, '{end}') + {len(end) - 1})"
+    known = f"i > 1 AND {at} > 1 AND NOT contains(left(p, {at} - 1), '$') AND instr({rest}, '{end}') > 0"
+    return f"array_to_string(list_transform(string_split({text}, '{opening}'), lambda p, i: CASE WHEN {known} THEN left(p, {at} - 1) || left({rest}, {until}) || '。' || substr({rest}, {until} + 1) ELSE p END), '{opening}')"
+
+
+def _ends_sql(i: str) -> str:
+    return f"({i} > 1 AND {i} < len(d) AND length(d[{i}]) > 1 AND d[{i}][-1] = '。' AND NOT contains(d[{i}], '$'))"
+
+
+@_query(rf"""WITH {DOCS_SQL}, s AS (SELECT ord, content || '$$x' || ord || '。$$ \[y。] \begin{{a}}z。\end{{a}}' AS t FROM q), e AS (SELECT ord, {_behind_sql("t", chr(92) + "begin{", chr(92) + "end{", "}")} AS t FROM s),
+b AS (SELECT ord, string_split({_behind_sql("t", chr(92) + "[", "]", "]")}, '$$') AS d FROM e),
+m AS (SELECT ord, array_to_string(list_transform(d, lambda p, i: CASE WHEN {_ends_sql("(i - 1)")} THEN '。' ELSE '' END || CASE WHEN {_ends_sql("i")} THEN left(p, length(p) - 1) ELSE p END), '$$') AS t FROM b)
+SELECT ord, md5(array_to_string(list_transform(string_split(t, '=（'), lambda p, i: CASE WHEN i > 1 AND starts_with(ltrim(p, ' ' || chr(9) || chr(10) || chr(13)), '）$。') THEN '(' || chr(92) || 'quad)' || substr(ltrim(p, ' ' || chr(9) || chr(10) || chr(13)), 2) WHEN i > 1 THEN '（' || p ELSE p END), '=')) AS after_md5 FROM m""")
 def repair_full_stops(spark, sf_dir):
     shown = docs(spark, sf_dir).select("ord", F.concat("content", F.lit("$$x"), F.col("ord").cast("string"), F.lit(r"。$$ \[y。] \begin{a}z。\end{a}")).alias("t"))
     return shown.select("ord", F.md5(repair.full_stops_outside(F.col("t"))).alias("after_md5"))

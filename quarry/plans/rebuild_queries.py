@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lenient, rules
 from ..functions import text as T
-from ..operators import layout, markers, normalize, rebuild, repair
+from ..operators import layout, markers, normalize, rebuild, repair, sequence
 from ..sources import files
 from .page_queries import PAGES
 from .queries import _STRIP, CHAPTERS, DOCS_SQL, ISSUES_SQL, _issues, _pick, _query, _quoted, docs
@@ -241,10 +241,14 @@ def page_order(spark, sf_dir):
 @_query(f"WITH {WORK_SQL} SELECT page, index, row_number() OVER (ORDER BY page, index) AS place FROM w")
 def sorted_boxes(spark, sf_dir):
     """Boxes in order of page and place."""
-    from ..operators import sequence
+    return sequence.numbered_within(_work(spark, sf_dir)[0].select("page", "index"), "page", "index", "place").select("page", "index", F.col("place").cast("long").alias("place"))
 
-    rows = _work(spark, sf_dir)[0].select("page", "index", (F.col("page").cast("long") * 4096 + F.col("index")).alias("at"))
-    return sequence.numbered(rows, "at", name="place", width=1 << 18).select("page", "index", F.col("place").cast("long").alias("place"))
+
+@_query("SELECT page, index, row_number() OVER (ORDER BY page, index) AS place FROM (SELECT DISTINCT CAST(l_suppkey AS INT) AS page, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS index FROM lineitem)")
+def sorted_boxes_of_long_pages(spark, sf_dir):
+    """A supplier is a page here, so pages hold many boxes of any index."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("int").alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("index")).distinct()
+    return sequence.numbered_within(rows, "page", "index", "place").select("page", "index", F.col("place").cast("long").alias("place"))
 
 
 @_query(f"WITH {DOCS_SQL} SELECT chapter, count(*) AS n, row_number() OVER (ORDER BY chapter NULLS FIRST) AS place FROM q GROUP BY chapter")

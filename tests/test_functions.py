@@ -79,8 +79,8 @@ def test_relations(spark):
     q = spark.createDataFrame([(1, 10), (2, 30)], "q int, page int")
     assert {r["q"]: r["nearest"] for r in relate.nearest(q, figures, "q", "page", "at").collect()} == {1: 8, 2: None}
     ranges = spark.createDataFrame([(0, "a", 2, 13), (1, "b", 14, 33)], "ord int, name string, start int, end int")
-    for most in (10, 0):  # the broadcast way and the way beyond its bound
-        found = relate.range_lookup(spark.createDataFrame([(2,), (13,), (34,)], "p int"), ranges, "p", "c", "none", most)
+    for rows in ([(2,), (13,), (34,)], [(2,), (2,), (13,), (34,), (34,)]):
+        found = relate.range_lookup(spark.createDataFrame(rows, "p int"), ranges, "p", "c", "none")
         assert {r["p"]: r["c"] for r in found.collect()} == {2: "a", 13: "a", 34: "none"}
     left = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "k int, y int")
     right = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], "k int, n int")

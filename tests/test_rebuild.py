@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 from quarry.functions import lenient, rules
-from quarry.operators import repair
+from quarry.operators import rebuild, repair, sequence
 from quarry.plans import publish
 from quarry.sources import files, questions
 from quarry.streaming import ingest
@@ -64,5 +64,14 @@ def test_calls_are_tried_again(tmp_path):
 def test_escapes_and_stops(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(lenient.letters_escaped(F.lit(r'\x "\frac \n é \\a \" \b" \y'))) == r'\x "\\frac \\n é \\\a \" \\b" \y'
-    for text, want in (("$$a。$$", "$$a$$。"), (r"\[a。]", r"\[a]。"), ("$$a$$b。$$", "$$a$$b$$。"), ("$$a$b。$$", "$$a$b。$$"), (r"$$\begin{a}x。\end{a}。$$", r"$$\begin{a}x\end{a}。。$$"), ("x=（ ）$。", r"x=(\quad)$。")):
+    for text, want in (("$$a。$$", "$$a$$。"), (r"\[a。]", r"\[a]。"), ("$$a$$b。$$", "$$a$$b$$。"), ("$$a$b。$$", "$$a$b。$$"), (r"$$\begin{a}x。\end{a}。$$", r"$$\begin{a}x\end{a}。$$。"), (r"$$\begin{a}x。\end{a}$$", r"$$\begin{a}x\end{a}$$。"), (r"\[a[1]b。] c", r"\[a[1]b]。 c"), ("$$。$$", "$$。$$"), ("$$a。", "$$a。"), (r"\begin{a}x。\end{a", r"\begin{a}x。\end{a"), ("$$a。$$b。$$", "$$a$$。b$$。"), ("", ""), ("x=（ ）$。", r"x=(\quad)$。")):
         assert one(repair.full_stops_outside(F.lit(text))) == want, text
+
+
+def test_boxes_of_any_index(spark):
+    """The box of index 5000 on page 1 comes before page 2; pages and indices have no bound."""
+    boxes = [(1, 1), (2, 1), (1, 5000), (10**7, 3), (10**7, 2**40), (-3, 7), (4096, 1), (8191, 1)]
+    rows = spark.createDataFrame(boxes, "page long, index long")
+    assert {(r["page"], r["index"]): r["n"] for r in sequence.numbered_within(rows, "page", "index", "n").collect()} == {b: k + 1 for k, b in enumerate(sorted(boxes))}
+    joined = rows.select("page", "index", F.lit("t").alias("crop"), F.lit("1").alias("qnum"), F.lit("x").alias("content"), F.lit(None).cast("string").alias("error"))
+    assert [(r["page"], r["index"]) for r in rebuild.bank(joined).orderBy("id").collect()] == sorted(boxes)
