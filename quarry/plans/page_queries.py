@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import layout, markers, relate, repair
+from ..operators import layout, marked, markers, relate, repair
 from . import publish
 from .queries import _STRIP, CHAPTERS, DOCS_SQL, ISSUES_SQL, _issues, _pick, _query, docs
 
@@ -37,6 +37,24 @@ def marker_pieces(spark, sf_dir):
     return p.select("ord", F.col("position").cast("long").alias("position"), "kind", F.md5("marker").alias("marker_md5"), F.md5("body").alias("body_md5"))
 
 
+@_query(f"WITH {PIECES_SQL} SELECT ord, position, kind, md5(marker) AS marker_md5, md5(body) AS body_md5 FROM mk")
+def marked_pieces(spark, sf_dir):
+    """The same from SQL, by the table function."""
+    marked.register(spark)
+    return spark.sql("SELECT ord, position, kind, md5(marker) AS marker_md5, md5(body) AS body_md5 FROM marked(TABLE({pages}) PARTITION BY ord ORDER BY (ord), 'text')", pages=_pages(spark, sf_dir))
+
+
+@_query(rf"""WITH {PIECES_SQL}, ch AS (SELECT doc_id AS ord, source AS chapter FROM documents WHERE doc_id IS NOT NULL),
+of AS (SELECT ord, chapter, CAST(coalesce(sum(length(t)) OVER (PARTITION BY chapter ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM pg JOIN ch USING (ord))
+SELECT ord, chapter, position, "offset", coalesce(last_value(CASE WHEN kind = 'section' THEN marker END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY ord, k), '基础题') AS section,
+  coalesce(last_value(CASE kind WHEN 'section' THEN '选择题' WHEN 'topic' THEN marker END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY ord, k), '选择题') AS topic FROM mk JOIN of USING (ord)""")
+def marked_chapters(spark, sf_dir):
+    """Sections, topics and offsets that go on from page to page of a chapter, by the table function."""
+    marked.register(spark)
+    pages = _pages(spark, sf_dir).join(docs(spark, sf_dir).select("ord", "chapter"), "ord")
+    return spark.sql("SELECT ord, chapter, position, offset, section, topic FROM marked(TABLE({pages}) PARTITION BY chapter ORDER BY (ord), 'text')", pages=pages)
+
+
 @_query(rf"""WITH {PIECES_SQL},
 st AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'section' THEN marker END IGNORE NULLS) OVER (PARTITION BY ord ORDER BY k), '基础题') AS section,
   coalesce(last_value(CASE kind WHEN 'section' THEN '选择题' WHEN 'topic' THEN marker END IGNORE NULLS) OVER (PARTITION BY ord ORDER BY k), '选择题') AS topic,
