@@ -1,12 +1,14 @@
 """Exact top-k search with BM25 and block-max WAND.
 
-Each scan task is a shard: it builds an inverted index (postings by document, in blocks with their largest impact) over
-the terms that some query asks for, and runs block-max WAND for each query with the collection's statistics, counted
+Each scan task is a shard: it builds an inverted index (postings by document, in blocks of ``BLOCK`` documents with their
+largest impact) over the terms that some query asks for, and answers each query with the collection's statistics, counted
 over all documents beforehand. The shards' top k are merged; as impacts are global, the merge is exact.
 
-A query asks for every distinct word of its document that another one shares. One of more than ``MANY`` words is scored
-term at a time over all its postings in the shard, which is exact as well: its bound passes the threshold nearly
-everywhere, so that there is little to skip.
+A query asks for every distinct word of its document that another one shares, so it may hold hundreds. Its terms are
+taken from the largest impact down, several at once in vectors. The k-th best of the sums so far is a threshold; once the
+terms left can't lift a document over it by themselves, only documents whose sum and whose block's largest impacts of
+these terms pass it stay, and of the terms left, which have the longest postings, only blocks that hold such documents
+are read. The test is WAND's for each document and block; queries of every length take this way.
 
 So that not every shard tells k rows of every query, the search climbs a ladder: first over a share of the documents
 (by hash of the id) of about one shard, then over shares ``STEP`` times as large, up to all. A query's k-th score over a
@@ -17,15 +19,13 @@ Queries are taken in blocks of at most ``block_queries`` queries and about ``blo
 another; a further block is a further pass over the texts.
 
 Edge cases: a null or empty text has no terms and is never found; rows without id are not searched; a query without
-terms finds nothing. Rows that share an id are documents of their own; as a query, an id asks for the words of all its
+terms finds nothing. Scores are equal that agree to nine decimals. Rows that share an id are documents of their own; as a query, an id asks for the words of all its
 rows and finds none of them. Ties are broken by the smaller id. An empty table gives an empty result. Only named columns
 are read.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,8 +36,6 @@ from ._store import drop, stored, table
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: words of a query from which on all its postings are added up
-MANY = 16
 #: how much larger the share of the documents is at each step of the ladder
 STEP = 8
 
@@ -107,92 +105,76 @@ def more_like(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return own.join(terms.where("df > 1"), "term").select("qid", "word", "term", "df").distinct()
 
 
-class Postings:
-    """One term's postings in a shard: documents ascending, impacts, and the last document and largest impact of each block."""
-
-    __slots__ = ("docs", "impacts", "last", "peak", "most", "at")
-
-    def __init__(self, docs: np.ndarray, impacts: np.ndarray):
-        self.docs, self.impacts, self.at = docs.tolist(), impacts.tolist(), 0
-        cut = range(0, len(self.docs), BLOCK)
-        self.last = [self.docs[min(c + BLOCK, len(self.docs)) - 1] for c in cut]
-        self.peak = [max(self.impacts[c : c + BLOCK]) for c in cut]
-        self.most = max(self.peak)
-
-
-def _advance(p: Postings, at: int, doc: int) -> int:
-    """The first posting from ``at`` on with a document of at least ``doc``; whole blocks are skipped by their last document."""
-    n = len(p.docs)
-    block = at // BLOCK
-    while at < n and block < len(p.last) and p.last[block] < doc:
-        block += 1
-        at = block * BLOCK
-    while at < n and p.docs[at] < doc:
-        at += 1
-    return at
-
-
-def block_max_wand(lists: list[Postings], k: int, skip: range = range(0), floor: float = -1.0) -> list[tuple[float, int]]:
-    """The k best (score, document) over the union of the lists that score over ``floor``; ties go to the smaller document; those in ``skip`` are left out."""
-    at, heap, slack = [0] * len(lists), [], 1 + 1e-12
-    active = list(range(len(lists)))
-    while True:
-        active = [i for i in active if at[i] < len(lists[i].docs)]
-        if not active:
-            break
-        active.sort(key=lambda i: lists[i].docs[at[i]])
-        least = max(heap[0][0], floor) if len(heap) == k else floor
-        bound, pivot = 0.0, -1
-        for n, i in enumerate(active):
-            bound += lists[i].most
-            if bound * slack > least:
-                pivot = n
-                break
-        if pivot < 0:
-            break
-        doc = lists[active[pivot]].docs[at[active[pivot]]]
-        while pivot + 1 < len(active) and lists[active[pivot + 1]].docs[at[active[pivot + 1]]] == doc:
-            pivot += 1
-        bound, until = 0.0, doc
-        ends = []
-        for i in active[: pivot + 1]:  # the blocks in which the pivot would stand
-            p, block = lists[i], at[i] // BLOCK
-            while block < len(p.last) and p.last[block] < doc:
-                block += 1
-            if block < len(p.last):
-                bound += p.peak[block]
-                ends.append(p.last[block])
-        if bound * slack > least:
-            if lists[active[0]].docs[at[active[0]]] == doc:
-                here = sorted(i for i in active[: pivot + 1] if lists[i].docs[at[i]] == doc)
-                score = 0.0
-                for i in here:  # always in the query's order, so equal documents get equal scores
-                    score += lists[i].impacts[at[i]]
-                    at[i] += 1
-                if doc not in skip and score > floor:
-                    if len(heap) < k:
-                        heapq.heappush(heap, (score, -doc))
-                    elif score > heap[0][0]:
-                        heapq.heapreplace(heap, (score, -doc))
-            else:
-                for i in active[:pivot]:
-                    at[i] = _advance(lists[i], at[i], doc)
-        else:
-            until = min(ends) + 1
-            if pivot + 1 < len(active):
-                until = min(until, lists[active[pivot + 1]].docs[at[active[pivot + 1]]])
-            until = max(until, doc + 1)
-            for i in active[: pivot + 1]:
-                at[i] = _advance(lists[i], at[i], until)
-    return sorted(((s, -d) for s, d in heap), key=lambda x: (-x[0], x[1]))
-
-
-def add_up(docs: np.ndarray, impacts: np.ndarray, n: int, k: int, skip: range = range(0), floor: float = -1.0) -> list[tuple[float, int]]:
-    """The k best (score, document) of n documents by the sums of their postings; ties, ``skip`` and ``floor`` as in block_max_wand()."""
-    score = np.bincount(docs, impacts, n)
-    score[skip.start : skip.stop] = 0.0
-    least = max(np.partition(score, n - k)[n - k] - 1e-6, floor, 0.0) if n > k else max(floor, 0.0)
-    found = np.flatnonzero(score > least)
+class Index:
+    """A shard's postings by term and document: impacts, each term's largest one, and the same of each block of documents."""
+
+    def __init__(self, term: np.ndarray, row: np.ndarray, impact: np.ndarray, n_terms: int, n_docs: int):
+        by = np.lexsort((row, term))
+        self.row, self.impact, term, self.n = row[by], impact[by], term[by], n_docs
+        self.edge = np.searchsorted(term, np.arange(n_terms + 1))
+        block = self.row // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.block, self.begin, self.end = block[new], new, np.append(new[1:], len(term))
+        self.block_edge = np.searchsorted(new, self.edge)
+        self.peak = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
+        self.most = np.zeros(n_terms)
+        held = np.flatnonzero(self.edge[1:] > self.edge[:-1])
+        if len(held):
+            self.most[held] = np.maximum.reduceat(self.impact, self.edge[held])
+        self.read = self.skipped = 0  # postings
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin[0]..end[0]-1, begin[1]..end[1]-1, ... as one array."""
+    size = end - begin
+    total = int(size.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    out = np.ones(total, np.int64)
+    full = size > 0
+    begin, size = begin[full], size[full]
+    at = np.cumsum(size)[:-1]
+    out[0] = begin[0]
+    out[at] = begin[1:] - (begin[:-1] + size[:-1] - 1)
+    return np.cumsum(out)
+
+
+def best(index: Index, asked: np.ndarray, k: int, skip: range = range(0), floor: float = -1.0) -> list[tuple[float, int]]:
+    """The k best (score, document) over the asked terms that score over ``floor``; equal to nine decimals, the smaller document goes first; those in ``skip`` are left out."""
+    asked = asked[np.argsort(-index.most[asked], kind="stable")]
+    size = index.edge[asked + 1] - index.edge[asked]
+    left = np.append(np.cumsum(index.most[asked][::-1])[::-1], 0.0)  # what the terms from here on add at most
+    score, done, least, slack = np.zeros(index.n), 0, floor, 1e-8
+
+    def threshold() -> float:
+        if index.n <= k:
+            return floor
+        return max(floor, float(np.partition(score, index.n - k)[index.n - k]))
+
+    chunk = 4
+    while done < len(asked) and left[done] + slack >= least:
+        some = asked[done : done + chunk]
+        at = _ranges(index.edge[some], index.edge[some + 1])
+        score += np.bincount(index.row[at], index.impact[at], index.n)
+        score[skip.start : skip.stop] = 0.0
+        index.read += len(at)
+        done, chunk = done + chunk, chunk * 2
+        least = threshold()
+    rest = asked[done:]
+    if len(rest):
+        blocks = _ranges(index.block_edge[rest], index.block_edge[rest + 1])
+        bound = np.bincount(index.block[blocks], index.peak[blocks], -(-index.n // BLOCK))
+        live = score + np.repeat(bound, BLOCK)[: index.n] + slack >= max(least, 1e-12)
+        live[skip.start : skip.stop] = False
+        held = np.zeros(len(bound), bool)
+        held[np.flatnonzero(live) // BLOCK] = True
+        blocks = blocks[held[index.block[blocks]]]
+        at = _ranges(index.begin[blocks], index.end[blocks])
+        score += np.bincount(index.row[at], index.impact[at], index.n)
+        score[~live] = 0.0
+        index.read += len(at)
+        index.skipped += int(size[done:].sum()) - len(at)
+    found = np.flatnonzero((score > max(floor, 0.0)) & (score >= threshold() - slack))
     found = found[np.lexsort((found, -score[found].round(9)))][:k]
     return list(zip(score[found].tolist(), found.tolist(), strict=True))
 
@@ -221,25 +203,15 @@ def _search(sent, mean_length: float, k: int):
         own = own[order]
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / max(mean_length, 1e-9)))
         row = number[row]
-        by = np.lexsort((row, term))
-        term, row, impact = term[by], row[by], impact[by]
-        edge = np.searchsorted(term, np.arange(len(terms) + 1))
-        index: dict[int, Postings] = {}
+        index = Index(term, row, impact, len(terms), len(own))
         out_q, out_d, out_s = [], [], []
         for q in range(len(qids)):
             asked = query_terms[first[q] : first[q + 1]]
-            asked = asked[edge[asked] < edge[asked + 1]].tolist()
-            if not asked:
+            asked = asked[index.edge[asked] < index.edge[asked + 1]]
+            if not len(asked):
                 continue
             skip = range(int(np.searchsorted(own, qids[q])), int(np.searchsorted(own, qids[q], "right")))
-            if len(asked) > MANY:
-                cuts = [slice(edge[t], edge[t + 1]) for t in asked]
-                found = add_up(np.concatenate([row[c] for c in cuts]), np.concatenate([impact[c] for c in cuts]), len(own), k, skip, floors[q])
-            else:
-                for t in asked:
-                    if t not in index:
-                        index[t] = Postings(row[edge[t] : edge[t + 1]], impact[edge[t] : edge[t + 1]])
-                found = block_max_wand([index[t] for t in asked], k, skip, floors[q])
+            found = best(index, asked, k, skip, floors[q])
             out_q += [int(qids[q])] * len(found)
             out_d += [int(own[d]) for _, d in found]
             out_s += [s for s, _ in found]

@@ -1,6 +1,7 @@
 """The search by all words of a query document."""
 
 import numpy as np
+import pytest
 from conftest import SF
 from quarry.llm import search
 
@@ -38,10 +39,44 @@ def test_blocks_of_terms(spark):
     assert one == many and one
 
 
-def test_add_up_is_block_max_wand():
-    rng = np.random.default_rng(4)
-    for n in (5, 10, 11, 3000):
-        lists = [(d := np.flatnonzero(rng.random(n) < 0.3), rng.integers(1, 50, len(d)) / 8) for _ in range(20)]
-        lists = [x for x in lists if len(x[0])]
-        wand = search.block_max_wand([search.Postings(*x) for x in lists], 10, range(2, 3))
-        assert search.add_up(np.concatenate([d for d, _ in lists]), np.concatenate([i for _, i in lists]), n, 10, range(2, 3)) == wand
+def all_added_up(lists, n, k, skip, floor=-1.0):
+    score = np.zeros(n)
+    for docs, impacts in lists:
+        score[docs] += impacts
+    score[skip.start : skip.stop] = 0.0
+    found = [d for d in range(n) if score[d] > max(floor, 0.0)]
+    return sorted(((round(score[d], 9), d) for d in found), key=lambda x: (-x[0], x[1]))[:k]
+
+
+def of_lists(lists, n):
+    term = np.repeat(np.arange(len(lists)), [len(d) for d, _ in lists])
+    return search.Index(term, np.concatenate([d for d, _ in lists]), np.concatenate([i for _, i in lists]), len(lists), n)
+
+
+@pytest.mark.parametrize("n_terms", [1, 3, 20, 300])
+@pytest.mark.parametrize("n", [1, 5, 10, 11, 64, 65, 3000])
+def test_best_is_all_added_up(n_terms, n):
+    """Short and long queries, ties, skipped documents and floors."""
+    rng = np.random.default_rng(n_terms * n)
+    lists = [(d := np.flatnonzero(rng.random(n) < rng.choice([0.02, 0.3, 0.9])), rng.integers(1, 50, len(d)) / 8) for _ in range(n_terms)]
+    lists = [x for x in lists if len(x[0])]
+    if not lists:
+        return
+    index = of_lists(lists, n)
+    for skip in (range(0), range(2, 4), range(n)):
+        for floor in (-1.0, 7.0, 1e9):
+            got = search.best(index, np.arange(len(lists)), 10, skip, floor)
+            assert [(round(s, 9), d) for s, d in got] == all_added_up(lists, n, 10, skip, floor)
+
+
+def test_long_queries_skip_postings():
+    """Common words with small impacts have the longest postings; most of their blocks are never read."""
+    rng = np.random.default_rng(1)
+    n = 20_000
+    rare = [(d := np.sort(rng.choice(n, 40, replace=False)), np.full(len(d), 9.0)) for _ in range(60)]
+    rare += [(np.arange(500, 512), np.full(12, 9.0))] * 60
+    common = [(d := np.flatnonzero(rng.random(n) < 0.8), rng.random(len(d)) * 0.2) for _ in range(200)]
+    index = of_lists(rare + common, n)
+    got = search.best(index, np.arange(len(rare + common)), 10)
+    assert [(round(s, 9), d) for s, d in got] == all_added_up(rare + common, n, 10, range(0))
+    assert index.skipped > 0.95 * sum(len(d) for d, _ in common)
