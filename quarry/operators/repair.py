@@ -64,3 +64,18 @@ def cleaned(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def dry_run(rows: DataFrame, key: str, column: str, repair) -> DataFrame:
     """(key, before, after) of the rows that a repair would change."""
     return rows.select(key, F.col(column).alias("before"), repair(F.col(column)).alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def fixed(rows: DataFrame, columns: tuple[str, ...], repair=subscripts, count: str = "changes") -> DataFrame:
+    """``repair`` over string columns and the values of map columns, with the number of texts it changed; null texts stay."""
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema.fields}
+    new, changes = {}, F.lit(0)
+    for c in columns:
+        if kinds[c] == "map":
+            new[c] = F.transform_values(c, lambda k, v: repair(v))
+            hit = F.size(F.filter(F.map_values(c), lambda v: ~v.eqNullSafe(repair(v))))
+            changes = changes + F.when(F.col(c).isNull(), 0).otherwise(hit)
+        else:
+            new[c] = repair(F.col(c))
+            changes = changes + (~F.col(c).eqNullSafe(repair(F.col(c)))).cast("int")
+    return rows.withColumn(count, changes).withColumns(new)

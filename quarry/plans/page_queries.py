@@ -55,14 +55,17 @@ def marked_chapters(spark, sf_dir):
     return spark.sql("SELECT ord, chapter, position, offset, section, topic FROM marked(TABLE({pages}) PARTITION BY chapter ORDER BY (ord), 'text')", pages=pages)
 
 
-@_query(rf"""WITH {PIECES_SQL},
+QUESTIONS_SQL = rf"""{PIECES_SQL},
 st AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'section' THEN marker END IGNORE NULLS) OVER (PARTITION BY ord ORDER BY k), '基础题') AS section,
   coalesce(last_value(CASE kind WHEN 'section' THEN '选择题' WHEN 'topic' THEN marker END IGNORE NULLS) OVER (PARTITION BY ord ORDER BY k), '选择题') AS topic,
   min(CASE WHEN kind = 'question' THEN position END) OVER (PARTITION BY ord ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_q, greatest(instr(body, chr(10)) - 1, 0) AS line FROM mk),
-c AS (SELECT *, position + length(marker) + line AS stop, regexp_replace(CASE WHEN kind = 'question' THEN body ELSE substr(body, line + 1) END, {_STRIP}, '', 'g') AS content FROM st)
-SELECT ord, position, section, topic, CASE WHEN kind = 'question' THEN TRY_CAST(regexp_extract(marker, '\d+') AS INT) END AS number, md5(content) AS content_md5 FROM c
+c AS (SELECT *, position + length(marker) + line AS stop, regexp_replace(CASE WHEN kind = 'question' THEN body ELSE substr(body, line + 1) END, {_STRIP}, '', 'g') AS content FROM st),
+qs AS (SELECT ord, position, section, topic, CASE WHEN kind = 'question' THEN TRY_CAST(regexp_extract(marker, '\d+') AS INT) END AS number, content FROM c
 WHERE NOT (length(content) <= 30 AND regexp_matches(content, '{_HEADING}')) AND (kind = 'question' AND length(content) >= 5
-  OR kind = 'topic' AND section = '拓展题' AND n_chars - stop > 20 AND length(content) > 10 AND (next_q IS NULL OR next_q - stop > 100))""")
+  OR kind = 'topic' AND section = '拓展题' AND n_chars - stop > 20 AND length(content) > 10 AND (next_q IS NULL OR next_q - stop > 100)))"""
+
+
+@_query(f"WITH {QUESTIONS_SQL} SELECT ord, position, section, topic, number, md5(content) AS content_md5 FROM qs")
 def marked_questions(spark, sf_dir):
     found = markers.questions(_pages(spark, sf_dir), ("ord",))
     return found.select("ord", F.col("position").cast("long").alias("position"), "section", "topic", "number", F.md5("content").alias("content_md5"))

@@ -13,6 +13,19 @@ def nested(questions: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select("bank", "chapter", "first", "question_count", F.to_json(F.transform("o", lambda x: x["q"])).alias("questions"))
 
 
+def nested_parts(questions: DataFrame, fields: list[str], most: int = 10_000) -> DataFrame:
+    """The same in parts of at most ``most`` questions of a chapter, numbered from 1: (bank, chapter, part, question_count, questions).
+
+    A chapter of any length is published by many tasks; its parts joined in order are the chapter.
+    """
+    from ..operators import sequence
+
+    placed = sequence.numbered(questions, "question_pos", ("bank", "chapter"), "_place").withColumn("part", F.ceil(F.col("_place") / most).cast("int"))
+    own = F.struct("_place", F.struct(*fields).alias("q"))
+    rows = placed.groupBy("bank", "chapter", "part").agg(F.count("*").alias("question_count"), F.array_sort(F.collect_list(own), lambda a, b: (a["_place"] - b["_place"]).cast("int")).alias("o"))
+    return rows.select("bank", "chapter", "part", "question_count", F.to_json(F.transform("o", lambda x: x["q"])).alias("questions"))
+
+
 def in_fixed_order(questions: DataFrame, chapters: DataFrame) -> DataFrame:
     """(ord, chapter, question_count) of the chapters (ord, chapter) that have questions; questions of other chapters go."""
     counts = questions.groupBy("chapter").agg(F.count("*").alias("question_count"))

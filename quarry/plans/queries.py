@@ -88,6 +88,22 @@ i AS (SELECT ord, code, CASE WHEN code IN ({", ".join(_quoted(c) for c, s in _SE
 )
 
 
+_MARKED = r"string_split(regexp_replace(translate(content, chr(1) || chr(2), '  '), '([A-D])[.．、]', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:]"
+#: the same over the content and each option that it holds, and the rules of the question's type
+WHOLE_SQL = (
+    DOCS_SQL
+    + f""",
+o AS (SELECT ord, {_MARKED} AS p FROM q),
+x AS (SELECT ord, content FROM q {" ".join(f"UNION ALL SELECT ord, split_part(list_filter(p, lambda z: starts_with(z, '{k}'))[-1], chr(2), 2) FROM o WHERE len(list_filter(p, lambda z: starts_with(z, '{k}'))) > 0" for k in "ABCD")}),
+"""
+    + ISSUES_SQL[len(DOCS_SQL) + 2 :].replace("FROM q", "FROM x").replace("\ni AS (", "\nw AS (")
+    + r""",
+i AS (SELECT ord, code, severity FROM w UNION ALL SELECT ord, 'missing_options', 'critical' FROM q JOIN o USING (ord) WHERE type = '选择题' AND len(p) = 0
+UNION ALL SELECT ord, 'wrong_options', 'warning' FROM q JOIN o USING (ord) WHERE type = '选择题' AND len(p) > 0 AND list_sort(list_distinct(list_transform(p, lambda z: left(z, 1)))) <> ['A', 'B', 'C', 'D']
+UNION ALL SELECT ord, 'missing_blank', 'warning' FROM q WHERE type = '填空题' AND NOT regexp_matches(content, '___+|\\_\\_+|\\underline\{|\\quad|（[\s　]*）|\(\s*\)|□'))"""
+)
+
+
 def _issues(spark, sf_dir, told=rules.RULES):
     return _spread(docs(spark, sf_dir)).select("ord", F.explode(rules.codes(F.col("content"), told)).alias("i")).select("ord", "i.code", "i.severity")
 
@@ -138,17 +154,17 @@ def _all_issues(spark, sf_dir):
     return rules.issues(d.withColumn("options", F.when(F.size(found) > 0, found)), "ord")
 
 
-@_query()
+@_query(f"WITH {WHOLE_SQL} SELECT code, severity, count(*) AS n_issues FROM i GROUP BY code, severity")
 def quality_summary_whole(spark, sf_dir):
     return _all_issues(spark, sf_dir).groupBy("code", "severity").agg(F.count("*").alias("n_issues"))
 
 
-@_query()
+@_query(f"WITH {WHOLE_SQL} SELECT s.severity, count(i.ord) AS n_issues, count(DISTINCT i.ord) AS n_questions FROM (VALUES ('critical'), ('warning'), ('info')) s(severity) LEFT JOIN i ON i.severity = s.severity GROUP BY s.severity")
 def issues_by_severity_whole(spark, sf_dir):
     return _by_severity(spark, _all_issues(spark, sf_dir))
 
 
-@_query()
+@_query(f"WITH {WHOLE_SQL} SELECT ord, string_agg(code, ',' ORDER BY code) AS codes FROM i GROUP BY ord")
 def quality_report_whole(spark, sf_dir):
     """Each question's codes, one for each field that breaks the rule."""
     return _all_issues(spark, sf_dir).groupBy("ord").agg(F.concat_ws(",", F.array_sort(F.collect_list("code"))).alias("codes"))

@@ -1,6 +1,6 @@
 import pytest
 from oracle import differ
-from quarry.plans import join_queries, page_queries, rebuild_queries, sketch_queries, window_queries  # noqa: F401  register their queries
+from quarry.plans import curation_queries, join_queries, page_queries, rebuild_queries, sketch_queries, window_queries  # noqa: F401  register their queries
 from quarry.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
