@@ -19,6 +19,8 @@ same spans and null ids work. An empty table gives an empty result. Only named c
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -141,6 +143,19 @@ def slots(text: str, taken: list[tuple[int, int, bool]], lefts: frozenset[str],
     if not heads:
         return []
     tokens, out = [m.span() for m in _TOKEN.finditer(text)], []
+    taken = sorted(taken)
+    starts, reach = [x for x, _, _ in taken], list(accumulate((y for _, y, _ in taken), max))
+
+    def free_of_taken(a: int, b: int) -> bool:
+        """A taken span may only stand inside a longer slot; those from before a are passed over by how far they reach."""
+        k = bisect_left(starts, b) - 1
+        while k >= 0 and reach[k] > a:
+            x, y, free = taken[k]
+            if y > a and not (free and a <= x and y <= b and (x, y) != (a, b)):
+                return False
+            k -= 1
+        return True
+
     for i in heads:
         s, e = tokens[i]
         word = text[s:e]
@@ -167,8 +182,7 @@ def slots(text: str, taken: list[tuple[int, int, bool]], lefts: frozenset[str],
             if b < e:
                 break
         span = best or one
-        # a taken span may only stand inside a longer slot
-        if span and all(y <= span[0] or x >= span[1] or (free and span[0] <= x and y <= span[1] and (x, y) != span) for x, y, free in taken):
+        if span and free_of_taken(*span):
             out.append(span)
     return out
 

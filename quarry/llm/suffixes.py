@@ -239,7 +239,7 @@ def stretches(documents: DataFrame, most: int = 50_000) -> DataFrame:
     copies = around.where("n > 1").select("gram", "around")
     # the whole surroundings of copied anchors; ends beyond the text are cut when they are applied
     whole = found.join(copies, ["gram", "around"], "left_semi").select("key", F.greatest(F.col("at") - LEFT, F.lit(0)).alias("start"), (F.col("at") + LENGTH).alias("end"))
-    whole = stored(whole.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("own")), "whole")
+    whole = stored(whole.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("own")), "whole")  # rows that repeat share their key
     drop(found)
     several = around.groupBy("gram").agg(F.count("*").alias("different")).where("different > 1")
     places = around.join(several, "gram").select("one.key", F.struct("one.at", "gram", (F.col("n") > 1).alias("whole"), (F.col("different") > most).alias("hot")).alias("p"))
@@ -252,7 +252,7 @@ def stretches(documents: DataFrame, most: int = 50_000) -> DataFrame:
     hot = opened.where("bytes is null").select("gram", "key", "at")
     twice = hot.groupBy("gram").agg(F.count_distinct("key", "at").alias("n")).where("n > 1").select("gram")
     hot = hot.join(twice, "gram", "left_semi").select("key", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    edges = ends.unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("own"))
+    edges = ends.unionByName(hot).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("own"))
     both = whole.unionByName(edges).groupBy("key").agg(F.flatten(F.collect_list("own")).alias("stretches"))
     return stored(both, "stretches")
 

@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import held_out, label_sample, table
+from ._store import drop, held_out, label_sample, stored, table
+
+PRIOR_TEXTS = 5
 
 
 @dataclass(frozen=True)
@@ -103,10 +105,13 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prio
     """Learn from at most ``sample_rows`` labelled documents; ``prior`` is the weight of the pooled Dirichlet prior as a share of the sample's tokens. Exact copies in the sample count once."""
     sample = label_sample(labels, "toxic", sample_rows, modulus)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").dropDuplicates(["text", "label"])
+    rows = stored(rows, "toxicity-sample")  # read three times
     counts = rows.mapInArrow(_token_counts, ", ".join(f"{c} long" for c in _COUNTS)).groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS[1:]))
     n = counts.agg(*(F.sum(c).alias(c) for c in _COUNTS[1:])).first()
     if not n or not n["toxic"] or not n["clean"]:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), -1.0)
+        share = rows.agg(F.avg("label")).first()[0] or 0.0
+        drop(rows)
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), -1.0, intercept=float(np.log(max(share, 1e-13)) - np.log(max(1 - share, 1e-13))))
     total = n["toxic_docs"] + n["clean_docs"]
     a = prior * (F.col("toxic_docs") + F.col("clean_docs"))
     bad, good = F.col("toxic_docs") + a, F.col("clean_docs") + a
@@ -146,8 +151,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, prio
     y, n_words = peaks["label"].to_numpy(float), np.maximum(peaks["n"].to_numpy(float), 1)
     top = np.array([max(x, default=0.0) for x in peaks["peaks"]])
     clean = (y == 0) & (top > 0)
-    # the mean of a Gumbel law is (ln(K n) + gamma) / lambda; texts without any segment are below its support
-    log_k = float(np.mean(model.rate * top[clean] - np.log(n_words[clean])) - 0.5772) if clean.sum() >= 20 else -float(np.log(n_words.mean()))
+    drop(rows)
+    # the mean of a Gumbel law is (ln(K n) + gamma) / lambda; texts without any segment are below its support. A sample's
+    # mean is drawn toward K n = 1 for a text of mean length, by as much as ``PRIOR_TEXTS`` texts
+    told = (model.rate * top[clean] - np.log(n_words[clean]) - 0.5772).sum()
+    log_k = float((told - PRIOR_TEXTS * np.log(n_words.mean())) / (clean.sum() + PRIOR_TEXTS))
     model = Lexicon(model.keys, model.odds, model.rest, model.rate, log_k)
     x = np.array([_normal(model, n, [(0, 0, s) for s in own]) for n, own in zip(n_words, peaks["peaks"], strict=True)])
     slope, intercept = _logistic(np.log1p(x), y)
