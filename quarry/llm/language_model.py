@@ -30,7 +30,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,20 +137,24 @@ _STATE = "context long, word long, n long, every long, tables long, kept double,
 
 
 def _seated(discount: float, strength: float, seed: int, keep: bool, rows: int = 500_000):
-    """One sweep over batches sorted by (context, part). A row without word tells the tables of the context's pairs seen once."""
+    """One sweep over batches sorted by (context, part, word). A row without word tells the tables of the context's pairs seen once.
 
-    def sampled(t: pa.Table, rng) -> pa.RecordBatch:
-        word, n, tables, kept, p, total = (t.column(c).to_numpy() for c in ("word", "n", "tables", "kept", "p", "total"))
+    Each dish draws from a seed of its own, so that a task that runs again, and any number of tasks, seats alike.
+    """
+
+    def sampled(t: pa.Table) -> pa.RecordBatch:
+        n, tables, kept, p, total = (t.column(c).to_numpy() for c in ("n", "tables", "kept", "p", "total"))
+        word = t.column("word").fill_null(0).to_numpy()
         context, part = t.column("context").to_numpy(), t.column("part").to_numpy()
         new = np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
         number = np.cumsum(new) - 1
         totals = np.where(np.isnan(total[new]), np.bincount(number, tables), total[new])
-        tables = seating.sweep(number, n, tables, totals, np.nan_to_num(p), discount, strength, rng)
+        tables = seating.sweep(number, n, tables, totals, np.nan_to_num(p), discount, strength, _seeds(context, word, seed))
         columns = [t.column("context"), t.column("word"), t.column("n"), t.column("every"), pa.array(tables), pa.array(kept + tables * float(keep)), t.column("part")]
         return pa.Table.from_arrays(columns, ["context", "word", "n", "every", "tables", "kept", "part"])
 
     def run(batches):
-        rng, waiting, held = np.random.default_rng([seed, TaskContext.get().partitionId()]), [], 0
+        waiting, held = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -163,23 +166,27 @@ def _seated(discount: float, strength: float, seed: int, keep: bool, rows: int =
             context, part = whole.column("context").to_numpy(), whole.column("part").to_numpy()
             cut = int(((context != context[-1]) | (part != part[-1])).sum())
             if cut:
-                yield from sampled(whole.slice(0, cut), rng).to_batches()
+                yield from sampled(whole.slice(0, cut)).to_batches()
                 waiting, held = whole.slice(cut).to_batches(), len(whole) - cut
         if waiting:
-            yield from sampled(pa.Table.from_batches(waiting), rng).to_batches()
+            yield from sampled(pa.Table.from_batches(waiting)).to_batches()
 
     return run
 
 
+def _seeds(context: np.ndarray, word: np.ndarray, seed: int) -> np.ndarray:
+    return _text.mix(pair_keys(np.ascontiguousarray(context, np.int64).view(np.uint64), np.ascontiguousarray(word, np.int64).view(np.uint64)) ^ np.uint64(seed))
+
+
 def _parent(total: float, discount: float, strength: float, types: int, seed: int):
     """The parent's tables, each dish from the total of the sweep before."""
 
     def run(batches):
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for batch in batches:
+            word = batch.column("word").to_numpy()
             customers, tables = batch.column("customers").to_numpy(), batch.column("tables").to_numpy()
             others = np.maximum(total - tables, 0).astype(float)
-            tables = seating.draw(customers, np.minimum(np.maximum(tables, np.minimum(customers, 1)), customers), others, np.full(len(customers), 1 / (types + 1)), discount, strength, rng)
+            tables = seating.draw(customers, np.minimum(np.maximum(tables, np.minimum(customers, 1)), customers), others, np.full(len(customers), 1 / (types + 1)), discount, strength, _seeds(np.zeros_like(word), word, seed))
             yield batch.set_column(batch.schema.get_field_index("tables"), "tables", pa.array(tables))
 
     return run
@@ -245,7 +252,7 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
         if hot is not None:
             totals = state.join(hot, "context", "left_semi").groupBy("context").agg(F.sum("tables").cast("double").alias("t"))
             rows = rows.join(totals, "context", "left").withColumn("total", F.coalesce("t", "total")).drop("t")
-        rows = rows.select("context", "word", "n", "every", "tables", "kept", "part", F.coalesce("p", F.lit(0.0)).alias("p"), "total").repartition(n_tasks, "context", "part").sortWithinPartitions("context", "part")
+        rows = rows.select("context", "word", "n", "every", "tables", "kept", "part", F.coalesce("p", F.lit(0.0)).alias("p"), "total").repartition(n_tasks, "context", "part").sortWithinPartitions("context", "part", "word")
         state = stored(rows.mapInArrow(_seated(discount, strength, seed + 100 + sweep, sweep >= burn_in), _STATE), "seats")
         for x in old:
             drop(x)

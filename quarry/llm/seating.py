@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import _text
+
 EXACT = 512
 _NEGATIVE = -1e300
 _SCALES = (1, 4, 16, 64, 256, 1024) * 6
@@ -79,8 +81,23 @@ def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return np.where(every, c * np.log(d), out)
 
 
-def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """New table counts of dishes, each given the tables of the others in its restaurant."""
+def uniform(seeds: np.ndarray, k) -> np.ndarray:
+    """The k-th number in (0, 1) of each seed."""
+    x = _text.mix(seeds + (np.atleast_1d(np.asarray(k, np.uint64)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def seeds_of(rng, n: int) -> np.ndarray:
+    """A generator's seeds for n dishes, or the given ones."""
+    return rng.integers(0, 1 << 63, n).astype(np.uint64) if isinstance(rng, np.random.Generator) else rng
+
+
+def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng) -> np.ndarray:
+    """New table counts of dishes, each given the tables of the others in its restaurant.
+
+    rng: a generator, or a seed for each dish; then a dish's draw doesn't hang on what stands beside it.
+    """
+    seeds = seeds_of(rng, len(customers))
     out, base = tables.copy(), np.log(np.maximum(base, 1e-300))
     out[customers <= 1] = customers[customers <= 1]
     order = np.argsort(customers, kind="stable")
@@ -95,32 +112,33 @@ def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np
             for k in (small[a : min(a + step, end)] for a in range(at, end, step)):
                 opening = np.log(np.maximum(strength + discount * (others[k][:, None] + t - 1), 1e-300)).cumsum(1)
                 weight = stirling[c, t] + t * base[k][:, None] + opening
-                out[k] = 1 + (weight + rng.gumbel(size=weight.shape)).argmax(1)
+                out[k] = 1 + (weight - np.log(-np.log(uniform(seeds[k][:, None], t)))).argmax(1)
     large = order[ranked > EXACT]
     for k in (large[a : a + 20_000] for a in range(0, len(large), 20_000)):
-        out[k] = _metropolis(customers[k], np.maximum(out[k], 1), others[k], base[k], discount, strength, rng)
+        out[k] = _metropolis(customers[k], np.maximum(out[k], 1), others[k], base[k], discount, strength, seeds[k])
     return out
 
 
-def _metropolis(c, t, others, base, d, strength, rng):
+def _metropolis(c, t, others, base, d, strength, seeds):
     weight = lambda t: log_stirling_at(c, t, d) + t * (base + np.log(d)) + log_gamma(np.maximum(strength / d + others, 1e-9) + t)
     now = weight(t)
-    for scale in _SCALES:
-        move = t + rng.choice((-1, 1), len(t)) * rng.integers(1, scale + 1, len(t))
+    for step, scale in enumerate(_SCALES):
+        up, far, chance = (uniform(seeds, 3 * step + k) for k in range(3))
+        move = t + np.where(up < 0.5, -1, 1) * (1 + (far * scale).astype(np.int64))
         inside = (move >= 1) & (move <= c)
         then = weight(np.where(inside, move, t))
-        take = inside & (np.log(rng.random(len(t))) < then - now)
+        take = inside & (np.log(chance) < then - now)
         t, now = np.where(take, move, t), np.where(take, then, now)
     return t
 
 
-def sweep(restaurant: np.ndarray, customers: np.ndarray, tables: np.ndarray, totals: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator, blocks: int = 16) -> np.ndarray:
+def sweep(restaurant: np.ndarray, customers: np.ndarray, tables: np.ndarray, totals: np.ndarray, base: np.ndarray, discount: float, strength: float, rng, blocks: int = 16) -> np.ndarray:
     """One pass over the dishes of many restaurants; ``restaurant`` ascends from 0, ``totals`` are their tables at the start.
 
     The n-th dishes of all restaurants are drawn at once, so a restaurant's dishes are drawn one after another. One of more
     than ``blocks`` dishes is drawn in that many parts, each from totals in which its own part's moves are still missing.
     """
-    tables, totals = tables.copy(), totals.astype(float).copy()
+    tables, totals, seeds = tables.copy(), totals.astype(float).copy(), seeds_of(rng, len(customers))
     first = np.searchsorted(restaurant, np.arange(len(totals)))
     turn = (np.arange(len(restaurant)) - first[restaurant]) % blocks
     todo = customers > 1
@@ -128,7 +146,7 @@ def sweep(restaurant: np.ndarray, customers: np.ndarray, tables: np.ndarray, tot
         k = np.flatnonzero(todo & (turn == block))
         if not len(k):
             continue
-        new = draw(customers[k], tables[k], totals[restaurant[k]] - tables[k], base[k], discount, strength, rng)
+        new = draw(customers[k], tables[k], totals[restaurant[k]] - tables[k], base[k], discount, strength, seeds[k])
         totals += np.bincount(restaurant[k], new - tables[k], len(totals))
         tables[k] = new
     return tables

@@ -263,3 +263,17 @@ def test_deduplicated_keeps_one_text_of_each_group(spark, odd):
         assert len(staying) == 1 and staying[0][0] == least
         want[staying[0]] += 1
     assert kept == want
+
+
+def test_language_model_however_dealt(spark):
+    """The same scores for any number of shuffle partitions and input splits: seats are drawn from seeds of their own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found, _ = language_model.scored(docs.repartition(int(n)), ~held_out(5), blocks=2, frequent=200)
+            got.append({r["doc_id"]: r["score"] for r in found.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys() and max(abs(got[0][k] - got[1][k]) for k in got[0]) < 1e-6
