@@ -5,7 +5,8 @@ largest impact) over the terms that some query asks for, and answers each query
 over all documents beforehand. The shards' top k are merged; as impacts are global, the merge is exact.
 
 A query asks for every distinct word of its document that another one shares, so it may hold hundreds. Its terms are
-taken from the largest impact down, several at once in vectors. The k-th best of the sums so far is a threshold; once the
+taken from the largest impact down, several at once in vectors; the shard's commonest words come first, for many queries
+at once as a product of two matrices of bounded size. The k-th best of the sums so far is a threshold; once the
 terms left can't lift a document over it by themselves, only documents whose sum and whose block's largest impacts of
 these terms pass it stay, and of the terms left, which have the longest postings, only blocks that hold such documents
 are read. The test is WAND's for each document and block; queries of every length take this way.
@@ -36,6 +37,8 @@ from ._store import drop, stored, table
 
 K1, B = 1.2, 0.75
 BLOCK = 64
+#: common words of a shard that are summed up as a matrix product, and what that matrix and its results may take
+DENSE, DENSE_BYTES = 512, 1 << 25
 #: how much larger the share of the documents is at each step of the ladder
 STEP = 8
 
@@ -122,6 +125,22 @@ class Index:
         if len(held):
             self.most[held] = np.maximum.reduceat(self.impact, self.edge[held])
         self.read = self.skipped = 0  # postings
+        # the words of the longest lists as rows of a matrix of bounded size
+        size = self.edge[1:] - self.edge[:-1]
+        rows = min(DENSE, DENSE_BYTES // (8 * max(n_docs, 1)))
+        longest = np.argpartition(-size, rows)[:rows] if rows < n_terms else np.arange(n_terms)
+        self.dense = np.sort(longest[size[longest] * 16 > n_docs])
+        self.matrix = np.zeros((len(self.dense), n_docs))
+        for k, t in enumerate(self.dense.tolist()):
+            self.matrix[k, self.row[self.edge[t] : self.edge[t + 1]]] = self.impact[self.edge[t] : self.edge[t + 1]]
+
+    def common(self, queries: list[np.ndarray]) -> np.ndarray:
+        """For each query the sums of its common words over all documents, as one product of matrices."""
+        asked = np.zeros((len(queries), len(self.dense)))
+        for k, terms in enumerate(queries):
+            at = _text.lookup(self.dense, terms)
+            asked[k, at[at >= 0]] = 1.0
+        return asked @ self.matrix
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -139,27 +158,30 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def best(index: Index, asked: np.ndarray, k: int, skip: range = range(0), floor: float = -1.0) -> list[tuple[float, int]]:
-    """The k best (score, document) over the asked terms that score over ``floor``; equal to nine decimals, the smaller document goes first; those in ``skip`` are left out."""
+def best(index: Index, asked: np.ndarray, k: int, skip: range = range(0), floor: float = -1.0, common: np.ndarray | None = None) -> list[tuple[float, int]]:
+    """The k best (score, document) over the asked terms that score over ``floor``; equal to nine decimals, the smaller document goes first; those in ``skip`` are left out.
+
+    common: what the query's common words add to each document, if that is known; then only its other terms are read.
+    """
+    score = np.zeros(index.n)
+    if common is not None:
+        score[:] = common
+        score[skip.start : skip.stop] = 0.0
+        asked = asked[_text.lookup(index.dense, asked) < 0]
     asked = asked[np.argsort(-index.most[asked], kind="stable")]
-    size = index.edge[asked + 1] - index.edge[asked]
     left = np.append(np.cumsum(index.most[asked][::-1])[::-1], 0.0)  # what the terms from here on add at most
-    score, done, least, slack = np.zeros(index.n), 0, floor, 1e-8
-
-    def threshold() -> float:
-        if index.n <= k:
-            return floor
-        return max(floor, float(np.partition(score, index.n - k)[index.n - k]))
-
-    chunk = 4
-    while done < len(asked) and left[done] + slack >= least:
-        some = asked[done : done + chunk]
-        at = _ranges(index.edge[some], index.edge[some + 1])
-        score += np.bincount(index.row[at], index.impact[at], index.n)
+    done, least, slack, ahead = 0, floor, 1e-8, float(score.max(initial=0.0))
+    while done < len(asked) and left[done] + ahead + slack >= least:
+        # a floor tells how many terms matter; without one the threshold rises as terms are read
+        until = int(np.searchsorted(-left, slack + ahead - floor, "right")) if floor > 0 else 2 * done + 4
+        cuts = [slice(x, y) for x, y in zip(index.edge[asked[done:until]].tolist(), index.edge[asked[done:until] + 1].tolist(), strict=True)]
+        at = np.concatenate([index.row[c] for c in cuts])
+        score += np.bincount(at, np.concatenate([index.impact[c] for c in cuts]), index.n)
         score[skip.start : skip.stop] = 0.0
         index.read += len(at)
-        done, chunk = done + chunk, chunk * 2
-        least = threshold()
+        done = min(until, len(asked))
+        if floor <= 0 and index.n > k:
+            least = max(floor, float(np.partition(score, index.n - k)[index.n - k]))
     rest = asked[done:]
     if len(rest):
         blocks = _ranges(index.block_edge[rest], index.block_edge[rest + 1])
@@ -173,8 +195,10 @@ def best(index: Index, asked: np.ndarray, k: int, skip: range = range(0), floor:
         score += np.bincount(index.row[at], index.impact[at], index.n)
         score[~live] = 0.0
         index.read += len(at)
-        index.skipped += int(size[done:].sum()) - len(at)
-    found = np.flatnonzero((score > max(floor, 0.0)) & (score >= threshold() - slack))
+        index.skipped += int((index.edge[rest + 1] - index.edge[rest]).sum()) - len(at)
+    found = np.flatnonzero(score > max(floor, 0.0))
+    if len(found) > 4 * k:
+        found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k] - slack]
     found = found[np.lexsort((found, -score[found].round(9)))][:k]
     return list(zip(score[found].tolist(), found.tolist(), strict=True))
 
@@ -205,16 +229,19 @@ def _search(sent, mean_length: float, k: int):
         row = number[row]
         index = Index(term, row, impact, len(terms), len(own))
         out_q, out_d, out_s = [], [], []
-        for q in range(len(qids)):
-            asked = query_terms[first[q] : first[q + 1]]
-            asked = asked[index.edge[asked] < index.edge[asked + 1]]
-            if not len(asked):
-                continue
-            skip = range(int(np.searchsorted(own, qids[q])), int(np.searchsorted(own, qids[q], "right")))
-            found = best(index, asked, k, skip, floors[q])
-            out_q += [int(qids[q])] * len(found)
-            out_d += [int(own[d]) for _, d in found]
-            out_s += [s for s, _ in found]
+        together = max(1, DENSE_BYTES // (8 * max(len(own), 1)))
+        for start in range(0, len(qids), together):
+            some = range(start, min(start + together, len(qids)))
+            terms_of = [query_terms[first[q] : first[q + 1]] for q in some]
+            for q, asked, common in zip(some, terms_of, index.common(terms_of), strict=True):
+                asked = asked[index.edge[asked] < index.edge[asked + 1]]
+                if not len(asked):
+                    continue
+                skip = range(int(np.searchsorted(own, qids[q])), int(np.searchsorted(own, qids[q], "right")))
+                found = best(index, asked, k, skip, floors[q], common)
+                out_q += [int(qids[q])] * len(found)
+                out_d += [int(own[d]) for _, d in found]
+                out_s += [s for s, _ in found]
         yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_d, pa.int64()), pa.array(out_s, pa.float64())], ["qid", "doc_id", "score"])
 
     return run
@@ -251,7 +278,7 @@ def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float,
             if share > 1:  # in shards as large as those of all documents
                 some = docs.where(F.pmod(pick, F.lit(share)) == 0).repartition(-(-shards // share), pick)
             found = some.mapInArrow(_search(sent, mean_length, k), "qid long, doc_id long, score double").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-            found = stored(found.select("qid", "rank", "doc_id", "score"), "found")
+            found = stored(found.select("qid", "rank", "doc_id", F.round("score", 9).alias("score")), "found")
             if share > 1:  # a number for each query of the block
                 told = found.where(F.col("rank") == k).select("qid", "score").toArrow()
                 floors[np.searchsorted(qids, told["qid"].to_numpy())] = told["score"].to_numpy() * (1 - 1e-9) - 1e-9

@@ -67,6 +67,8 @@ def test_best_is_all_added_up(n_terms, n):
         for floor in (-1.0, 7.0, 1e9):
             got = search.best(index, np.arange(len(lists)), 10, skip, floor)
             assert [(round(s, 9), d) for s, d in got] == all_added_up(lists, n, 10, skip, floor)
+            common = index.common([np.arange(len(lists))])[0]
+            assert [(round(s, 9), d) for s, d in search.best(index, np.arange(len(lists)), 10, skip, floor, common)] == all_added_up(lists, n, 10, skip, floor)
 
 
 def test_long_queries_skip_postings():
