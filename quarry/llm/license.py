@@ -14,6 +14,7 @@ scanned row by row, so repeated rows and ids, and extra columns, don't matter. A
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -97,21 +98,15 @@ def idf(documents: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float],
 _PLACE = "array<struct<label:string,phrase:string,first_word:int,base:boolean,coverage:double>>"
 
 
-def _added(parts: list[Column]) -> Column:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out + x
-    return out
+def _covered(place: Column, words: Column, weights: Column) -> Column:
+    """The weights of the (word, offset) that stand at their offset from a place; places outside the file agree with nothing."""
 
+    def one(x: Column, k: Column) -> Column:
+        at = place + x["o"]
+        stands = (at >= 0) & F.coalesce(F.try_element_at("_w", F.greatest(at + 1, F.lit(1))) == x["w"], F.lit(False))
+        return F.when(stands, F.get(weights, k)).otherwise(0.0)
 
-def _at(place: Column, offset: int) -> Column:
-    """The file's word at an offset from a place, null outside the file."""
-    return F.when(place + offset >= 0, F.try_element_at("_w", F.greatest(place + (offset + 1), F.lit(1))))
-
-
-def _coverage(place: Column, template: list[str], weight: dict[str, float]) -> Column:
-    total = sum(weight[w] for w in template) or 1.0
-    return _added([F.when(_at(place, k) == w, F.lit(weight[w])).otherwise(F.lit(0.0)) for k, w in enumerate(template)]) / F.lit(total)
+    return F.aggregate(F.transform(words, one), F.lit(0.0), lambda total, x: total + x)
 
 
 def rarest(template: list[str], weight: dict[str, float], met: set[str]) -> list[tuple[str, int]]:
@@ -126,45 +121,59 @@ def scan(documents: DataFrame, templates=TEMPLATES, bodies=BODIES, base=BASE, ke
     passages = [(label, phrase.split(), split_words(passage)) for label, phrase, passage in bodies]
     vocabulary = sorted({w for p in indexed for w in (*p.words, *p.notice)} | {w for _, _, t in passages for w in t})
     weight, met = idf(documents, vocabulary)
-    anchors = [max(range(len(p.words)), key=lambda i, p=p: (weight[p.words[i]], -i)) for p in indexed]
-    names = sorted({p.words[a] for p, a in zip(indexed, anchors, strict=True)})
-    rare = [rarest(t, weight, met) for _, _, t in passages]
-    postings: dict[str, list[int]] = {}
-    for t, own in enumerate(rare):
+    # each template as one row of a table that the plan holds once: what is indexed, what must stand, what is compared
+    table_, postings = [], {}
+    for p in indexed:
+        anchor = max(range(len(p.words)), key=lambda i, p=p: (weight[p.words[i]], -i))
+        table_.append(_template(p.label, p.words, 0, p.notice if p.at >= 0 else (), -p.at, weight, p.base))
+        postings.setdefault(p.words[anchor], []).append((len(table_) - 1) << 32 | anchor)
+    for label, phrase, template in passages:
+        own = rarest(template, weight, met)
+        table_.append(_template(label, phrase, _find(template, phrase), template, 0, weight, False))
         for w, o in own:
-            postings.setdefault(w, []).append(t << 32 | o)
-    every = sorted({*names, *postings})
+            postings.setdefault(w, []).append((len(table_) - 1) << 32 | o)
+    every = sorted(postings)
     files = documents.select(*keep, words(F.col("text")).alias("_w"))
-    pairs = F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    hits = F.when(F.arrays_overlap("_w", F.array(*map(F.lit, every))), F.filter(pairs, lambda x: x["w"].isin(every))).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
+    hits = F.array_compact(F.transform("_w", lambda w, i: F.when(w.isin(every), F.struct(w.alias("w"), i.alias("i")))))
+    hits = F.when(F.arrays_overlap("_w", _constant(every, "array<string>")), hits).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
     files = files.select("*", hits.alias("_hits"))
+    # (template, start) that the hits propose, as one number each: start + 2**31 below the template's; sorted by both
+    index = _constant(postings, "map<string,array<bigint>>")
+    proposed = F.flatten(F.transform("_hits", lambda h: F.transform(F.try_element_at(index, h["w"]), lambda k: k + h["i"] - 2 * F.pmod(k, F.lit(1 << 32)) + (1 << 31))))
+    files = files.select("*", F.when(F.size("_hits") > 0, F.array_sort(proposed)).otherwise(F.array().cast("array<bigint>")).alias("_each"))
+    # postings intersect where a place is proposed by as many rare words as must agree; a name needs its one word
+    bodies_from = len(indexed) << 32
+    first = lambda c, i: (i == 0) | (F.get("_each", F.greatest(i - 1, F.lit(0))) != c)
+    meets = lambda c, i: (c < bodies_from) | F.coalesce(F.get("_each", i + (AGREE - 1)) == c, F.lit(False))
+    files = files.select(*keep, "_w", F.filter("_each", lambda c, i: meets(c, i) & first(c, i)).alias("_proposed"))
+    templates_ = _constant(table_, f"array<{_TEMPLATE}>")
+    known = F.transform("_proposed", lambda c: F.struct((F.pmod(c, F.lit(1 << 32)) - (1 << 31)).cast("int").alias("s"), F.get(templates_, F.shiftright(c, 32).cast("int")).alias("t")))
+
+    def stands(x: Column) -> Column:
+        first = x["s"] + x["t"]["at"]
+        return (first >= 0) & (F.slice("_w", F.greatest(first + 1, F.lit(1)), F.size(x["t"]["phrase"])) == x["t"]["phrase"])
+
+    def told(x: Column) -> Column:
+        t = x["t"]
+        matched = F.when(F.size(t["words"]) == 0, F.lit(0.5)).otherwise(_covered(x["s"] + t["from"], t["words"], t["weights"]) / t["total"])
+        return F.struct(t["label"].alias("label"), F.array_join(t["phrase"], " ").alias("phrase"), (x["s"] + t["at"]).alias("first_word"), t["base"].alias("base"), matched.alias("coverage"))
+
+    places = F.when(F.size("_proposed") > 0, F.transform(F.filter(known, stands), told)).otherwise(F.array().cast(_PLACE))
+    return files.select(*keep, F.when(F.col("_w")[0] == "", F.lit(0)).otherwise(F.size("_w")).cast("long").alias("n_words"), places.alias("places"))
+
+
+_TEMPLATE = "struct<label:string,phrase:array<string>,at:int,words:array<struct<w:string,o:int>>,weights:array<double>,total:double,from:int,base:boolean>"
+
+
+def _template(label: str, phrase, at: int, compared, start: int, weight: dict[str, float], base: bool) -> dict:
+    """phrase must stand ``at`` words from a place; ``compared`` begins ``start`` words from it."""
+    weights = [weight[w] for w in compared]
+    return {"label": label, "phrase": list(phrase), "at": at, "words": [{"w": w, "o": o} for o, w in enumerate(compared)], "weights": weights, "total": float(sum(weights) or 1.0), "from": start, "base": base}
+
 
-    def named(p: Phrase, anchor: int) -> Column:
-        wanted = F.array(*map(F.lit, p.words))
-        here = F.filter("_hits", lambda h: (h["w"] == p.words[anchor]) & (h["i"] >= anchor))
-        stands = F.filter(F.transform(here, lambda h: h["i"] - anchor), lambda s: F.slice("_w", s + 1, len(p.words)) == wanted)
-        matched = lambda s: F.lit(0.5) if p.at < 0 else _coverage(s - p.at, list(p.notice), weight)
-        return F.transform(stands, lambda s: F.struct(F.lit(p.label).alias("label"), F.lit(" ".join(p.words)).alias("phrase"), s.alias("first_word"), F.lit(p.base).alias("base"), matched(s).alias("coverage")))
-
-    # (template, start) that the hits propose, as one number each: start + 2**31 below the template's
-    index = F.create_map().cast("map<string,array<bigint>>") if not postings else F.create_map(*(x for w, own in postings.items() for x in (F.lit(w), F.array(*(F.lit(k).cast("long") for k in own)))))
-    proposed = F.flatten(F.transform(F.filter("_hits", lambda h: h["w"].isin(sorted(postings))), lambda h: F.transform(F.try_element_at(index, h["w"]), lambda k: k + h["i"] - 2 * F.pmod(k, F.lit(1 << 32)) + (1 << 31))))
-    files = files.select("*", F.when(F.size("_hits") >= AGREE, F.array_distinct(proposed)).otherwise(F.array().cast("array<bigint>")).alias("_proposed"))
-
-    def passage(t: int) -> Column:
-        label, phrase, template = passages[t]
-        o = _find(template, phrase)
-        low = t << 32
-        starts = F.transform(F.filter("_proposed", lambda c: c.between(low, low + (1 << 32) - 1)), lambda c: (c - (low + (1 << 31))).cast("int"))
-        agree = lambda s: _added([F.lit(0), *((F.coalesce(_at(s, at) == w, F.lit(False))).cast("int") for w, at in rare[t])]) >= AGREE
-        stands = lambda s: (s + o >= 0) & (F.slice("_w", F.greatest(s + (o + 1), F.lit(1)), len(phrase)) == F.array(*map(F.lit, phrase)))
-        good = F.filter(F.filter(starts, stands), agree)
-        return F.transform(good, lambda s: F.struct(F.lit(label).alias("label"), F.lit(" ".join(phrase)).alias("phrase"), (s + o).alias("first_word"), F.lit(False).alias("base"), _coverage(s, template, weight).alias("coverage")))
-
-    none = F.array().cast(_PLACE)
-    found = F.when(F.size("_hits") > 0, F.concat(*(named(p, a) for p, a in zip(indexed, anchors, strict=True)))).otherwise(none)
-    held = F.when(F.size("_proposed") > 0, F.concat(*(passage(t) for t in range(len(passages))))).otherwise(none)
-    return files.select(*keep, F.when(F.col("_w")[0] == "", F.lit(0)).otherwise(F.size("_w")).cast("long").alias("n_words"), F.concat(found, held).alias("places"))
+def _constant(value, kind: str) -> Column:
+    """A literal of any shape, folded by the optimizer from its JSON."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def op2_license(spark, sf_dir: str) -> DataFrame:
