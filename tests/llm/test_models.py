@@ -90,13 +90,17 @@ def test_block_max_wand_is_exact():
             if not len(docs):
                 continue
             impacts = rng.integers(1, 50, len(docs)) / 8
-            lists.append(search.Postings(docs, impacts))
+            lists.append((docs, impacts))
             for d, s in zip(docs.tolist(), impacts.tolist(), strict=True):
                 scores[d] = scores.get(d, 0.0) + s
         best = sorted(((s, d) for d, s in scores.items() if d != 7), key=lambda x: (-x[0], x[1]))[:10]
-        assert search.block_max_wand(lists, 10, range(7, 8)) == best
+        if not lists:
+            continue
+        term = np.repeat(np.arange(len(lists)), [len(d) for d, _ in lists])
+        index = search.Index(term, np.concatenate([d for d, _ in lists]), np.concatenate([i for _, i in lists]), len(lists), 3000)
+        assert search.best(index, np.arange(len(lists)), 10, range(7, 8)) == best
         floor = best[len(best) // 2][0] if best else 0.0
-        assert search.block_max_wand(lists, 10, range(7, 8), floor) == [x for x in best if x[0] > floor]
+        assert search.best(index, np.arange(len(lists)), 10, range(7, 8), floor) == [x for x in best if x[0] > floor]
 
 
 def test_search_in_blocks(spark):
