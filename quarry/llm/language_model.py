@@ -3,24 +3,24 @@
 Tokens are words and one end per text. Every word (and the start of a text) is a context with a restaurant of its own that
 seats its followers; every table it opens sends a customer to the unigram restaurant that all contexts share as their
 parent; the parent's base is uniform over all words and one unknown word. Seats are sampled by Gibbs sweeps (``seating``).
-Predictive probabilities are formed of tables and parent probabilities averaged over the sweeps after ``burn_in``:
-p(w | u) = (c - d t + (strength + d t_u) p(w)) / (strength + c_u).
+The predictive probabilities p(w | u) = (c - d t + (strength + d t_u) p(w)) / (strength + c_u) are averaged themselves over
+the sweeps after ``burn_in``, each formed of its own sweep's tables and parent probabilities.
 
 Nothing is left out and nothing that grows with the input reaches the driver or one task:
 
-* Word and pair counts are tables. A pair seen once has one table, so only its numbers by context and by word are kept;
-  pairs seen more often are the sampler's state, dealt by context (of more than ``split`` dishes: by context and word).
-  A context that is dealt to several tasks, and the parent, are updated from their totals of the sweep before.
-* Pairs are counted and scored in ``blocks`` blocks of contexts, one after another, so that the shuffles of one block at a
-  time are on disk.
-* ln p(w | u) = ln of the context's share for its parent + ln p(w) + ln(1 + gain) with gain only for seen pairs. The first
-  two are looked up by word, the gain by pair: in a shuffle by pair, where the training texts' own occurrences tell whether
-  the pair was seen once. The ``frequent`` most frequent words and pairs are sent to all tasks instead and looked up
-  there, so that no pair that a shuffle brings together holds a large share of the rows.
+* Pairs of words are counted once over all texts and dealt by context to buckets of about ``rows`` occurrences each. A
+  context that alone would hold more than a bucket's share is dealt to several, by word; its tables are then totals of the
+  sweep before. At most 65,536 contexts can be so, and only their totals are sent to all tasks.
+* A sweep is two shuffles of arrays (``_deal``): each bucket tells the words' buckets how many tables its contexts opened for
+  each word; these seat the parent and answer with the parent's probabilities in the order asked.
+* Sweeps run in ``blocks`` blocks of buckets, one after another, so that the shuffle of one block at a time is on disk.
+* Every pair of any text, seen in training or not, has its averaged probability in its bucket. Texts look up the ``frequent``
+  most frequent pairs on the spot; the other occurrences meet their pairs in the pairs' buckets, in as many blocks, and the sums
+  go back by document.
 
 Edge cases: a null or empty text has its end token only. Repeated rows and null ids are scored each for itself. Words and
 pairs of equal counts are treated alike, so ties don't matter. Without training documents all probabilities are those of
-the base. An empty table gives an empty result. Only named columns are read.
+the base. An empty table gives an empty result. Very long texts are read whole, one at a time. Only named columns are read.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _text, seating
+from . import _deal, _text, seating
 from ._store import drop, held_out, stored, table
 
 END, START = np.uint64(0), np.uint64(1)
 _CHUNK = 4_000_000
+_SPLIT = 1 << 16
+PAIRS, SEATS, TOLD, HOT, PARENTS, ANSWERS, SCORES, ASKED = range(8)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,35 +60,55 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _text.mix(_text.mix(context) + word * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _in_block(context: np.ndarray, block: int, blocks: int) -> np.ndarray:
-    return _text.mix(context ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(blocks) == block
+@dataclass
+class Dealing:
+    """How pairs are dealt: contexts of more than a bucket's share (sorted) go to several buckets."""
+
+    buckets: int
+    context: np.ndarray
+    parts: np.ndarray
+    n: np.ndarray  # customers
+
+    def of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out, at = _text.mix(context ^ np.uint64(0x5851F42D4C957F2D)), _text.lookup(self.context, context)
+        k = np.flatnonzero(at >= 0)
+        if len(k):
+            out[k] += _text.mix(word[k] ^ np.uint64(0x2545F4914F6CDD1D)) % self.parts[at[k]].astype(np.uint64)
+        return (out % np.uint64(self.buckets)).astype(np.int64)
+
+    def of_word(self, word: np.ndarray) -> np.ndarray:
+        return (_text.mix(word ^ np.uint64(0x14057B7EF767814F)) % np.uint64(self.buckets)).astype(np.int64)
 
 
-def _counted(block: int | None, blocks: int = 1):
-    """Counts of words (block None) or of the pairs of a block of contexts: in the texts to learn from, and in all."""
+def _summed(keys: np.ndarray, *values: np.ndarray):
+    """Index of a row of each different key, and the sums of the values by key."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    return (order[new], *(np.add.reduceat(v[order], new) if len(new) else v[:0] for v in values))
+
+
+def _counted(dealing: Dealing | None):
+    """Counts of words, or of pairs by their buckets: in the texts to learn from, and in all."""
 
     def run(batches):
         waiting, held = [], 0
 
         def flush():
             context, word, train = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
-            order = np.argsort(word if block is None else pair_keys(context, word))
-            context, word, train = context[order], word[order], train[order].astype(np.int64)
-            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])])) if len(word) else np.zeros(0, np.int64)
-            n = np.add.reduceat(train, new) if len(new) else np.zeros(0, np.int64)
-            columns = [pa.array(context[new].view(np.int64)), pa.array(word[new].view(np.int64)), pa.array(n), pa.array(np.diff(np.append(new, len(word))))]
-            return pa.RecordBatch.from_arrays(columns, ["context", "word", "n", "every"])
+            kind = np.int64 if dealing is None else np.int32
+            k, n, every = _summed(word if dealing is None else pair_keys(context, word), train.astype(kind), np.ones(len(word), kind))
+            if dealing is None:
+                return pa.RecordBatch.from_arrays([pa.array(word[k].view(np.int64)), pa.array(n), pa.array(every)], ["word", "n", "every"])
+            order = np.argsort(context[k], kind="stable")  # equal contexts side by side pack well
+            k, n, every = k[order], n[order].astype(kind), every[order].astype(kind)
+            return _deal.rows(dealing.of(context[k], word[k]), PAIRS, 0, context[k], word[k], n, every)
 
         for batch in batches:
             learns = batch.column("train").to_numpy(zero_copy_only=False)
             for i, _, data, offsets in _text.slices(batch.column("text")):
                 word, first = tokens(data, offsets)
-                train = np.repeat(learns[i : i + len(first) - 1], np.diff(first))
-                context = np.zeros_like(word) if block is None else contexts(word, first)
-                if blocks > 1:
-                    own = _in_block(context, block, blocks)
-                    context, word, train = context[own], word[own], train[own]
-                waiting.append((context, word, train))
+                waiting.append((word if dealing is None else contexts(word, first), word, np.repeat(learns[i : i + len(first) - 1], np.diff(first))))
                 held += len(word)
                 if held > _CHUNK:
                     yield flush()
@@ -96,296 +118,299 @@ def _counted(block: int | None, blocks: int = 1):
     return run
 
 
-_COUNTS = "context long, word long, n long, every long"
+def _merged(bucket, held):
+    """A bucket's pairs by (context, word), and how many of them were seen once and twice."""
+    context, word = (_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2))
+    n, every = (_deal.joined(held[PAIRS], c, np.int32).astype(np.int64) for c in (3, 4))
+    k, n, every = _summed(pair_keys(context, word), n, every)
+    context, word = context[k], word[k]
+    order = np.lexsort((word, context))
+    yield _deal.row(bucket, PAIRS, context[order], word[order], n[order], every[order], x=int((n == 1).sum()), y=int((n == 2).sum()))
 
 
-def _rank():
-    return F.floor(F.log2("every") * 8)
+def _seeds(context: np.ndarray, word: np.ndarray, seed: int) -> np.ndarray:
+    return _text.mix(pair_keys(context, word) ^ np.uint64(seed))
 
 
-def _limit(counts: DataFrame, most: int) -> int:
-    """The smallest bucket of counts from which on there are at most ``most`` rows, from a histogram of a few hundred rows."""
-    left, out = most, 1 << 30
-    for bucket, n in sorted(((r["b"], r["n"]) for r in counts.groupBy(_rank().alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True):
-        left -= n
-        if left < 0:
-            break
-        out = bucket
-    return out
+def predicted(n, tables, opened, customers, p, discount: float, strength: float):
+    """p(w | u) of one sample: n customers at ``tables`` tables of w, of ``customers`` at ``opened`` in u; p of the parent."""
+    return (n - discount * tables + (strength + discount * opened) * p) / (strength + customers)
 
 
 @dataclass
-class Model:
-    """Tables of the fit and the scalars of scoring."""
+class Sweep:
+    """One sweep of a bucket's restaurants: what the parent answered, and whether its sample counts."""
 
-    words: DataFrame  # word, n, every, log_p, log_t, bow: log10 of p(w), of strength + d t_u and of the parent's share
-    repeated: DataFrame  # context, word, every, weight: of pairs that stand in all texts more than once
-    word_limit: int
-    pair_limit: int
-    n_train: int
-    n_types: int
-    unknown: float  # log10 of p of the unknown word
-    start: tuple[float, float]  # log_t and bow of a text's start
+    dealing: Dealing
     discount: float
     strength: float
+    seed: int
+    base: float = 0.0  # of the parent's probabilities (x + base) / whole
+    whole: float = 1.0
+    weight: float = 0.0  # of the last sample in the average
+    opened: np.ndarray | None = None  # tables of the contexts that are dealt to several buckets
+    first: bool = False
+    last: bool = False
+
+    def __call__(self, bucket, held):
+        context, word = (_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2))
+        n, every = (_deal.joined(held[PAIRS], c, np.int64) for c in (3, 4))
+        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
+        number, names = np.cumsum(new) - 1, context[new]
+        asked, at = np.unique(word, return_inverse=True)
+        home = self.dealing.of_word(asked)
+        rank = np.empty(len(asked), np.int64)  # answers come by word bucket, then word
+        rank[np.lexsort((asked, home))] = np.arange(len(asked))
+        split = _text.lookup(self.dealing.context, names)
+        alone = split < 0
+        if self.first:
+            tables, kept = np.minimum(n, 1), np.zeros(len(n))
+        else:
+            tables, kept = _deal.joined(held[SEATS], 1, np.int64), _deal.joined(held[SEATS], 2, np.float32)
+            p = ((_deal.joined(held[ANSWERS], 1, float) + self.base) / self.whole)[rank[at]]
+            totals = np.bincount(number, tables, len(names))
+            totals[~alone] = self.opened[split[~alone]]
+            if self.weight:
+                customers = np.bincount(number, n, len(names))
+                customers[~alone] = self.dealing.n[split[~alone]]
+                kept = kept + self.weight * predicted(n, tables, totals[number], customers[number], p, self.discount, self.strength)
+            if self.last:
+                of_word = _deal.joined(held[ANSWERS], 2, np.int64)[rank[at]]
+                yield _deal.row(bucket, SCORES, np.log10(kept).astype(np.float32), of_word)
+                return
+            k = np.flatnonzero(n > 1)  # a pair seen once has one table
+            tables = tables.copy()
+            if len(k):
+                dense = np.unique(number[k])
+                tables[k] = seating.sweep(np.searchsorted(dense, number[k]), n[k], tables[k], totals[dense], p[k], self.discount, self.strength, _seeds(context[k], word[k], self.seed))
+        yield _deal.row(bucket, SEATS, tables, kept.astype(np.float32))
+        opened = np.bincount(number, tables, len(names)).astype(np.int64)
+        if not alone.all():
+            yield _deal.row(bucket, HOT, split[~alone], opened[~alone])
+        yield _deal.rows(home, TOLD, bucket, asked, np.bincount(at, tables, len(asked)).astype(np.int64), np.bincount(at, n, len(asked)).astype(np.int64))
 
-    def base_log(self, n):
-        return np.log10((np.asarray(n, float) + 0.5) / (self.n_train + 0.5 * (self.n_types + 1)))
 
+@dataclass
+class Parent:
+    """The parent's tables of a word bucket, each dish from the total of the sweep before, and answers to all who told."""
 
-_STATE = "context long, word long, n long, every long, tables long, kept double, part int"
+    total: float
+    discount: float
+    strength: float
+    types: int
+    seed: int
+
+    def __call__(self, bucket, held):
+        told = held[TOLD]
+        sizes = [len(r[1]) // 8 for r in told]
+        word, tables, n = _deal.joined(told, 1, np.uint64), _deal.joined(told, 2, np.int64), _deal.joined(told, 3, np.int64)
+        words, at = np.unique(word, return_inverse=True)
+        customers, of_word = (np.bincount(at, v, len(words)).astype(np.int64) for v in (tables, n))
+        before = _deal.joined(held[PARENTS], 1, np.int64) if held[PARENTS] else np.zeros(len(words), np.int64)
+        others = np.maximum(self.total - before, 0).astype(float)
+        start = np.minimum(np.maximum(before, np.minimum(customers, 1)), customers)
+        seated = seating.draw(customers, start, others, np.full(len(words), 1 / (self.types + 1)), self.discount, self.strength, _seeds(np.zeros_like(words), words, self.seed))
+        yield _deal.row(bucket, PARENTS, seated, x=int(customers.sum()), y=int(seated.sum()))
+        yield _deal.rows(np.repeat([r[0] for r in told], sizes), ANSWERS, bucket, (customers - self.discount * seated)[at], of_word[at])
 
 
-def _seated(discount: float, strength: float, seed: int, keep: bool, rows: int = 500_000):
-    """One sweep over batches sorted by (context, part, word). A row without word tells the tables of the context's pairs seen once.
+def _of_two(one: int, two: int) -> float:
+    """A discount from the numbers of dishes with one and with two customers."""
+    return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
 
-    Each dish draws from a seed of its own, so that a task that runs again, and any number of tasks, seats alike.
-    """
 
-    def sampled(t: pa.Table) -> pa.RecordBatch:
-        n, tables, kept, p, total = (t.column(c).to_numpy() for c in ("n", "tables", "kept", "p", "total"))
-        word = t.column("word").fill_null(0).to_numpy()
-        context, part = t.column("context").to_numpy(), t.column("part").to_numpy()
-        new = np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
-        number = np.cumsum(new) - 1
-        totals = np.where(np.isnan(total[new]), np.bincount(number, tables), total[new])
-        tables = seating.sweep(number, n, tables, totals, np.nan_to_num(p), discount, strength, _seeds(context, word, seed))
-        columns = [t.column("context"), t.column("word"), t.column("n"), t.column("every"), pa.array(tables), pa.array(kept + tables * float(keep)), t.column("part")]
-        return pa.Table.from_arrays(columns, ["context", "word", "n", "every", "tables", "kept", "part"])
+@dataclass
+class Model:
+    """The pairs of all texts with their averaged probabilities, and the fit's scalars."""
 
-    def run(batches):
-        waiting, held = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            held += batch.num_rows
-            if held < rows:
-                continue
-            whole = pa.Table.from_batches(waiting)  # up to the last whole restaurant
-            context, part = whole.column("context").to_numpy(), whole.column("part").to_numpy()
-            cut = int(((context != context[-1]) | (part != part[-1])).sum())
-            if cut:
-                yield from sampled(whole.slice(0, cut)).to_batches()
-                waiting, held = whole.slice(cut).to_batches(), len(whole) - cut
-        if waiting:
-            yield from sampled(pa.Table.from_batches(waiting)).to_batches()
+    pairs: DataFrame  # by bucket: contexts, words, occurrences in training and in all texts, packed
+    scores: DataFrame  # in the same order: log10 p(w | u), training tokens of w
+    dealing: Dealing
+    n_train: int
+    n_types: int
+    discount: float
+    strength: float
 
-    return run
+    def base_log(self, n):
+        return np.log10((np.asarray(n, float) + 0.5) / (self.n_train + 0.5 * (self.n_types + 1)))
 
 
-def _seeds(context: np.ndarray, word: np.ndarray, seed: int) -> np.ndarray:
-    return _text.mix(pair_keys(np.ascontiguousarray(context, np.int64).view(np.uint64), np.ascontiguousarray(word, np.int64).view(np.uint64)) ^ np.uint64(seed))
+def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, rows: int = 1_000_000, blocks: int = 2, seed: int = 7) -> Model:
+    """Learn from the rows of ``documents`` for which ``learns`` holds; pairs of the others are only given their probabilities."""
+    texts = documents.select(F.coalesce(learns, F.lit(False)).alias("train"), "text")
+    counts = stored(texts.mapInArrow(_counted(None), "word long, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "words")
+    size = counts.agg(F.sum("n").alias("n"), F.sum("every").alias("every"), F.count_if(F.col("n") > 0).alias("types")).first()
+    n_train, n_types, every = (int(size[c] or 0) for c in ("n", "types", "every"))
+    buckets = max(1, -(-every // rows))
+    share = max(every / min(buckets, _SPLIT), 1.0)  # fewer than _SPLIT words have more
+    hot = counts.where(F.col("every") > share).collect() if buckets > 1 else []
+    drop(counts)
+    hot = sorted((int(START) if r["word"] == int(END) else r["word"] % (1 << 64), -(-r["every"] * buckets // every), r["n"]) for r in hot)  # texts start as often as they end
+    dealing = Dealing(buckets, *(np.array([r[i] for r in hot], kind) for i, kind in enumerate((np.uint64, np.int64, np.int64))))
+    pairs = stored(_deal.met(texts.mapInArrow(_counted(dealing), _deal.SCHEMA), buckets).mapInArrow(_deal.each(_merged), _deal.SCHEMA), "pairs", "zstd")
+    told = pairs.agg(F.sum("x"), F.sum("y")).first()
+    discount, parent_discount = _of_two(int(told[0] or 0), int(told[1] or 0)), 0.5
+
+    def of(df, *kinds):
+        return df.where(F.col("kind").isin(*kinds))
+
+    seats = stored(pairs.mapInArrow(_deal.each(Sweep(dealing, discount, strength, seed, first=True)), _deal.SCHEMA), "seats", "zstd")
+    parents, total, written = None, 0, [seats]
+    for sweep in range(sweeps + 1):
+        rows_in = of(seats, TOLD) if parents is None else of(seats, TOLD).union(of(parents, PARENTS))
+        answers = stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(Parent(total, parent_discount, strength, n_types, seed + sweep)), _deal.SCHEMA), "parents", "zstd")
+        if parents is not None:
+            drop(parents)
+        parents = answers
+        told = of(parents, PARENTS).agg(F.sum("x"), F.sum("y")).first()
+        customers, total = int(told[0] or 0), int(told[1] or 0)
+        opened = np.zeros(len(dealing.context))
+        if len(opened):
+            for r in of(seats, HOT).mapInArrow(_opened, "context long, t long").groupBy("context").agg(F.sum("t").alias("t")).collect():  # at most _SPLIT
+                opened[r["context"]] = r["t"]
+        step = Sweep(dealing, discount, strength, seed + 100 + sweep, base=(strength + parent_discount * total) / (n_types + 1), whole=strength + customers, weight=1 / max(sweeps - burn_in, 1) if sweep > min(burn_in, sweeps - 1) else 0.0, opened=opened, last=sweep == sweeps)
+        after = []
+        for block in range(blocks):
+            rows_in = pairs.union(of(seats, SEATS)).union(of(parents, ANSWERS)).where(F.col("bucket") % blocks == block)
+            after.append(stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(step), _deal.SCHEMA), "scores" if step.last else "seats", "zstd"))
+        for x in written:
+            drop(x)
+        written, seats = after, reduce(DataFrame.union, after)
+    drop(parents)
+    return Model(pairs, seats, dealing, n_train, n_types, discount, strength)
 
 
-def _parent(total: float, discount: float, strength: float, types: int, seed: int):
-    """The parent's tables, each dish from the total of the sweep before."""
+def _opened(batches):
+    for batch in batches:
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (a, b)], ["context", "t"])
 
-    def run(batches):
-        for batch in batches:
-            word = batch.column("word").to_numpy()
-            customers, tables = batch.column("customers").to_numpy(), batch.column("tables").to_numpy()
-            others = np.maximum(total - tables, 0).astype(float)
-            tables = seating.draw(customers, np.minimum(np.maximum(tables, np.minimum(customers, 1)), customers), others, np.full(len(customers), 1 / (types + 1)), discount, strength, _seeds(np.zeros_like(word), word, seed))
-            yield batch.set_column(batch.schema.get_field_index("tables"), "tables", pa.array(tables))
 
-    return run
+def _ranks(every: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(every) * 8).astype(np.int64)
 
 
-def _of_two(one: int, two: int) -> float:
-    """A discount from the numbers of dishes with one and with two customers."""
-    return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
+def _ranked(batches):
+    for batch in batches:
+        for d in batch.column("d"):
+            rank, n = np.unique(_ranks(np.frombuffer(d.as_buffer(), np.int64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(n)], ["rank", "n"])
 
 
-def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, frequent: int = 1 << 18, blocks: int = 4, split: int = 200_000, seed: int = 7) -> Model:
-    """Learn from the rows of ``documents`` for which ``learns`` holds; the counts of the others only choose what is sent to all tasks."""
-    spark = documents.sparkSession
-    texts = documents.select(F.coalesce(learns, F.lit(False)).alias("train"), "text")
-    total = lambda c: F.sum(c).alias(c)
-    counts = stored(texts.mapInArrow(_counted(None), _COUNTS).groupBy("word").agg(total("n"), total("every")), "words")
-    size = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("types"), F.sum(F.when(F.col("word") == 0, F.col("n"))).alias("texts")).first()
-    n_train, n_types, n_texts = (int(size[c] or 0) for c in ("n", "types", "texts"))
-    repeated, by_context, by_word = [], [], []
-    for block in range(blocks):
-        pairs = stored(texts.mapInArrow(_counted(block, blocks), _COUNTS).groupBy("context", "word").agg(total("n"), total("every")), "pairs")
-        repeated.append(stored(pairs.where("every > 1"), "repeated"))
-        once = pairs.where("n = 1")
-        by_context.append(stored(once.groupBy("context").agg(F.count("*").alias("once")), "once"))
-        by_word.append(stored(once.groupBy("word").agg(F.count("*").alias("once")), "once"))
-        drop(pairs)
-    every = lambda parts: reduce(DataFrame.union, parts)
-    once_by_context = every(by_context)
-    once_by_word = every(by_word).groupBy("word").agg(total("once"))
-    pairs = every(repeated)
-    ones, twos = once_by_context.agg(F.sum("once")).first()[0] or 0, pairs.where("n = 2").count()
-    discount = _of_two(ones, twos)
-    zero = F.lit(0).cast("long")
-    seen = pairs.where("n > 1")
-    hot = stored(seen.groupBy("context").agg(F.count("*").alias("dishes")).where(F.col("dishes") > split).select("context", F.ceil(F.col("dishes") / split).cast("int").alias("parts")), "hot")
-    hot = None if hot.isEmpty() else hot
-    none = F.lit(0).alias("part")
-    state = seen.select("context", "word", "n", "every", F.lit(1).cast("long").alias("tables"), F.lit(0.0).alias("kept"), none)
-    alone = once_by_context.join(seen.select("context").distinct(), "context", "left_semi")  # other contexts have nothing to sample
-    state = state.union(alone.select("context", F.lit(None).cast("long"), zero, zero, "once", F.lit(0.0), none))
-    if hot is not None:
-        state = state.join(hot, "context", "left").withColumn("part", F.pmod(F.xxhash64("word"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    parents = counts.join(once_by_word, "word", "left").select("word", "n", "every", F.coalesce("once", zero).alias("once"), zero.alias("customers"), zero.alias("tables"), F.lit(0.0).alias("p"), F.lit(0.0).alias("kept"))
-    n_tasks, parent_discount, parent_tables, samples, unknown = int(spark.conf.get("spark.sql.shuffle.partitions")), 0.5, 0, 0, 0.0
-    old, before = [], None
-    for sweep in range(sweeps + 1):  # the first round only seats the parent
-        keep = sweep > burn_in
-        guests = state.where("word is not null").groupBy("word").agg(F.sum("tables").alias("guests"))
-        parents = parents.join(guests, "word", "left").withColumn("customers", F.col("once") + F.coalesce("guests", zero)).drop("guests")
-        parents = stored(parents.mapInArrow(_parent(parent_tables, parent_discount, strength, n_types, seed + sweep), parents.schema), "parents")
-        if before is not None:
-            drop(before)
-        before = parents
-        told = parents.agg(F.sum("customers"), F.sum("tables")).first()
-        customers, parent_tables = int(told[0] or 0), int(told[1] or 0)
-        base = (strength + parent_discount * parent_tables) / (n_types + 1)
-        p = (F.col("customers") - parent_discount * F.col("tables") + base) / (strength + customers)
-        parents = parents.withColumn("p", p).withColumn("kept", F.col("kept") + F.when(F.lit(keep), F.col("p")).otherwise(0.0))
-        unknown, samples = unknown + keep * base / (strength + customers), samples + keep
-        if sweep == sweeps:
-            break
-        rows = state.join(parents.select("word", "p"), "word", "left").withColumn("total", F.lit(float("nan")))
-        if hot is not None:
-            totals = state.join(hot, "context", "left_semi").groupBy("context").agg(F.sum("tables").cast("double").alias("t"))
-            rows = rows.join(totals, "context", "left").withColumn("total", F.coalesce("t", "total")).drop("t")
-        rows = rows.select("context", "word", "n", "every", "tables", "kept", "part", F.coalesce("p", F.lit(0.0)).alias("p"), "total").repartition(n_tasks, "context", "part").sortWithinPartitions("context", "part", "word")
-        state = stored(rows.mapInArrow(_seated(discount, strength, seed + 100 + sweep, sweep >= burn_in), _STATE), "seats")
-        for x in old:
-            drop(x)
-        old = [state]
-    seats = max(sweeps - burn_in, 1)
-    opened = state.where("word is not null").groupBy("context").agg(F.sum(F.col("kept") / seats).alias("t"))
-    opened = opened.union(once_by_context.select("context", F.col("once").cast("double"))).groupBy("context").agg(F.sum("t").alias("t"))
-    opened = stored(opened, "opened")
-    began = opened.where(F.col("context") == int(START)).first()
-    began = began["t"] if began else 0.0
-    share = strength + discount * F.coalesce("t", F.lit(0.0))
-    words = parents.join(opened.withColumnRenamed("context", "word"), "word", "left")
-    words = stored(words.select("word", "n", "every", F.log10(F.col("kept") / max(samples, 1)).alias("log_p"), F.log10(share).alias("log_t"), F.log10(share / (strength + F.col("n"))).alias("bow")), "lookup")
-    weight = (F.col("n") - discount * F.col("kept") / seats) / (1 - discount)
-    known = state.where("word is not null").select("context", "word", "every", weight.alias("weight"))
-    known = known.union(pairs.where("n < 2").select("context", "word", "every", F.col("n").cast("double")))
-    start = (float(np.log10(strength + discount * began)), float(np.log10((strength + discount * began) / (strength + n_texts))))
-    return Model(words, known, _limit(counts, frequent), _limit(known, frequent), n_train, n_types, float(np.log10(unknown / max(samples, 1))), start, discount, strength)
+def _above(limit: int):
+    """The pairs of at least this rank, with score and training tokens."""
+
+    def work(bucket, held):
+        k = np.flatnonzero(_ranks(_deal.joined(held[PAIRS], 4, np.int64)) >= limit)
+        context, word = (_deal.joined(held[PAIRS], c, np.uint64)[k] for c in (1, 2))
+        score, n = _deal.joined(held[SCORES], 1, np.float32)[k], _deal.joined(held[SCORES], 2, np.int64)[k]
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(context, word).view(np.int64)), pa.array(score), pa.array(n)], ["key", "score", "n"])
+
+    return _deal.each(work)
 
 
 class Frequent:
-    """What is sent to all tasks: at most ``frequent`` words and as many pairs, whatever the input."""
-
-    def __init__(self, model: Model):
-        rows = model.words.where(_rank() >= model.word_limit).toArrow()
-        hashes = rows["word"].to_numpy().view(np.uint64)
-        order = np.argsort(hashes)
-        self.words = hashes[order]
-        self.n, self.log_p, self.log_t, self.bow = (rows[c].to_numpy()[order] for c in ("n", "log_p", "log_t", "bow"))
-        rows = model.repeated.where(_rank() >= model.pair_limit).select("context", "word", "weight").toArrow()
-        keys = pair_keys(rows["context"].to_numpy().view(np.uint64), rows["word"].to_numpy().view(np.uint64))
+    """What is sent to all tasks: at most ``frequent`` pairs, whatever the input."""
+
+    def __init__(self, model: Model, frequent: int):
+        left, limit = frequent, 1 << 30
+        ranks = model.pairs.mapInArrow(_ranked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()  # a few hundred rows
+        for rank, n in sorted(((r["rank"], r["n"]) for r in ranks), reverse=True):
+            left -= n
+            if left < 0:
+                break
+            limit = rank
+        rows = _deal.met(model.pairs.union(model.scores), model.dealing.buckets).mapInArrow(_above(limit), "key long, score float, n long").toArrow()
+        keys = rows["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.pairs, self.weight = keys[order], rows["weight"].to_numpy()[order]
-        self.start, self.rest = model.start, float(np.log10(1 - model.discount))
+        self.keys, self.score, self.n = keys[order], rows["score"].to_numpy()[order], rows["n"].to_numpy()[order]
         self.base = model.base_log(self.n)
 
-    def single(self, context: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of the gain of a pair seen once: (1 - d) / ((strength + d t_u) p(w)); nan if either word isn't here."""
-        if not len(self.words):
-            return np.full(len(at), np.nan)
-        t = np.where(context == START, self.start[0], np.where(before >= 0, self.log_t[before], np.nan))
-        return self.rest - t - np.where(at >= 0, self.log_p[at], np.nan)
-
 
 def _scored(sent):
-    """Per text: tokens, known ones, base and score over the frequent words and pairs, and the words that aren't among them."""
+    """Per text: tokens, and known ones, base and score over the frequent pairs."""
 
     def run(batches):
         f = sent.value
         for batch in batches:
             out = {k: [np.zeros(0)] for k in ("n", "known", "base", "score")}
-            rest, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in _text.slices(batch.column("text")):
-                hashes, first = tokens(data, offsets)
-                context, at = contexts(hashes, first), _text.lookup(f.words, hashes)
-                before = np.concatenate([[-1], at[:-1]])
+                word, first = tokens(data, offsets)
+                at = _text.lookup(f.keys, pair_keys(contexts(word, first), word))
                 here = at >= 0
                 pick = lambda values, at=at, here=here: np.where(here, values[at], 0.0) if len(values) else np.zeros(len(at))
-                single, pair = f.single(context, at, before), _text.lookup(f.pairs, pair_keys(context, hashes))
-                gain = np.where((pair >= 0) & ~np.isnan(single), f.weight[pair] if len(f.weight) else 0.0, 0.0)
-                score = pick(f.log_p) + pick(f.bow) * (hashes != END) + np.log10(1 + gain * 10 ** np.nan_to_num(single))
-                score[first[:-1]] += f.start[1]
                 out["n"].append(np.diff(first))
-                for name, values in (("known", (pick(f.n) > 0).astype(np.int64)), ("base", pick(f.base)), ("score", score)):
+                for name, values in (("known", (pick(f.n) > 0).astype(np.int64)), ("base", pick(f.base)), ("score", pick(f.score))):
                     out[name].append(_text.segment_sum(values, first))
-                rest.append(hashes[~here])
-                sizes.append(_text.segment_sum((~here).astype(np.int64), first))
-            bounds = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
             columns = [pa.array(np.concatenate(out[k]).astype(np.int64 if k in ("n", "known") else float)) for k in out]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("train"), *columns, pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(rest).view(np.int64)))], ["key", "doc_id", "train", *out, "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("train"), *columns], ["key", "doc_id", "train", *out])
 
     return run
 
 
-def _occurrences(sent, block: int, blocks: int, rare: bool):
-    """(key, context, word, single, train) of the pairs that aren't looked up on the spot; rare: those with a word that isn't frequent."""
+def _asking(sent, dealing: Dealing, block: int, blocks: int):
+    """(pair, document) of the occurrences that aren't looked up on the spot, to the pairs' buckets of a block."""
 
     def run(batches):
         f = sent.value
         for batch in batches:
-            keys, learns = batch.column("key").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+            keys, asked = batch.column("key").to_numpy(), []
             for i, j, data, offsets in _text.slices(batch.column("text")):
                 word, first = tokens(data, offsets)
-                context, row = contexts(word, first), np.repeat(np.arange(i, j), np.diff(first))
-                own = _in_block(context, block, blocks)
-                word, context, row = word[own], context[own], row[own]
-                single = f.single(context, _text.lookup(f.words, word), _text.lookup(f.words, context))
-                asked = np.isnan(single) if rare else ~np.isnan(single) & (_text.lookup(f.pairs, pair_keys(context, word)) < 0)
-                word, context, row, single = word[asked], context[asked], row[asked], single[asked]
-                columns = [pa.array(keys[row]), pa.array(context.view(np.int64)), pa.array(word.view(np.int64)), pa.array(single.astype(np.float32)), pa.array(learns[row])]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "context", "word", "single", "train"])
+                context = contexts(word, first)
+                pair, bucket = pair_keys(context, word), dealing.of(context, word)
+                k = np.flatnonzero((bucket % blocks == block) & (_text.lookup(f.keys, pair) < 0))
+                asked.append((bucket[k], pair[k], np.repeat(keys[i:j], np.diff(first))[k]))
+            if asked:
+                bucket, pair, key = (np.concatenate(x) for x in zip(*asked, strict=True))
+                yield _deal.rows(bucket, ASKED, 0, pair, key)
 
     return run
 
 
-def scored(documents: DataFrame, learns: Column, blocks: int = 4, **options) -> tuple[DataFrame, Model]:
+@dataclass
+class Answered:
+    """Occurrences meet their pairs; a document's sums go to the document's bucket."""
+
+    model: Model
+
+    def __call__(self, bucket, held):
+        pair, key = _deal.joined(held[ASKED], 1, np.uint64), _deal.joined(held[ASKED], 2, np.int64)
+        keys = pair_keys(*(_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2)))
+        order = np.argsort(keys)
+        at = order[np.searchsorted(keys[order], pair)]
+        n = _deal.joined(held[SCORES], 2, np.int64)[at]
+        k, score, base, known = _summed(key, _deal.joined(held[SCORES], 1, np.float32)[at].astype(float), self.model.base_log(n), (n > 0).astype(np.int64))
+        key = key[k]
+        yield _deal.rows(self.model.dealing.of_word(key.view(np.uint64)), ASKED, bucket, key, score, base, known)
+
+
+def _told(bucket, held):
+    key, known = (_deal.joined(held[ASKED], c, np.int64) for c in (1, 4))
+    k, score, base, known = _summed(key, *(_deal.joined(held[ASKED], c, float) for c in (2, 3)), known)
+    yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(base), pa.array(score), pa.array(known)], ["key", "base", "score", "known"])
+
+
+def scored(documents: DataFrame, learns: Column, blocks: int = 2, frequent: int = 1 << 19, **options) -> tuple[DataFrame, Model]:
     """doc_id, train, n_tokens, n_known, base_score, score and perplexity of every document, and the model of those that ``learns`` names."""
     model = fit(documents, learns, blocks=blocks, **options)
-    sent = documents.sparkSession.sparkContext.broadcast(Frequent(model))
+    dealing, spark = model.dealing, documents.sparkSession
+    sent = spark.sparkContext.broadcast(Frequent(model, frequent))
     doc_id = F.col("doc_id").cast("long")
     texts = documents.select(F.xxhash64(doc_id, "text").alias("key"), doc_id.alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("train"), "text")
-    rows = stored(texts.mapInArrow(_scored(sent), "key long, doc_id long, train boolean, n long, known long, base double, score double, rest array<long>"), "scored")
-    # words that weren't sent
-    rare = rows.select("key", F.explode("rest").alias("word")).join(model.words.select("word", "n", "log_p", "bow"), "word", "left")
-    base = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (model.n_train + 0.5 * (model.n_types + 1)))
-    told = rare.select("key", base.alias("base"), (F.coalesce("log_p", F.lit(model.unknown)) + F.when(F.col("word") == 0, 0.0).otherwise(F.coalesce("bow", F.lit(0.0)))).alias("score"), (F.coalesce("n", F.lit(0)) > 0).cast("long").alias("known"))
-    parts = [stored(told.groupBy("key").agg(F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("known").alias("known")), "rare")]
-    # pairs that weren't sent
-    slim = texts.select("key", "train", "text")
-    schema = "key long, context long, word long, single float, train boolean"
-    log_p = model.words.select("word", "log_p")
-    log_t = model.words.select(F.col("word").alias("context"), "log_t")
-    both = Window.partitionBy("context", "word")
-    for block in range(blocks + 1):
-        last = block == blocks  # pairs with a rare word, of all contexts
-        met = slim.mapInArrow(_occurrences(sent, 0 if last else block, 1 if last else blocks, last), schema)
-        known = model.repeated.where(_rank() < model.pair_limit)
-        if last:
-            met = met.join(log_p, "word", "left").join(log_t, "context", "left")
-            at = F.when(F.col("context") == int(START), F.lit(model.start[0])).otherwise(F.coalesce("log_t", F.lit(float(np.log10(model.strength)))))
-            met = met.select("key", "context", "word", (float(np.log10(1 - model.discount)) - at - F.coalesce("log_p", F.lit(model.unknown))).cast("float").alias("single"), "train")
-            known = model.repeated
-        known = known.where("weight > 1").select(F.lit(None).cast("long").alias("key"), "context", "word", F.lit(None).cast("float").alias("single"), F.lit(False).alias("train"), "weight")
-        every = met.withColumn("weight", F.lit(None).cast("double")).unionByName(known)
-        every = every.select("key", "single", F.max("weight").over(both).alias("weight"), F.count_if("train").over(both).alias("n")).where("key is not null and n > 0")
-        gain = F.log10(1 + F.coalesce("weight", F.lit(1.0)) * F.pow(F.lit(10.0), "single"))
-        parts.append(stored(every.groupBy("key").agg(F.lit(0.0).alias("base"), F.sum(gain).alias("score"), F.lit(0).cast("long").alias("known")), "gains"))
-    more = reduce(DataFrame.union, parts).groupBy("key").agg(*(F.sum(c).alias(f"more_{c}") for c in ("base", "score", "known")))
+    rows = stored(texts.mapInArrow(_scored(sent), "key long, doc_id long, train boolean, n long, known long, base double, score double"), "scored")
+    answered = Answered(Model(None, None, dealing, model.n_train, model.n_types, model.discount, model.strength))
+    parts = []
+    for block in range(blocks):
+        known = model.pairs.union(model.scores).where(F.col("bucket") % blocks == block)
+        asked = texts.select("key", "text").mapInArrow(_asking(sent, dealing, block, blocks), _deal.SCHEMA).union(known)
+        parts.append(stored(_deal.met(asked, dealing.buckets).mapInArrow(_deal.each(answered), _deal.SCHEMA), "gains", "zstd"))
+    told = _deal.met(reduce(DataFrame.union, parts), dealing.buckets).mapInArrow(_deal.each(_told), "key long, base double, score double, known long")
+    more = told.select("key", *(F.col(c).alias(f"more_{c}") for c in ("base", "score", "known")))
     # rows equal in id and text share a key, so a key's sums are those of all its rows
-    again = rows.groupBy("key").agg(F.count("*").alias("rows"))
-    more = again.join(more, "key", "left")
+    more = rows.groupBy("key").agg(F.count("*").alias("rows")).join(more, "key", "left")
     add = lambda a: F.col(a) + F.coalesce(F.col(f"more_{a}") / F.col("rows"), F.lit(0))
-    out = rows.drop("rest").join(more, "key", "left")
+    out = rows.join(more, "key", "left")
     out = out.select("doc_id", "train", F.col("n").alias("n_tokens"), add("known").cast("long").alias("n_known"), add("base").alias("base_score"), add("score").alias("score"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), model
 

@@ -105,13 +105,15 @@ def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np
     small = order[(ranked > 1) & (ranked <= EXACT)]
     if len(small):
         stirling, sizes = _table(discount), customers[small]
-        cut = np.flatnonzero(np.concatenate([[True], sizes[1:] != sizes[:-1]]))
+        band = np.floor(np.log2(sizes) * 4)  # sizes within a fifth are drawn together; beyond its own size a dish has no weight
+        cut = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         for at, end in zip(cut.tolist(), [*cut[1:].tolist(), len(small)], strict=True):
-            c = int(sizes[at])
+            c = int(sizes[end - 1])
             t, step = np.arange(1, c + 1), max(1, 1_000_000 // c)
-            for k in (small[a : min(a + step, end)] for a in range(at, end, step)):
+            for a in range(at, end, step):
+                k, own = small[a : min(a + step, end)], sizes[a : min(a + step, end)]
                 opening = np.log(np.maximum(strength + discount * (others[k][:, None] + t - 1), 1e-300)).cumsum(1)
-                weight = stirling[c, t] + t * base[k][:, None] + opening
+                weight = stirling[own[:, None], t] + t * base[k][:, None] + opening
                 out[k] = 1 + (weight - np.log(-np.log(uniform(seeds[k][:, None], t)))).argmax(1)
     large = order[ranked > EXACT]
     for k in (large[a : a + 20_000] for a in range(0, len(large), 20_000)):
@@ -136,13 +138,15 @@ def sweep(restaurant: np.ndarray, customers: np.ndarray, tables: np.ndarray, tot
     """One pass over the dishes of many restaurants; ``restaurant`` ascends from 0, ``totals`` are their tables at the start.
 
     The n-th dishes of all restaurants are drawn at once, so a restaurant's dishes are drawn one after another. One of more
-    than ``blocks`` dishes is drawn in that many parts, each from totals in which its own part's moves are still missing.
+    than ``blocks`` dishes is drawn in that many parts, each from totals in which its own part's moves are still missing; its
+    dishes of more than ``EXACT`` customers are a part of their own, the last.
     """
     tables, totals, seeds = tables.copy(), totals.astype(float).copy(), seeds_of(rng, len(customers))
     first = np.searchsorted(restaurant, np.arange(len(totals)))
     turn = (np.arange(len(restaurant)) - first[restaurant]) % blocks
+    turn[customers > EXACT] = blocks
     todo = customers > 1
-    for block in range(blocks):
+    for block in range(blocks + 1):
         k = np.flatnonzero(todo & (turn == block))
         if not len(k):
             continue

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from conftest import SF, rows_of
+from pyspark.sql import functions as F
 from quarry.llm import decontamination, language_model, license, neardup, pii, seating, suffixes
 from quarry.llm._store import held_out
 
@@ -193,33 +195,58 @@ def test_language_model(spark, folder):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_language_model_sums_to_one(spark):
-    """Over the vocabulary and the unknown word, in contexts of every kind; whatever is sent or split, the scores are alike."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    found, model = language_model.scored(docs, ~held_out(5), blocks=2)
-    words, pairs = model.words.where("n > 0").toPandas(), model.repeated.toPandas()
-    assert abs((10.0 ** words["log_p"]).sum() + 10.0**model.unknown - 1) < 1e-6
-    p, at = dict(zip(words["word"], 10.0 ** words["log_p"], strict=True)), words.set_index("word")
-    singles = Counter()
-    for i, t in docs.collect():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            hashes, first = language_model.tokens(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))
-            before = language_model.contexts(hashes, first)
-            singles.update(zip(before.view(np.int64).tolist(), hashes.view(np.int64).tolist(), strict=True))
-    by_context = defaultdict(dict)
-    for c, w, weight in zip(pairs["context"], pairs["word"], pairs["weight"], strict=True):
-        if weight > 0:
-            by_context[c][w] = weight
-    for (c, w), n in singles.items():
-        if n == 1:
-            by_context[c][w] = 1.0
-    for c in [x for x in by_context if x in at.index][:200]:
-        t = 10.0 ** at.loc[c, "log_t"]
-        gain = sum(weight * (1 - model.discount) / (t * p[w]) * p[w] for w, weight in by_context[c].items())
-        assert abs(10.0 ** at.loc[c, "bow"] * (1 + gain) - 1) < 1e-6
-    want = {r["doc_id"]: r["score"] for r in found.collect()}
-    again, _ = language_model.scored(docs, ~held_out(5), blocks=1, frequent=50, split=40)
-    assert all(abs(want[r["doc_id"]] - r["score"]) < 0.03 * abs(want[r["doc_id"]]) for r in again.collect())
+def key_of(context, word):
+    """The model's key of a pair of words; None is a text's start or end."""
+    own = lambda w, none: none if w is None else language_model.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]
+    return int(language_model.pair_keys(np.array([own(context, language_model.START)], np.uint64), np.array([own(word, language_model.END)], np.uint64))[0])
+
+
+def scores_of(model):
+    """log10 p(w | u) and the training tokens of w, by pair key."""
+    out = {}
+    told = {r["bucket"]: r for r in model.scores.collect()}
+    for r in model.pairs.collect():
+        keys = language_model.pair_keys(*(np.frombuffer(r[c], np.uint64) for c in "ab"))
+        scores, n = np.frombuffer(told[r["bucket"]]["a"], np.float32), np.frombuffer(told[r["bucket"]]["b"], np.int64)
+        out |= {int(k): (float(s), int(c)) for k, s, c in zip(keys, scores, n, strict=True)}
+    return out
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 60])
+def test_language_model_sums_to_one(spark, rows):
+    """Held-out texts ask every word and an unknown one of some contexts: the averaged probabilities of each context sum to one."""
+    r = random.Random(4)
+    learned = [" ".join(r.choice("abcdefghijkl") + r.choice(["", "x"]) for _ in range(r.randint(0, 60))) for _ in range(60)]
+    vocabulary = sorted({w for t in learned for w in t.split()})
+    asked = [*vocabulary[:5], "never"]
+    held = [f"{u} {w}" for u in asked for w in [*vocabulary, "unseen"]] + asked + [*vocabulary, "unseen", ""]
+    docs = spark.createDataFrame([(i, t, i < len(learned)) for i, t in enumerate(learned + held)], "doc_id long, text string, learn boolean")
+    found, model = language_model.scored(docs, F.col("learn"), rows=rows, frequent=30)
+    assert (model.dealing.buckets > 1) == (rows == 60) and (len(model.dealing.context) > 0) == (rows == 60)
+    told = scores_of(model)
+    for u in [*asked, None]:
+        assert abs(sum(10 ** told[key_of(u, w)][0] for w in [*vocabulary, "unseen", None]) - 1) < 1e-5
+    for row in found.collect():  # a text's score is the sum over its pairs, sent to all tasks or not
+        text = [None, *(learned + held)[row["doc_id"]].split(), None]
+        assert abs(row["score"] - sum(told[key_of(u, w)][0] for u, w in zip(text, text[1:], strict=False))) < 1e-4
+
+
+def test_language_model_averages_predictions(spark):
+    """With given seats by brute force: pairs seen once have one table, so each sample's probability follows from the parent's alone."""
+    p, q = 0.2, 0.3
+    one, two = (language_model.predicted(3, t, o, 5, x, 0.5, 1.0) for t, o, x in ((1, 2, p), (2, 4, q)))
+    assert abs((one + two) / 2 - ((3 - 0.5 + (1 + 1.0) * p) / 6 + (3 - 1 + (1 + 2.0) * q) / 6) / 2) < 1e-12
+    docs = spark.createDataFrame([(0, "a b c d"), (1, "e f g")], "doc_id long, text string")
+    _, model = language_model.scored(docs, F.lit(True))
+    told = scores_of(model)
+    # discount 0.95 (no pair is seen twice); end: two customers, each of one table; others one; parent's tables of the end are 1 or 2
+    d, mean = 0.95, []
+    assert model.discount == d
+    a = lambda t, c, k, whole: (c - 0.5 * t + (1 + 0.5 * whole) / 9) / (1 + k)
+    mean = {t: a(1, 1, 9, 7 + t) for t in (1, 2)}
+    got = 10 ** told[key_of("a", "b")][0]
+    low, high = sorted((1 - d + (1 + d) * mean[t]) / 2 for t in (1, 2))
+    assert min(abs(got - x) for x in (low, high, (low + high) / 2)) < 1e-6
 
 
 @pytest.mark.parametrize(("customers", "others", "base", "discount"), [(65, 50, 0.01, 0.7), (500, 300, 0.02, 0.8), (600, 5000, 0.3, 0.5), (2000, 300, 0.02, 0.8)])
@@ -272,7 +299,7 @@ def test_language_model_however_dealt(spark):
     try:
         for n in ("4", "7"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            found, _ = language_model.scored(docs.repartition(int(n)), ~held_out(5), blocks=2, frequent=200)
+            found, _ = language_model.scored(docs.repartition(int(n)), ~held_out(5), blocks=2, frequent=200, rows=9000)
             got.append({r["doc_id"]: r["score"] for r in found.collect()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
