@@ -25,7 +25,7 @@ def rows(bucket: np.ndarray, kind: int, source: int, *arrays: np.ndarray) -> pa.
     packed = []
     for v in arrays:
         v = np.ascontiguousarray(v[order])
-        packed.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * v.itemsize).astype(np.int32)), pa.py_buffer(v)]))
+        packed.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * (v.itemsize * (v.shape[1] if v.ndim > 1 else 1))).astype(np.int32)), pa.py_buffer(v)]))
     packed += [pa.nulls(n, pa.binary())] * (4 - len(arrays))
     same = lambda v, t: pa.array(np.full(n, v), t)
     return pa.RecordBatch.from_arrays([pa.array(ranked[cut].astype(np.int32)), same(kind, pa.int32()), same(source, pa.int32()), *packed, same(0, pa.int64()), same(0, pa.int64())], schema=_ARROW)

@@ -37,9 +37,9 @@ from . import _deal, _text, seating
 from ._store import drop, held_out, stored, table
 
 END, START = np.uint64(0), np.uint64(1)
-_CHUNK = 4_000_000
+_CHUNK = 2_000_000
 _SPLIT = 1 << 16
-PAIRS, SEATS, TOLD, HOT, PARENTS, ANSWERS, SCORES, ASKED = range(8)
+PAIRS, SEATS, TOLD, HOT, PARENTS, ANSWERS, SCORES, ASKED, SUMS, SENT = range(10)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +88,8 @@ def _summed(keys: np.ndarray, *values: np.ndarray):
     return (order[new], *(np.add.reduceat(v[order], new) if len(new) else v[:0] for v in values))
 
 
-def _counted(dealing: Dealing | None):
-    """Counts of words, or of pairs by their buckets: in the texts to learn from, and in all."""
+def _counted(dealing: Dealing | None, parts: int = 1):
+    """Counts of words to ``parts`` buckets, or of pairs by their buckets: in the texts to learn from, and in all."""
 
     def run(batches):
         waiting, held = [], 0
@@ -99,7 +99,7 @@ def _counted(dealing: Dealing | None):
             kind = np.int64 if dealing is None else np.int32
             k, n, every = _summed(word if dealing is None else pair_keys(context, word), train.astype(kind), np.ones(len(word), kind))
             if dealing is None:
-                return pa.RecordBatch.from_arrays([pa.array(word[k].view(np.int64)), pa.array(n), pa.array(every)], ["word", "n", "every"])
+                return _deal.rows((_text.mix(word[k]) % np.uint64(parts)).astype(np.int64), PAIRS, 0, word[k], n, every)
             order = np.argsort(context[k], kind="stable")  # equal contexts side by side pack well
             k, n, every = k[order], n[order].astype(kind), every[order].astype(kind)
             return _deal.rows(dealing.of(context[k], word[k]), PAIRS, 0, context[k], word[k], n, every)
@@ -118,6 +118,12 @@ def _counted(dealing: Dealing | None):
     return run
 
 
+def _words(bucket, held):
+    word = _deal.joined(held[PAIRS], 1, np.uint64)
+    k, n, every = _summed(word, *(_deal.joined(held[PAIRS], c, np.int64) for c in (2, 3)))
+    yield pa.RecordBatch.from_arrays([pa.array(word[k].view(np.int64)), pa.array(n), pa.array(every)], ["word", "n", "every"])
+
+
 def _merged(bucket, held):
     """A bucket's pairs by (context, word), and how many of them were seen once and twice."""
     context, word = (_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2))
@@ -151,6 +157,7 @@ class Sweep:
     opened: np.ndarray | None = None  # tables of the contexts that are dealt to several buckets
     first: bool = False
     last: bool = False
+    rank: int = 1 << 30  # of the pairs that are sent to all tasks
 
     def __call__(self, bucket, held):
         context, word = (_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2))
@@ -177,6 +184,8 @@ class Sweep:
             if self.last:
                 of_word = _deal.joined(held[ANSWERS], 2, np.int64)[rank[at]]
                 yield _deal.row(bucket, SCORES, np.log10(kept).astype(np.float32), of_word)
+                k = np.flatnonzero(_ranks(every) >= self.rank)
+                yield _deal.row(bucket, SENT, pair_keys(context[k], word[k]), np.log10(kept[k]), of_word[k])
                 return
             k = np.flatnonzero(n > 1)  # a pair seen once has one table
             tables = tables.copy()
@@ -235,10 +244,11 @@ class Model:
         return np.log10((np.asarray(n, float) + 0.5) / (self.n_train + 0.5 * (self.n_types + 1)))
 
 
-def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, rows: int = 1_000_000, blocks: int = 2, seed: int = 7) -> Model:
+def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, rows: int = 1_000_000, blocks: int = 2, frequent: int = 1 << 19, seed: int = 7) -> Model:
     """Learn from the rows of ``documents`` for which ``learns`` holds; pairs of the others are only given their probabilities."""
     texts = documents.select(F.coalesce(learns, F.lit(False)).alias("train"), "text")
-    counts = stored(texts.mapInArrow(_counted(None), "word long, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "words")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stored(_deal.met(texts.mapInArrow(_counted(None, parts), _deal.SCHEMA), parts).mapInArrow(_deal.each(_words), "word long, n long, every long"), "words")
     size = counts.agg(F.sum("n").alias("n"), F.sum("every").alias("every"), F.count_if(F.col("n") > 0).alias("types")).first()
     n_train, n_types, every = (int(size[c] or 0) for c in ("n", "types", "every"))
     buckets = max(1, -(-every // rows))
@@ -255,7 +265,7 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
         return df.where(F.col("kind").isin(*kinds))
 
     seats = stored(pairs.mapInArrow(_deal.each(Sweep(dealing, discount, strength, seed, first=True)), _deal.SCHEMA), "seats", "zstd")
-    parents, total, written = None, 0, [seats]
+    parents, total, written, rank = None, 0, [seats], _limit(pairs, frequent)
     for sweep in range(sweeps + 1):
         rows_in = of(seats, TOLD) if parents is None else of(seats, TOLD).union(of(parents, PARENTS))
         answers = stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(Parent(total, parent_discount, strength, n_types, seed + sweep)), _deal.SCHEMA), "parents", "zstd")
@@ -268,7 +278,7 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
         if len(opened):
             for r in of(seats, HOT).mapInArrow(_opened, "context long, t long").groupBy("context").agg(F.sum("t").alias("t")).collect():  # at most _SPLIT
                 opened[r["context"]] = r["t"]
-        step = Sweep(dealing, discount, strength, seed + 100 + sweep, base=(strength + parent_discount * total) / (n_types + 1), whole=strength + customers, weight=1 / max(sweeps - burn_in, 1) if sweep > min(burn_in, sweeps - 1) else 0.0, opened=opened, last=sweep == sweeps)
+        step = Sweep(dealing, discount, strength, seed + 100 + sweep, base=(strength + parent_discount * total) / (n_types + 1), whole=strength + customers, weight=1 / max(sweeps - burn_in, 1) if sweep > min(burn_in, sweeps - 1) else 0.0, opened=opened, last=sweep == sweeps, rank=rank)
         after = []
         for block in range(blocks):
             rows_in = pairs.union(of(seats, SEATS)).union(of(parents, ANSWERS)).where(F.col("bucket") % blocks == block)
@@ -297,73 +307,53 @@ def _ranked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(n)], ["rank", "n"])
 
 
-def _above(limit: int):
-    """The pairs of at least this rank, with score and training tokens."""
-
-    def work(bucket, held):
-        k = np.flatnonzero(_ranks(_deal.joined(held[PAIRS], 4, np.int64)) >= limit)
-        context, word = (_deal.joined(held[PAIRS], c, np.uint64)[k] for c in (1, 2))
-        score, n = _deal.joined(held[SCORES], 1, np.float32)[k], _deal.joined(held[SCORES], 2, np.int64)[k]
-        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(context, word).view(np.int64)), pa.array(score), pa.array(n)], ["key", "score", "n"])
-
-    return _deal.each(work)
+def _limit(pairs: DataFrame, most: int) -> int:
+    """The smallest rank from which on there are at most ``most`` pairs, from a histogram of a few hundred rows."""
+    left, limit = most, 1 << 30
+    ranks = pairs.mapInArrow(_ranked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    for rank, n in sorted(((r["rank"], r["n"]) for r in ranks), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        limit = rank
+    return limit
 
 
 class Frequent:
     """What is sent to all tasks: at most ``frequent`` pairs, whatever the input."""
 
-    def __init__(self, model: Model, frequent: int):
-        left, limit = frequent, 1 << 30
-        ranks = model.pairs.mapInArrow(_ranked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()  # a few hundred rows
-        for rank, n in sorted(((r["rank"], r["n"]) for r in ranks), reverse=True):
-            left -= n
-            if left < 0:
-                break
-            limit = rank
-        rows = _deal.met(model.pairs.union(model.scores), model.dealing.buckets).mapInArrow(_above(limit), "key long, score float, n long").toArrow()
-        keys = rows["key"].to_numpy().view(np.uint64)
+    def __init__(self, model: Model):
+        rows = model.scores.where(F.col("kind") == SENT).select("a", "b", "c").collect()
+        keys, score, n = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) if rows else np.zeros(0, t) for c, t in (("a", np.uint64), ("b", float), ("c", np.int64)))
         order = np.argsort(keys)
-        self.keys, self.score, self.n = keys[order], rows["score"].to_numpy()[order], rows["n"].to_numpy()[order]
+        self.keys, self.score, self.n = keys[order], score[order], n[order]
         self.base = model.base_log(self.n)
 
 
-def _scored(sent):
-    """Per text: tokens, and known ones, base and score over the frequent pairs."""
-
-    def run(batches):
-        f = sent.value
-        for batch in batches:
-            out = {k: [np.zeros(0)] for k in ("n", "known", "base", "score")}
-            for _, _, data, offsets in _text.slices(batch.column("text")):
-                word, first = tokens(data, offsets)
-                at = _text.lookup(f.keys, pair_keys(contexts(word, first), word))
-                here = at >= 0
-                pick = lambda values, at=at, here=here: np.where(here, values[at], 0.0) if len(values) else np.zeros(len(at))
-                out["n"].append(np.diff(first))
-                for name, values in (("known", (pick(f.n) > 0).astype(np.int64)), ("base", pick(f.base)), ("score", pick(f.score))):
-                    out[name].append(_text.segment_sum(values, first))
-            columns = [pa.array(np.concatenate(out[k]).astype(np.int64 if k in ("n", "known") else float)) for k in out]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("train"), *columns], ["key", "doc_id", "train", *out])
-
-    return run
-
-
 def _asking(sent, dealing: Dealing, block: int, blocks: int):
-    """(pair, document) of the occurrences that aren't looked up on the spot, to the pairs' buckets of a block."""
+    """Of the pairs of a block of buckets: a text's sums over the frequent ones, and (pair, document) of all others."""
 
     def run(batches):
         f = sent.value
         for batch in batches:
-            keys, asked = batch.column("key").to_numpy(), []
+            keys, asked, sums = batch.column("key").to_numpy(), [], []
             for i, j, data, offsets in _text.slices(batch.column("text")):
                 word, first = tokens(data, offsets)
-                context = contexts(word, first)
-                pair, bucket = pair_keys(context, word), dealing.of(context, word)
-                k = np.flatnonzero((bucket % blocks == block) & (_text.lookup(f.keys, pair) < 0))
-                asked.append((bucket[k], pair[k], np.repeat(keys[i:j], np.diff(first))[k]))
+                context, row = contexts(word, first), np.repeat(np.arange(j - i), np.diff(first))
+                bucket = dealing.of(context, word)
+                own = np.flatnonzero(bucket % blocks == block)
+                bucket, row, pair = bucket[own], row[own], pair_keys(context[own], word[own])
+                at = _text.lookup(f.keys, pair)
+                k, here = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
+                asked.append((bucket[k], pair[k], keys[i:j][row[k]]))
+                at, of = at[here], row[here]
+                score, base, known = (np.bincount(of, v[at], j - i) for v in (f.score, f.base, f.n > 0))
+                sums.append((keys[i:j], score, base, np.stack([known, np.bincount(row, minlength=j - i)], 1).astype(np.int64)))
             if asked:
                 bucket, pair, key = (np.concatenate(x) for x in zip(*asked, strict=True))
                 yield _deal.rows(bucket, ASKED, 0, pair, key)
+                key, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
+                yield _deal.rows(dealing.of_word(key.view(np.uint64)), SUMS, 0, key, *values)
 
     return run
 
@@ -375,6 +365,10 @@ class Answered:
     model: Model
 
     def __call__(self, bucket, held):
+        if held[SUMS]:
+            yield _deal.row(bucket, SUMS, *(_deal.joined(held[SUMS], c, t) for c, t in ((1, np.int64), (2, float), (3, float), (4, np.int64))))
+        if not held[ASKED]:
+            return
         pair, key = _deal.joined(held[ASKED], 1, np.uint64), _deal.joined(held[ASKED], 2, np.int64)
         keys = pair_keys(*(_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2)))
         order = np.argsort(keys)
@@ -382,36 +376,34 @@ class Answered:
         n = _deal.joined(held[SCORES], 2, np.int64)[at]
         k, score, base, known = _summed(key, _deal.joined(held[SCORES], 1, np.float32)[at].astype(float), self.model.base_log(n), (n > 0).astype(np.int64))
         key = key[k]
-        yield _deal.rows(self.model.dealing.of_word(key.view(np.uint64)), ASKED, bucket, key, score, base, known)
+        yield _deal.rows(self.model.dealing.of_word(key.view(np.uint64)), SUMS, bucket, key, score, base, np.stack([known, np.zeros_like(known)], 1))
 
 
 def _told(bucket, held):
-    key, known = (_deal.joined(held[ASKED], c, np.int64) for c in (1, 4))
-    k, score, base, known = _summed(key, *(_deal.joined(held[ASKED], c, float) for c in (2, 3)), known)
-    yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(base), pa.array(score), pa.array(known)], ["key", "base", "score", "known"])
+    key, counts = _deal.joined(held[SUMS], 1, np.int64), _deal.joined(held[SUMS], 4, np.int64).reshape(-1, 2)
+    k, score, base, known, n = _summed(key, *(_deal.joined(held[SUMS], c, float) for c in (2, 3)), counts[:, 0], counts[:, 1])
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[k], base, score, known, n)], ["key", "base", "score", "known", "n"])
 
 
 def scored(documents: DataFrame, learns: Column, blocks: int = 2, frequent: int = 1 << 19, **options) -> tuple[DataFrame, Model]:
     """doc_id, train, n_tokens, n_known, base_score, score and perplexity of every document, and the model of those that ``learns`` names."""
-    model = fit(documents, learns, blocks=blocks, **options)
-    dealing, spark = model.dealing, documents.sparkSession
-    sent = spark.sparkContext.broadcast(Frequent(model, frequent))
+    model = fit(documents, learns, blocks=blocks, frequent=frequent, **options)
+    dealing = model.dealing
+    sent = documents.sparkSession.sparkContext.broadcast(Frequent(model))
     doc_id = F.col("doc_id").cast("long")
     texts = documents.select(F.xxhash64(doc_id, "text").alias("key"), doc_id.alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("train"), "text")
-    rows = stored(texts.mapInArrow(_scored(sent), "key long, doc_id long, train boolean, n long, known long, base double, score double"), "scored")
     answered = Answered(Model(None, None, dealing, model.n_train, model.n_types, model.discount, model.strength))
     parts = []
     for block in range(blocks):
-        known = model.pairs.union(model.scores).where(F.col("bucket") % blocks == block)
+        known = model.pairs.union(model.scores.where(F.col("kind") == SCORES)).where(F.col("bucket") % blocks == block)
         asked = texts.select("key", "text").mapInArrow(_asking(sent, dealing, block, blocks), _deal.SCHEMA).union(known)
         parts.append(stored(_deal.met(asked, dealing.buckets).mapInArrow(_deal.each(answered), _deal.SCHEMA), "gains", "zstd"))
-    told = _deal.met(reduce(DataFrame.union, parts), dealing.buckets).mapInArrow(_deal.each(_told), "key long, base double, score double, known long")
-    more = told.select("key", *(F.col(c).alias(f"more_{c}") for c in ("base", "score", "known")))
+    told = _deal.met(reduce(DataFrame.union, parts), dealing.buckets).mapInArrow(_deal.each(_told), "key long, base double, score double, known long, n long")
+    rows = texts.drop("text")
     # rows equal in id and text share a key, so a key's sums are those of all its rows
-    more = rows.groupBy("key").agg(F.count("*").alias("rows")).join(more, "key", "left")
-    add = lambda a: F.col(a) + F.coalesce(F.col(f"more_{a}") / F.col("rows"), F.lit(0))
-    out = rows.join(more, "key", "left")
-    out = out.select("doc_id", "train", F.col("n").alias("n_tokens"), add("known").cast("long").alias("n_known"), add("base").alias("base_score"), add("score").alias("score"))
+    told = rows.groupBy("key").agg(F.count("*").alias("rows")).join(told, "key")
+    part = lambda c: F.col(c) / F.col("rows")
+    out = rows.join(told, "key").select("doc_id", "train", part("n").cast("long").alias("n_tokens"), part("known").cast("long").alias("n_known"), part("base").alias("base_score"), part("score").alias("score"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), model
 
 

@@ -204,7 +204,7 @@ def key_of(context, word):
 def scores_of(model):
     """log10 p(w | u) and the training tokens of w, by pair key."""
     out = {}
-    told = {r["bucket"]: r for r in model.scores.collect()}
+    told = {r["bucket"]: r for r in model.scores.where(F.col("kind") == language_model.SCORES).collect()}
     for r in model.pairs.collect():
         keys = language_model.pair_keys(*(np.frombuffer(r[c], np.uint64) for c in "ab"))
         scores, n = np.frombuffer(told[r["bucket"]]["a"], np.float32), np.frombuffer(told[r["bucket"]]["b"], np.int64)
