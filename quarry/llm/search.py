@@ -39,6 +39,8 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: common words of a shard that are summed up as a matrix product, and what that matrix and its results may take
 DENSE, DENSE_BYTES = 512, 1 << 25
+#: postings whose impacts are worked out at once
+PIECE = 1 << 18
 #: how much larger the share of the documents is at each step of the ladder
 STEP = 8
 
@@ -114,7 +116,7 @@ class Index:
     def __init__(self, term: np.ndarray, row: np.ndarray, impact: np.ndarray, n_terms: int, n_docs: int):
         by = np.lexsort((row, term))
         self.row, self.impact, term, self.n = row[by], impact[by], term[by], n_docs
-        self.edge = np.searchsorted(term, np.arange(n_terms + 1))
+        self.edge = np.searchsorted(term, np.arange(n_terms + 1, dtype=term.dtype))
         block = self.row // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.block, self.begin, self.end = block[new], new, np.append(new[1:], len(term))
@@ -207,27 +209,36 @@ def _search(sent, mean_length: float, k: int):
     def run(batches):
         terms, idf, qids, first, query_terms, floors = sent.value
         parts, ids, lengths, n_docs = [], [], [], 0
+        # a shard has under 2**31 documents, and a query block under 2**31 terms
+        small = lambda x: x.astype(np.int32)
         for batch in batches:
             for i, j, data, offsets in _text.slices(batch.column("text")):
                 row, term, tf, length = _terms(data, offsets)
                 at = _text.lookup(terms, term)
                 hit = at >= 0
-                parts.append((at[hit], row[hit] + n_docs, tf[hit]))
+                parts.append((small(at[hit]), small(row[hit] + n_docs), small(tf[hit])))
                 ids.append(batch.column("doc_id").slice(i, j - i).to_numpy())
                 lengths.append(length)
                 n_docs += j - i
         if not parts:
             return
         term, row, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         own, size = np.concatenate(ids), np.concatenate(lengths)
         # documents are numbered by id, so ties fall to the smaller one
         order = np.argsort(own, kind="stable")
-        number = np.empty(len(own), np.int64)
+        number = np.empty(len(own), np.int32)
         number[order] = np.arange(len(own))
         own = own[order]
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / max(mean_length, 1e-9)))
+        # a share of the postings at a time, so that what is worked out on the way stays small
+        impact = np.empty(len(term))
+        for start in range(0, len(term), PIECE):
+            t, r, f = (x[start : start + PIECE] for x in (term, row, tf))
+            impact[start : start + PIECE] = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * size[r] / max(mean_length, 1e-9)))
+        del tf
         row = number[row]
         index = Index(term, row, impact, len(terms), len(own))
+        del term, row, impact
         out_q, out_d, out_s = [], [], []
         together = max(1, DENSE_BYTES // (8 * max(len(own), 1)))
         for start in range(0, len(qids), together):

@@ -82,3 +82,24 @@ def test_long_queries_skip_postings():
     got = search.best(index, np.arange(len(rare + common)), 10)
     assert [(round(s, 9), d) for s, d in got] == all_added_up(rare + common, n, 10, range(0))
     assert index.skipped > 0.95 * sum(len(d) for d, _ in common)
+
+
+def test_a_shard_takes_few_bytes_a_posting():
+    """Of one shard's postings, with a query that has no terms: the index itself is what is measured."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from quarry.llm import _text
+
+    r = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(20_000)]
+    texts = [" ".join(words[k] for k in r.integers(0, len(words), 250)) for _ in range(4000)]
+    terms = np.sort(_text.hash_words(words))
+    sent = type("Sent", (), {"value": (terms, np.ones(len(terms)), np.array([1]), np.array([0, 0]), np.zeros(0, np.int32), np.full(1, -1.0))})
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 500)), pa.array(texts[k : k + 500])], ["doc_id", "text"]) for k in range(0, len(texts), 500)]
+    tracemalloc.start()
+    for _ in search._search(sent, 250.0, 10)(iter(batches)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 95 * sum(len(set(t.split())) for t in texts)
