@@ -3,7 +3,8 @@
     SELECT * FROM marked(TABLE(pages) PARTITION BY chapter ORDER BY (page), 'text')
 
 Rows of a partition come in order and one at a time, so a chapter may be longer than a task's memory; it is one task's
-work though. ``markers.pieces`` and ``markers.questions`` spread the same over windows.
+work though. Without PARTITION BY, pages stay where they are and only what hangs on one page is meant to be read: number,
+position, kind, marker and body. ``markers.carried`` then tells the rest, no chapter in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +19,16 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from . import markers
 
 TOLD = (("k", LongType()), ("position", LongType()), ("offset", LongType()), ("kind", StringType()), ("marker", StringType()), ("body", StringType()), ("section", StringType()), ("topic", StringType()))
-_MARKER = re.compile(markers.MARKER, re.ASCII)
-_BLANKS = str.maketrans("\u0001\u0002", "  ")
+#: markers.MARKER in two: what starts a page, and what every other marker starts with is one of a few characters to look for.
+#: A line break behind another one starts none that the first doesn't start.
+_NUMBER = r"\s*+(?:\(\s*+)?0*[1-9]\d*\)\s*"
+_FIRST = re.compile(_NUMBER, re.ASCII)
+_MARKER = re.compile("|".join(markers.SECTIONS + markers.TOPICS) + r"|\n(?<!\n\n)" + _NUMBER, re.ASCII)
+
+
+def _found(page: str) -> list[re.Match]:
+    first = _FIRST.match(page)
+    return [*([first] if first else []), *_MARKER.finditer(page, first.end() if first else 0)]
 
 
 class _Marked:
@@ -47,9 +56,9 @@ class _Marked:
         return AnalyzeResult(schema=schema)
 
     def eval(self, row, text: str):
-        page = row[text] or ""
+        page = (row[text] or "").replace("\u0001", " ").replace("\u0002", " ")
         own = [row[name] for name in row.__fields__ if name != text]
-        found = list(_MARKER.finditer(page.translate(_BLANKS)))
+        found = _found(page)
         for k, m in enumerate(found, 1):
             marker = m[0]
             kind = "section" if marker in markers.SECTIONS else "topic" if marker in markers.TOPICS else "question"
@@ -58,7 +67,7 @@ class _Marked:
             elif kind == "topic":
                 self.topic = marker
             end = found[k].start() if k < len(found) else len(page)
-            yield (*own, k, m.start(), self.offset, kind, marker, page.translate(_BLANKS)[m.end() : end], self.section, self.topic)
+            yield (*own, k, m.start(), self.offset, kind, marker, page[m.end() : end], self.section, self.topic)
         self.offset += len(page)
 
 

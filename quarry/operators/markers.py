@@ -35,6 +35,33 @@ def pieces(pages: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataF
     return rows.where("k > 0").select(*keys, "k", "position", kind.alias("kind"), marker.alias("marker"), F.substring_index("_piece", "\u0002", -1).alias("body"), "n_chars")
 
 
+def carried(found: DataFrame, pages: DataFrame, chapter: str, page: str, text: str = "text", width: int = 1 << 12) -> DataFrame:
+    """found (chapter, page, k, kind, marker, ...) with offset, section and topic that go on from page to page of a chapter.
+
+    ``width`` page numbers of a chapter are one window's work; what they hand on, a row each, is another's, so no chapter
+    is one task's. pages holds every page once.
+    """
+    run, upto = F.floor(F.col(page) / width), Window.partitionBy(chapter).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    section = F.when(F.col("kind") == "section", F.col("marker"))
+    topic = F.when(F.col("kind") == "section", TOPICS[0]).when(F.col("kind") == "topic", F.col("marker"))
+    rows = found.withColumns({"_run": run, "_section": section, "_topic": topic, "_order": F.struct(page, "k")})
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
+    ends = rows.groupBy(F.col(chapter).alias("_c"), F.col("_run").alias("_r")).agg(known("_section"), known("_topic"))
+    sizes = pages.select(chapter, page, run.alias("_run"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_n"))
+    runs = sizes.groupBy(chapter, "_run").agg(F.sum("_n").alias("_n"))
+    runs = runs.join(ends, F.col(chapter).eqNullSafe(F.col("_c")) & F.col("_run").eqNullSafe(F.col("_r")), "left")
+    last = lambda c: F.last(c, ignorenulls=True).over(upto)
+    before = runs.select(F.col(chapter).alias("_c"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_chars"), last("_section").alias("_old_section"), last("_topic").alias("_old_topic"))
+    own = sequence.running_start(sizes, page, "_n", 0, (chapter, "_run"), "_own").select(F.col(chapter).alias("_cc"), F.col(page).alias("_p"), "_own")
+    for value in ("_section", "_topic"):
+        inside = Window.partitionBy(chapter, "_run").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(value, F.last(value, ignorenulls=True).over(inside))
+    rows = rows.join(own, F.col(chapter).eqNullSafe(F.col("_cc")) & (F.col(page) == F.col("_p")))
+    rows = rows.join(before, F.col(chapter).eqNullSafe(F.col("_c")) & F.col("_run").eqNullSafe(F.col("_r")))
+    told = {"offset": F.col("_own") + F.col("_chars"), "section": F.coalesce("_section", "_old_section", F.lit(SECTIONS[0])), "topic": F.coalesce("_topic", "_old_topic", F.lit(TOPICS[0]))}
+    return rows.select(*(c for c in found.columns if c not in told), *(v.alias(c) for c, v in told.items()))
+
+
 def questions(pages: DataFrame, keys: tuple[str, ...], text: str = "text", page: str | None = None) -> DataFrame:
     """(keys, position, section, topic, number, content): numbered questions, and those without number in an open section.
 
