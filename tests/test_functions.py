@@ -119,3 +119,10 @@ def test_resume(spark, tmp_path):
     run()
     got = sorted((r["index"], r["raw"], r["error"]) for r in spark.read.parquet(done).collect() if r["raw"])
     assert got == [(1, "A", None), (2, "GOOD", None)]
+
+
+def test_displays_are_cut_once(spark):
+    """However many displays a text has, it is cut at its double dollars once."""
+    shown = spark.createDataFrame([("a$$b。$$c " * 3,)], "t string").select(repair.full_stops_outside(F.col("t")).alias("t"))
+    assert shown.first()["t"] == "a$$b$$。c " * 3
+    assert shown._jdf.queryExecution().analyzed().toString().count(r"\Q$$\E") == 1
