@@ -14,6 +14,8 @@ from . import text as T
 COMMANDS = ("sin", "cos", "tan", "ln", "log", "arcsin", "arccos", "arctan", "frac", "sqrt", "int", "sum", "lim", "alpha", "beta", "gamma", "pi", "infty", "leq", "geq", "neq", "to", "cdot", "partial")
 SYMBOLS = "∫∑∏√∞≤≥≠→←⇒⇔αβγδεθλμπσφωΩ∂∆"
 PUNCTUATION = "，。；：？！“”‘’（）【】《》"
+#: one of SYMBOLS; characters outside their range are told by two comparisons
+SYMBOL = rf"[\x{{{ord(min(SYMBOLS)):X}}}-\x{{{ord(max(SYMBOLS)):X}}}&&[{SYMBOLS}]]"
 SUBSCRIPT = r"_\{\(_\{\d+\},_\{\d+\}\)\}"
 BLANKS = r"___+|\\_\\_+|\\underline\{|\\quad|（[\s　]*）|\(\s*\)|□"
 
@@ -41,7 +43,7 @@ RULES = (
     Rule("malformed_subscript", "critical", lambda t, m, p: t.contains("_{") & t.rlike(SUBSCRIPT)),
     Rule("empty_subscript", "warning", lambda t, m, p: t.contains("_{") & t.rlike(r"_\{\s*\}")),
     Rule("duplicated_var", "warning", _some(lambda s: F.regexp_replace(s, r"_\{?([a-z])\1\}?", "").rlike(r"(?<![a-z])([a-z])\1(?![a-z'])"))),
-    Rule("unicode_math", "warning", _in_plain(f"[{SYMBOLS}]")),
+    Rule("unicode_math", "warning", _in_plain(SYMBOL)),
     Rule("pua_chars", "critical", lambda t, m, p: t.rlike(r"[\x{E000}-\x{F8FF}]")),
     Rule("chinese_in_math", "critical", _some(lambda s: T.without_text_commands(s).rlike(r"[\x{4E00}-\x{9FFF}]"))),
     Rule("chinese_punct_in_math", "critical", _some(lambda s: T.without_text_commands(s).rlike(f"[{PUNCTUATION}]"))),
@@ -57,13 +59,19 @@ def codes(text: Column, rules=RULES) -> Column:
     The text's math and plain parts are bound once, as the element of a one-element array, and shared by all rules.
     """
     t = F.coalesce(text, F.lit(""))
-    # only texts with a delimiter or a backslash have math to look at
-    busy = t.rlike(r"[$\\]")
-    math = F.when(busy, T.math_segments(t)).otherwise(F.array().cast("array<string>"))
-    # plain text is asked for commands and symbols alone
-    asked = busy & (t.contains("\\") | t.rlike(f"[{SYMBOLS}]"))
-    plain = F.when(asked, T.plain_text(t)).when(busy, F.lit("")).otherwise(t)
-    read = F.struct(t.alias("t"), math.alias("m"), plain.alias("p"))
+    # math starts at a delimiter or a backslash: what comes before the first one is plain
+    tail = F.regexp_extract(t, r"(?s)[$\\].*", 0)
+
+    def parted(x: Column) -> Column:
+        t, tail = x["t"], x["tail"]
+        busy = tail != ""
+        math = F.when(busy, T.math_segments(tail)).otherwise(F.array().cast("array<string>"))
+        # plain text is asked for commands and symbols alone
+        asked = busy & (tail.contains("\\") | t.rlike(SYMBOL))
+        plain = F.when(asked, F.concat(F.left(t, F.length(t) - F.length(tail)), T.plain_text(tail))).when(busy, F.lit("")).otherwise(t)
+        return F.struct(t.alias("t"), math.alias("m"), plain.alias("p"))
+
+    read = F.element_at(F.transform(F.array(F.struct(t.alias("t"), tail.alias("tail"))), parted), 1)
 
     def found(x: Column) -> Column:
         told = [F.when(r.holds(x["t"], x["m"], x["p"]), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"))) for r in rules]
@@ -97,18 +105,27 @@ def issues(questions: DataFrame, key: str, content: str = "content", kind: str |
 
     raw_options names a column of the options' JSON as it was read; lists are told there, which a map can't hold.
     """
-    fields = F.array(F.struct(F.lit("content").alias("field"), F.col(content).alias("text")))
-    if options:
-        own = F.transform(F.map_entries(F.coalesce(options, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(F.lit("option "), e["key"]).alias("field"), e["value"].alias("text")))
-        fields = F.concat(fields, own)
-    rows = questions.select(key, F.explode(fields).alias("f")).select(key, "f.field", F.explode(codes(F.col("f.text"))).alias("i"))
-    if kind and options:
-        own = type_codes(F.col(kind), F.col(content), F.col(options))
-        if raw_options:  # a list isn't missing
-            listed = options_type(F.col(raw_options))
-            own = F.concat(listed, F.when(F.size(listed) > 0, F.filter(own, lambda i: i["code"] != "missing_options")).otherwise(own))
-        more = questions.select(key, F.lit("question").alias("field"), F.explode(own).alias("i"))
-        rows = rows.unionByName(more)
+    none = F.lit(None).cast("array<struct<code:string,severity:string>>")
+
+    def fields(given: Column) -> Column:
+        """The texts to be read, and the type's own issues beside them."""
+        of = lambda name, text, own: F.struct(name.alias("field"), text.alias("text"), own.alias("own"))
+        found = F.array(of(F.lit("content"), F.col(content), none))
+        if options:
+            each = F.map_entries(F.coalesce(given, F.create_map().cast("map<string,string>")))
+            found = F.concat(found, F.transform(each, lambda e: of(F.concat(F.lit("option "), e["key"]), e["value"], none)))
+        if kind and options:
+            own = type_codes(F.col(kind), F.col(content), given)
+            if raw_options:  # a list isn't missing
+                listed = options_type(F.col(raw_options))
+                own = F.concat(listed, F.when(F.size(listed) > 0, F.filter(own, lambda i: i["code"] != "missing_options")).otherwise(own))
+            found = F.concat(found, F.array(of(F.lit("question"), F.lit(None).cast("string"), own)))
+        return found
+
+    # questions are read once; as the element of a one-element array, the options are worked out once for all their uses
+    bound = F.element_at(F.transform(F.array(F.col(options)), fields), 1) if options else fields(none)
+    rows = questions.select(key, F.explode(bound).alias("f"))
+    rows = rows.select(key, "f.field", F.explode(F.coalesce(F.col("f.own"), codes(F.col("f.text")))).alias("i"))
     return rows.select(key, "field", "i.code", "i.severity")
 
 

@@ -58,3 +58,9 @@ def test_options_type(spark):
     rows = [(1, "计算题", "x", None, '["a", "b"]'), (2, "选择题", "x", None, '["a"]'), (3, "选择题", "x", None, "[]"), (4, "计算题", "x", {"A": "1"}, '{"A": "1"}'), (5, "计算题", "x", None, None)]
     df = spark.createDataFrame(rows, "k int, type string, content string, options map<string,string>, raw string")
     assert sorted((r["k"], r["code"]) for r in rules.issues(df, "k", raw_options="raw").collect()) == [(1, "options_type"), (2, "options_type"), (3, "missing_options")]
+
+
+def test_questions_are_read_once(spark, folder):
+    plan = queries.quality_report_whole(spark, folder)._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("FileScan") == 1
+    assert plan.optimizedPlan().toString().count("[A-D][.．、]") <= 1 + plan.optimizedPlan().toString().count("([A-D])[.．、]") <= 2
