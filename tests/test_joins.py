@@ -129,3 +129,32 @@ def test_one_long_group(spark):
 
 def test_nothing_to_choose(spark):
     assert jumps.thinned(spark.createDataFrame([], "y long, h long"), ()).collect() == []
+
+
+@pytest.mark.parametrize("bits", [1, 3, 5])
+def test_greedy_over_many_blocks(spark, monkeypatch, bits):
+    """Groups that end in a block, begin in it, or go over many, and reaches that go over whole blocks."""
+    monkeypatch.setattr(jumps, "BITS", bits)
+    r = random.Random(bits)
+    rows = [(r.choice(["a", "b", "c", None]), r.randint(0, 3000), r.choice([1, 5, 60, 700])) for _ in range(300)] + [(f"one{k}", k, 1) for k in range(20)]
+    df = spark.createDataFrame(rows, "g string, y long, h long")
+    for exact in (True, False):
+        want = set()
+        for g in {x[0] for x in rows}:
+            least = {}
+            for k, y, h in rows:
+                if k == g:
+                    least[y] = min(least.get(y, 10**9), y + h)
+            at = min(least)
+            while at is not None:
+                want.add((g, at))
+                at = min((y for y in least if (y >= least[at] if exact else y > least[at])), default=None)
+        assert sorted(map(tuple, jumps.chosen(df, ("g",), "y", F.col("y") + F.col("h"), exact).collect()), key=str) == sorted(want, key=str)
+
+
+def test_rounds_join_reaches_only(spark, monkeypatch):
+    """No table that is joined to itself has a row for each value."""
+    sizes, own = [], jumps.Run.settled
+    monkeypatch.setattr(jumps.Run, "settled", lambda self, df: (lambda out: (sizes.append(out.count()) if "_from" in out.columns else None, out)[1])(own(self, df)))
+    df = spark.range(400_000).select((F.col("id") * 3).alias("y"), F.lit(2).alias("h"))
+    assert jumps.thinned(df, (), gap=996).count() == 1202 and sizes and max(sizes) < 4000
