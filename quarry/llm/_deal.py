@@ -18,7 +18,8 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("source", pa.
 
 def rows(bucket: np.ndarray, kind: int, source: int, *arrays: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket with its parts of the arrays, their order kept."""
-    order = np.argsort(bucket, kind="stable")
+    narrow = bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket  # such are sorted by radix
+    order = np.argsort(narrow, kind="stable")
     ranked = bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
     bounds, n = np.append(cut, len(ranked)), len(cut)
@@ -61,6 +62,23 @@ def each(work):
     return run
 
 
+def small(counts: np.ndarray) -> np.ndarray:
+    """Counts packed as a byte each, with those of 255 and more in full behind them."""
+    counts = np.asarray(counts, np.int64)
+    return np.concatenate([np.array([len(counts)]).view(np.uint8), np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255].view(np.uint8)])
+
+
+def counts(held: list, column: int) -> np.ndarray:
+    """What small() packed, of all parts."""
+    parts = []
+    for r in held:
+        n = int(np.frombuffer(r[column], np.int64, 1)[0])
+        v = np.frombuffer(r[column], np.uint8, n, 8).astype(np.int64)
+        v[v == 255] = np.frombuffer(np.frombuffer(r[column], np.uint8)[8 + n :].tobytes(), np.int64)
+        parts.append(v)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def joined(held: list, column: int, kind) -> np.ndarray:
     """One array of the packed parts of a column (1 to 4)."""
     parts = [np.frombuffer(r[column], kind) for r in held if r[column] is not None]

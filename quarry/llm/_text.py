@@ -21,6 +21,7 @@ BYTE_HASH = _BYTE[LOWER]  # folds A-Z
 RAW_BYTE_HASH = _BYTE
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first k bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,6 +92,69 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hash(prefix_hash(data), starts, ends)
 
 
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 64) -> np.ndarray:
+    """Other hashes of words, A-Z folded, eight bytes at a time: their work goes with the words. Words of more than ``most`` bytes keep word_hashes()."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data]
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(np.uint64))
+    k, done = slice(None), 0
+    while done == 0 or len(k):
+        out[k] = mix(out[k] ^ (eight[starts[k] + done] & _MASK[np.minimum(length[k] - done, 8)]) * np.uint64(_BASE))
+        done += 8
+        k = np.flatnonzero((length > done) & (length <= most)) if done == 8 else k[length[k] > done]
+    k = np.flatnonzero(length > most)
+    if len(k):
+        out[k] = word_hashes(data, starts[k], ends[k])
+    return out
+
+
+def order_of(hashes: np.ndarray) -> np.ndarray:
+    """A stable argsort of hashes: their upper bits are sorted with the row numbers in the lower ones, which is several times as fast."""
+    bits = np.uint64(max(len(hashes) - 1, 1).bit_length())
+    packed = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    ranked = hashes[order]
+    return np.argsort(hashes, kind="stable") if (ranked[1:] < ranked[:-1]).any() else order
+
+
+def uniques(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different hashes, and where each given one is among them."""
+    order = order_of(hashes)
+    ranked = hashes[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    at = np.empty(len(ranked), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at
+
+
+class Places:
+    """Where values stand among sorted different hashes: a hash's upper bits lead to the few that share them."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = len(keys).bit_length() + 1
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """Index of each value, or -1."""
+        slot = (values >> self.shift).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        out = np.full(len(values), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == values[left]
+            out[left[hit]] = here[hit]
+            at[left] += 1
+            left = left[~hit & (here + 1 < end[left])]
+        return out
+
+
 def hash_words(words: list[str], table: np.ndarray = ALNUM) -> np.ndarray:
     """The hashes that word_hashes() gives these words."""
     column = pa.array(words, pa.large_string())

@@ -12,11 +12,13 @@ Nothing is left out and nothing that grows with the input reaches the driver or
   context that alone would hold more than a bucket's share is dealt to several, by word; its tables are then totals of the
   sweep before. At most 65,536 contexts can be so, and only their totals are sent to all tasks.
 * A sweep is two shuffles of arrays (``_deal``): each bucket tells the words' buckets how many tables its contexts opened for
-  each word; these seat the parent and answer with the parent's probabilities in the order asked.
-* Sweeps run in ``blocks`` blocks of buckets, one after another, so that the shuffle of one block at a time is on disk.
+  each word; these seat the parent and answer with the parent's probabilities in the order asked. The words and their counts
+  are told once; from then on both sides know the order, and of a pair only the place of its word's answer, its count and
+  its tables are dealt, in a few bytes (``First``).
+* The last sweep runs in ``blocks`` blocks of buckets, one after another, so that the shuffle of one block at a time is on disk.
 * Every pair of any text, seen in training or not, has its averaged probability in its bucket. Texts look up the ``frequent``
   most frequent pairs on the spot; the other occurrences meet their pairs in the pairs' buckets, in as many blocks, and the sums
-  go back by document.
+  meet by document with its id, so texts aren't read again for it.
 
 Edge cases: a null or empty text has its end token only. Repeated rows and null ids are scored each for itself. Words and
 pairs of equal counts are treated alike, so ties don't matter. Without training documents all probabilities are those of
@@ -39,13 +41,13 @@ from ._store import drop, held_out, stored, table
 END, START = np.uint64(0), np.uint64(1)
 _CHUNK = 2_000_000
 _SPLIT = 1 << 16
-PAIRS, SEATS, TOLD, HOT, PARENTS, ANSWERS, SCORES, ASKED, SUMS, SENT = range(10)
+PAIRS, SEATS, TOLD, HOT, PARENTS, ANSWERS, SCORES, ASKED, SUMS, SENT, SEEN, OFTEN, ROWS = range(13)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The token hashes of a slice, with each text's end, and the index of each text's first token."""
     starts, ends, first = _text.word_bounds(data, offsets, _text.SPACE)
-    hashes = _text.word_hashes(data, starts, ends)
+    hashes = _text.word_codes(data, starts, ends)
     return np.insert(hashes, first[1:], END), first + np.arange(len(first))
 
 
@@ -82,7 +84,7 @@ class Dealing:
 
 def _summed(keys: np.ndarray, *values: np.ndarray):
     """Index of a row of each different key, and the sums of the values by key."""
-    order = np.argsort(keys)
+    order = _text.order_of(keys)
     ranked = keys[order]
     new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
     return (order[new], *(np.add.reduceat(v[order], new) if len(new) else v[:0] for v in values))
@@ -100,7 +102,7 @@ def _counted(dealing: Dealing | None, parts: int = 1):
             k, n, every = _summed(word if dealing is None else pair_keys(context, word), train.astype(kind), np.ones(len(word), kind))
             if dealing is None:
                 return _deal.rows((_text.mix(word[k]) % np.uint64(parts)).astype(np.int64), PAIRS, 0, word[k], n, every)
-            order = np.argsort(context[k], kind="stable")  # equal contexts side by side pack well
+            order = _text.order_of(context[k])  # equal contexts side by side pack well
             k, n, every = k[order], n[order].astype(kind), every[order].astype(kind)
             return _deal.rows(dealing.of(context[k], word[k]), PAIRS, 0, context[k], word[k], n, every)
 
@@ -130,8 +132,9 @@ def _merged(bucket, held):
     n, every = (_deal.joined(held[PAIRS], c, np.int32).astype(np.int64) for c in (3, 4))
     k, n, every = _summed(pair_keys(context, word), n, every)
     context, word = context[k], word[k]
-    order = np.lexsort((word, context))
-    yield _deal.row(bucket, PAIRS, context[order], word[order], n[order], every[order], x=int((n == 1).sum()), y=int((n == 2).sum()))
+    order = _text.order_of(word)
+    order = order[_text.order_of(context[order])]
+    yield _deal.row(bucket, PAIRS, context[order], word[order], _deal.small(n[order]), _deal.small(every[order]), x=int((n == 1).sum()), y=int((n == 2).sum()))
 
 
 def _seeds(context: np.ndarray, word: np.ndarray, seed: int) -> np.ndarray:
@@ -143,60 +146,81 @@ def predicted(n, tables, opened, customers, p, discount: float, strength: float)
     return (n - discount * tables + (strength + discount * opened) * p) / (strength + customers)
 
 
+@dataclass
+class First:
+    """What the sweeps need of a bucket's pairs, in a few bytes each, and the first tables, one for each pair seen in training.
+
+    The words' answers come by the word's bucket, then by word; each pair keeps the place of its word's answer. Words and
+    their training counts are told once, as their order stays.
+    """
+
+    dealing: Dealing
+    rank: int = 1 << 30  # of the pairs that are sent to all tasks
+
+    def __call__(self, bucket, held):
+        context, word = (_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2))
+        n, every = (_deal.counts(held[PAIRS], c) for c in (3, 4))
+        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
+        number, start = np.cumsum(new) - 1, np.flatnonzero(new)
+        asked, at = _text.uniques(word)
+        home = self.dealing.of_word(asked)
+        place = np.empty(len(asked), np.int64)
+        place[np.argsort(home, kind="stable")] = np.arange(len(asked))
+        split = _text.lookup(self.dealing.context, context[start])
+        own = np.flatnonzero(split >= 0)
+        yield _deal.row(bucket, SEEN, _deal.small(np.diff(np.append(start, len(context)))), place[at].astype(np.int32), _deal.small(n), np.stack([own, split[own]]).astype(np.int64))
+        k = np.flatnonzero(_ranks(every) >= self.rank)
+        yield _deal.row(bucket, OFTEN, k, pair_keys(context[k], word[k]))
+        tables = np.minimum(n, 1)
+        if len(own):
+            yield _deal.row(bucket, HOT, split[own], np.bincount(number, tables, len(start)).astype(np.int64)[own])
+        yield _deal.rows(home, TOLD, bucket, asked, *(np.bincount(at, v, len(asked)).astype(np.int64) for v in (tables, n)))
+
+
 @dataclass
 class Sweep:
     """One sweep of a bucket's restaurants: what the parent answered, and whether its sample counts."""
 
-    dealing: Dealing
     discount: float
     strength: float
     seed: int
-    base: float = 0.0  # of the parent's probabilities (x + base) / whole
-    whole: float = 1.0
-    weight: float = 0.0  # of the last sample in the average
-    opened: np.ndarray | None = None  # tables of the contexts that are dealt to several buckets
-    first: bool = False
+    base: float  # of the parent's probabilities (x + base) / whole
+    whole: float
+    weight: float  # of the last sample in the average
+    opened: np.ndarray  # tables of the contexts that are dealt to several buckets
+    customers: np.ndarray  # theirs
     last: bool = False
-    rank: int = 1 << 30  # of the pairs that are sent to all tasks
 
     def __call__(self, bucket, held):
-        context, word = (_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2))
-        n, every = (_deal.joined(held[PAIRS], c, np.int64) for c in (3, 4))
-        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
-        number, names = np.cumsum(new) - 1, context[new]
-        asked, at = np.unique(word, return_inverse=True)
-        home = self.dealing.of_word(asked)
-        rank = np.empty(len(asked), np.int64)  # answers come by word bucket, then word
-        rank[np.lexsort((asked, home))] = np.arange(len(asked))
-        split = _text.lookup(self.dealing.context, names)
-        alone = split < 0
-        if self.first:
-            tables, kept = np.minimum(n, 1), np.zeros(len(n))
-        else:
-            tables, kept = _deal.joined(held[SEATS], 1, np.int64), _deal.joined(held[SEATS], 2, np.float32)
-            p = ((_deal.joined(held[ANSWERS], 1, float) + self.base) / self.whole)[rank[at]]
-            totals = np.bincount(number, tables, len(names))
-            totals[~alone] = self.opened[split[~alone]]
-            if self.weight:
-                customers = np.bincount(number, n, len(names))
-                customers[~alone] = self.dealing.n[split[~alone]]
-                kept = kept + self.weight * predicted(n, tables, totals[number], customers[number], p, self.discount, self.strength)
-            if self.last:
-                of_word = _deal.joined(held[ANSWERS], 2, np.int64)[rank[at]]
-                yield _deal.row(bucket, SCORES, np.log10(kept).astype(np.float32), of_word)
-                k = np.flatnonzero(_ranks(every) >= self.rank)
-                yield _deal.row(bucket, SENT, pair_keys(context[k], word[k]), np.log10(kept[k]), of_word[k])
-                return
-            k = np.flatnonzero(n > 1)  # a pair seen once has one table
-            tables = tables.copy()
-            if len(k):
-                dense = np.unique(number[k])
-                tables[k] = seating.sweep(np.searchsorted(dense, number[k]), n[k], tables[k], totals[dense], p[k], self.discount, self.strength, _seeds(context[k], word[k], self.seed))
-        yield _deal.row(bucket, SEATS, tables, kept.astype(np.float32))
-        opened = np.bincount(number, tables, len(names)).astype(np.int64)
-        if not alone.all():
-            yield _deal.row(bucket, HOT, split[~alone], opened[~alone])
-        yield _deal.rows(home, TOLD, bucket, asked, np.bincount(at, tables, len(asked)).astype(np.int64), np.bincount(at, n, len(asked)).astype(np.int64))
+        sizes, at, n = _deal.counts(held[SEEN], 1), _deal.joined(held[SEEN], 2, np.int32), _deal.counts(held[SEEN], 3)
+        own, split = _deal.joined(held[SEEN], 4, np.int64).reshape(2, -1)
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        k = np.flatnonzero(n > 1)  # a pair seen once has one table
+        tables, kept = np.minimum(n, 1), _deal.joined(held[SEATS], 2, np.float32)
+        if held[SEATS]:
+            tables[k] = _deal.counts(held[SEATS], 1)
+        answers = _deal.joined(held[ANSWERS], 1, float)
+        p = ((answers + self.base) / self.whole)[at]
+        totals = np.bincount(number, tables, len(sizes))
+        totals[own] = self.opened[split]
+        if self.weight:
+            customers = np.bincount(number, n, len(sizes))
+            customers[own] = self.customers[split]
+            kept = (kept if len(kept) else 0.0) + self.weight * predicted(n, tables, totals[number], customers[number], p, self.discount, self.strength)
+        if self.last:
+            of_word = _deal.joined(held[ANSWERS], 2, np.int64)[at]
+            yield _deal.row(bucket, SCORES, np.log10(kept).astype(np.float32), of_word)
+            k = _deal.joined(held[OFTEN], 1, np.int64)
+            yield _deal.row(bucket, SENT, _deal.joined(held[OFTEN], 2, np.uint64), np.log10(kept[k]), of_word[k])
+            return
+        if len(k):
+            dense, restaurant = np.unique(number[k], return_inverse=True)
+            tables[k] = seating.sweep(restaurant, n[k], tables[k], totals[dense], p[k], self.discount, self.strength, _seeds(np.full(len(k), bucket, np.uint64), k.astype(np.uint64), self.seed))
+        yield _deal.row(bucket, SEATS, _deal.small(tables[k]), np.asarray(kept, np.float32))
+        if len(own):
+            yield _deal.row(bucket, HOT, split, np.bincount(number, tables, len(sizes)).astype(np.int64)[own])
+        home = np.repeat([r[0] for r in held[ANSWERS]], [len(r[1]) // 8 for r in held[ANSWERS]])
+        yield _deal.rows(home, TOLD, bucket, np.bincount(at, tables, len(answers)).astype(np.int64))
 
 
 @dataclass
@@ -208,19 +232,24 @@ class Parent:
     strength: float
     types: int
     seed: int
+    last: bool = False
 
     def __call__(self, bucket, held):
         told = held[TOLD]
         sizes = [len(r[1]) // 8 for r in told]
-        word, tables, n = _deal.joined(told, 1, np.uint64), _deal.joined(told, 2, np.int64), _deal.joined(told, 3, np.int64)
-        words, at = np.unique(word, return_inverse=True)
-        customers, of_word = (np.bincount(at, v, len(words)).astype(np.int64) for v in (tables, n))
-        before = _deal.joined(held[PARENTS], 1, np.int64) if held[PARENTS] else np.zeros(len(words), np.int64)
+        if held[PARENTS]:  # all tell again, in the same order
+            before, words, at, of_word = (_deal.joined(held[PARENTS], c, t) for c, t in ((1, np.int64), (2, np.uint64), (3, np.int32), (4, np.int64)))
+            tables = _deal.joined(told, 1, np.int64)
+        else:
+            words, at = _text.uniques(_deal.joined(told, 1, np.uint64))
+            before, tables = np.zeros(len(words), np.int64), _deal.joined(told, 2, np.int64)
+            of_word = np.bincount(at, _deal.joined(told, 3, np.int64), len(words)).astype(np.int64)
+        customers = np.bincount(at, tables, len(words)).astype(np.int64)
         others = np.maximum(self.total - before, 0).astype(float)
         start = np.minimum(np.maximum(before, np.minimum(customers, 1)), customers)
         seated = seating.draw(customers, start, others, np.full(len(words), 1 / (self.types + 1)), self.discount, self.strength, _seeds(np.zeros_like(words), words, self.seed))
-        yield _deal.row(bucket, PARENTS, seated, x=int(customers.sum()), y=int(seated.sum()))
-        yield _deal.rows(np.repeat([r[0] for r in told], sizes), ANSWERS, bucket, (customers - self.discount * seated)[at], of_word[at])
+        yield _deal.row(bucket, PARENTS, *(() if self.last else (seated, words, at.astype(np.int32), of_word)), x=int(customers.sum()), y=int(seated.sum()))
+        yield _deal.rows(np.repeat([r[0] for r in told], sizes), ANSWERS, bucket, (customers - self.discount * seated)[at], *((of_word[at],) if self.last else ()))
 
 
 def _of_two(one: int, two: int) -> float:
@@ -264,11 +293,12 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
     def of(df, *kinds):
         return df.where(F.col("kind").isin(*kinds))
 
-    seats = stored(pairs.mapInArrow(_deal.each(Sweep(dealing, discount, strength, seed, first=True)), _deal.SCHEMA), "seats", "zstd")
-    parents, total, written, rank = None, 0, [seats], _limit(pairs, frequent)
+    first = stored(pairs.mapInArrow(_deal.each(First(dealing, _limit(pairs, frequent))), _deal.SCHEMA), "seats", "zstd")
+    parents, total, seats, written = None, 0, first, []
     for sweep in range(sweeps + 1):
+        last = sweep == sweeps
         rows_in = of(seats, TOLD) if parents is None else of(seats, TOLD).union(of(parents, PARENTS))
-        answers = stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(Parent(total, parent_discount, strength, n_types, seed + sweep)), _deal.SCHEMA), "parents", "zstd")
+        answers = stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(Parent(total, parent_discount, strength, n_types, seed + sweep, last)), _deal.SCHEMA), "parents", "zstd")
         if parents is not None:
             drop(parents)
         parents = answers
@@ -278,15 +308,18 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
         if len(opened):
             for r in of(seats, HOT).mapInArrow(_opened, "context long, t long").groupBy("context").agg(F.sum("t").alias("t")).collect():  # at most _SPLIT
                 opened[r["context"]] = r["t"]
-        step = Sweep(dealing, discount, strength, seed + 100 + sweep, base=(strength + parent_discount * total) / (n_types + 1), whole=strength + customers, weight=1 / max(sweeps - burn_in, 1) if sweep > min(burn_in, sweeps - 1) else 0.0, opened=opened, last=sweep == sweeps, rank=rank)
-        after = []
-        for block in range(blocks):
-            rows_in = pairs.union(of(seats, SEATS)).union(of(parents, ANSWERS)).where(F.col("bucket") % blocks == block)
-            after.append(stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(step), _deal.SCHEMA), "scores" if step.last else "seats", "zstd"))
+        weight = 1 / max(sweeps - burn_in, 1) if sweep > min(burn_in, sweeps - 1) else 0.0
+        step = Sweep(discount, strength, seed + 100 + sweep, (strength + parent_discount * total) / (n_types + 1), strength + customers, weight, opened, dealing.n, last)
+        after, cut = [], blocks if last else 1  # until then few bytes of a pair are dealt
+        for block in range(cut):
+            rows_in = of(first, SEEN, *([OFTEN] if last else [])).union(of(parents, ANSWERS))
+            rows_in = (rows_in if seats is first else rows_in.union(of(seats, SEATS))).where(F.col("bucket") % cut == block)
+            after.append(stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(step), _deal.SCHEMA), "scores" if last else "seats", "zstd"))
         for x in written:
             drop(x)
         written, seats = after, reduce(DataFrame.union, after)
     drop(parents)
+    drop(first)
     return Model(pairs, seats, dealing, n_train, n_types, discount, strength)
 
 
@@ -303,14 +336,14 @@ def _ranks(every: np.ndarray) -> np.ndarray:
 def _ranked(batches):
     for batch in batches:
         for d in batch.column("d"):
-            rank, n = np.unique(_ranks(np.frombuffer(d.as_buffer(), np.int64)), return_counts=True)
+            rank, n = np.unique(_ranks(_deal.counts([[d.as_buffer()]], 0)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(n)], ["rank", "n"])
 
 
 def _limit(pairs: DataFrame, most: int) -> int:
     """The smallest rank from which on there are at most ``most`` pairs, from a histogram of a few hundred rows."""
     left, limit = most, 1 << 30
-    ranks = pairs.mapInArrow(_ranked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    ranks = pairs.select("d").mapInArrow(_ranked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
     for rank, n in sorted(((r["rank"], r["n"]) for r in ranks), reverse=True):
         left -= n
         if left < 0:
@@ -326,12 +359,12 @@ class Frequent:
         rows = model.scores.where(F.col("kind") == SENT).select("a", "b", "c").collect()
         keys, score, n = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) if rows else np.zeros(0, t) for c, t in (("a", np.uint64), ("b", float), ("c", np.int64)))
         order = np.argsort(keys)
-        self.keys, self.score, self.n = keys[order], score[order], n[order]
+        self.places, self.score, self.n = _text.Places(keys[order]), score[order], n[order]
         self.base = model.base_log(self.n)
 
 
 def _asking(sent, dealing: Dealing, block: int, blocks: int):
-    """Of the pairs of a block of buckets: a text's sums over the frequent ones, and (pair, document) of all others."""
+    """Of the pairs of a block of buckets: a text's sums over the frequent ones, and (pair, document) of all others; with the first block the rows themselves."""
 
     def run(batches):
         f = sent.value
@@ -343,7 +376,7 @@ def _asking(sent, dealing: Dealing, block: int, blocks: int):
                 bucket = dealing.of(context, word)
                 own = np.flatnonzero(bucket % blocks == block)
                 bucket, row, pair = bucket[own], row[own], pair_keys(context[own], word[own])
-                at = _text.lookup(f.keys, pair)
+                at = f.places.of(pair)
                 k, here = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
                 asked.append((bucket[k], pair[k], keys[i:j][row[k]]))
                 at, of = at[here], row[here]
@@ -353,7 +386,11 @@ def _asking(sent, dealing: Dealing, block: int, blocks: int):
                 bucket, pair, key = (np.concatenate(x) for x in zip(*asked, strict=True))
                 yield _deal.rows(bucket, ASKED, 0, pair, key)
                 key, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
-                yield _deal.rows(dealing.of_word(key.view(np.uint64)), SUMS, 0, key, *values)
+                home = dealing.of_word(key.view(np.uint64))
+                yield _deal.rows(home, SUMS, 0, key, *values)
+                if not block:
+                    id_, train = batch.column("doc_id"), batch.column("train").to_numpy(zero_copy_only=False)
+                    yield _deal.rows(home, ROWS, 0, key, id_.fill_null(0).to_numpy(), train, id_.is_null().to_numpy(zero_copy_only=False))
 
     return run
 
@@ -367,22 +404,29 @@ class Answered:
     def __call__(self, bucket, held):
         if held[SUMS]:
             yield _deal.row(bucket, SUMS, *(_deal.joined(held[SUMS], c, t) for c, t in ((1, np.int64), (2, float), (3, float), (4, np.int64))))
+        if held[ROWS]:
+            yield _deal.row(bucket, ROWS, *(_deal.joined(held[ROWS], c, t) for c, t in ((1, np.int64), (2, np.int64), (3, bool), (4, bool))))
         if not held[ASKED]:
             return
         pair, key = _deal.joined(held[ASKED], 1, np.uint64), _deal.joined(held[ASKED], 2, np.int64)
         keys = pair_keys(*(_deal.joined(held[PAIRS], c, np.uint64) for c in (1, 2)))
-        order = np.argsort(keys)
-        at = order[np.searchsorted(keys[order], pair)]
+        order = _text.order_of(keys)
+        at = order[_text.Places(keys[order]).of(pair)]
         n = _deal.joined(held[SCORES], 2, np.int64)[at]
-        k, score, base, known = _summed(key, _deal.joined(held[SCORES], 1, np.float32)[at].astype(float), self.model.base_log(n), (n > 0).astype(np.int64))
+        k, score, base, known = _summed(key.view(np.uint64), _deal.joined(held[SCORES], 1, np.float32)[at].astype(float), self.model.base_log(n), (n > 0).astype(np.int64))
         key = key[k]
         yield _deal.rows(self.model.dealing.of_word(key.view(np.uint64)), SUMS, bucket, key, score, base, np.stack([known, np.zeros_like(known)], 1))
 
 
 def _told(bucket, held):
+    """Rows equal in id and text share a key: a key's sums are those of all its rows."""
     key, counts = _deal.joined(held[SUMS], 1, np.int64), _deal.joined(held[SUMS], 4, np.int64).reshape(-1, 2)
-    k, score, base, known, n = _summed(key, *(_deal.joined(held[SUMS], c, float) for c in (2, 3)), counts[:, 0], counts[:, 1])
-    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[k], base, score, known, n)], ["key", "base", "score", "known", "n"])
+    k, *sums = _summed(key.view(np.uint64), *(_deal.joined(held[SUMS], c, float) for c in (2, 3)), counts[:, 0], counts[:, 1])
+    own, doc_id, train, none = (_deal.joined(held[ROWS], c, t) for c, t in ((1, np.uint64), (2, np.int64), (3, bool), (4, bool)))
+    at = np.searchsorted(key[k].view(np.uint64), own)
+    rows = np.bincount(at, minlength=len(k))[at]
+    score, base, known, n = (v[at] for v in sums)
+    yield pa.RecordBatch.from_arrays([pa.array(doc_id, mask=none), pa.array(train), pa.array(n // rows), pa.array(known // rows), pa.array(base / rows), pa.array(score / rows)], ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
 
 def scored(documents: DataFrame, learns: Column, blocks: int = 2, frequent: int = 1 << 19, **options) -> tuple[DataFrame, Model]:
@@ -395,15 +439,10 @@ def scored(documents: DataFrame, learns: Column, blocks: int = 2, frequent: int
     answered = Answered(Model(None, None, dealing, model.n_train, model.n_types, model.discount, model.strength))
     parts = []
     for block in range(blocks):
-        known = model.pairs.union(model.scores.where(F.col("kind") == SCORES)).where(F.col("bucket") % blocks == block)
-        asked = texts.select("key", "text").mapInArrow(_asking(sent, dealing, block, blocks), _deal.SCHEMA).union(known)
+        known = model.pairs.withColumns({c: F.lit(None).cast("binary") for c in "cd"}).union(model.scores.where(F.col("kind") == SCORES)).where(F.col("bucket") % blocks == block)
+        asked = texts.mapInArrow(_asking(sent, dealing, block, blocks), _deal.SCHEMA).union(known)
         parts.append(stored(_deal.met(asked, dealing.buckets).mapInArrow(_deal.each(answered), _deal.SCHEMA), "gains", "zstd"))
-    told = _deal.met(reduce(DataFrame.union, parts), dealing.buckets).mapInArrow(_deal.each(_told), "key long, base double, score double, known long, n long")
-    rows = texts.drop("text")
-    # rows equal in id and text share a key, so a key's sums are those of all its rows
-    told = rows.groupBy("key").agg(F.count("*").alias("rows")).join(told, "key")
-    part = lambda c: F.col(c) / F.col("rows")
-    out = rows.join(told, "key").select("doc_id", "train", part("n").cast("long").alias("n_tokens"), part("known").cast("long").alias("n_known"), part("base").alias("base_score"), part("score").alias("score"))
+    out = _deal.met(reduce(DataFrame.union, parts), dealing.buckets).mapInArrow(_deal.each(_told), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), model
 
 

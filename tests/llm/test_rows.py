@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from conftest import SF, rows_of
 from pyspark.sql import functions as F
-from quarry.llm import decontamination, language_model, license, neardup, pii, seating, suffixes
+from quarry.llm import _deal, _text, decontamination, language_model, license, neardup, pii, seating, suffixes
 from quarry.llm._store import held_out
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -304,3 +304,49 @@ def test_language_model_however_dealt(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0].keys() == got[1].keys() and max(abs(got[0][k] - got[1][k]) for k in got[0]) < 1e-6
+
+
+def test_language_model_sweeps_deal_few_bytes(spark, monkeypatch):
+    """After the pairs are counted, four sweeps and their answers deal a few bytes of a pair, not its words and counts each time."""
+    dealt, met = [], language_model._deal.met
+
+    def weighed(df, buckets):
+        dealt.append(df.agg(F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in "abcd"))).first()[0] or 0)
+        return met(df, buckets)
+
+    monkeypatch.setattr(language_model._deal, "met", weighed)
+    model = language_model.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), ~held_out(5), rows=20_000)
+    pairs = model.pairs.agg(F.sum(F.length("a"))).first()[0] // 8
+    words, counted_pairs, *sweeps = dealt
+    assert model.dealing.buckets > 1 and counted_pairs >= 24 * pairs and sum(sweeps) < 160 * pairs
+
+
+def test_hashes_are_sorted_and_found_as_numpy_does():
+    r = np.random.default_rng(3)
+    for values in (r.integers(0, 1 << 64, 5000, np.uint64), r.integers(0, 40, 5000).astype(np.uint64), r.integers(0, 1 << 64, 300, np.uint64)[r.integers(0, 300, 5000)], np.zeros(1, np.uint64), np.zeros(0, np.uint64)):
+        assert (_text.order_of(values) == np.argsort(values, kind="stable")).all()
+        found, at = _text.uniques(values)
+        want, where = np.unique(values, return_inverse=True)
+        assert (found == want).all() and (at == where).all()
+        asked = np.concatenate([values, values + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert (_text.Places(found).of(asked) == _text.lookup(found, asked)).all()
+
+
+def test_small_counts_come_back():
+    parts = [np.array(x, np.int64) for x in ([], [0, 1, 254, 255, 256, 1 << 40], [3], [255] * 9)]
+    held = [(0, _deal.row(0, 0, _deal.small(v)).column("a")[0].as_buffer()) for v in parts]
+    assert _deal.counts(held, 1).tolist() == np.concatenate(parts).tolist()
+
+
+def test_word_codes_tell_words_apart():
+    """Words of every length, wherever they stand: equal but for case, equal codes; else different ones."""
+    r = random.Random(6)
+    distinct = list(dict.fromkeys(["a", "a\0", "\0", "\0\0", "é", "É", *("x" * k for k in range(1, 80)), *("".join(r.choice("abc") for _ in range(r.randint(1, 90))) for _ in range(400)), "x" * 5000]))
+    for words_ in (distinct, [w.upper() if w.isascii() else w for w in reversed(distinct)]):
+        data = " ".join(words_).encode()
+        hashes, first = language_model.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        told = dict(zip([w.lower() if w.isascii() else w for w in words_], hashes[:-1].tolist(), strict=True))
+        assert len(set(told.values())) == len(distinct)
+        if words_ is distinct:
+            before = told
+    assert told == before
