@@ -22,13 +22,20 @@ RAW_BYTE_HASH = _BYTE
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first k bytes
+_LENGTHS = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    z = y >> np.uint64(27)
+    y ^= z
+    y *= np.uint64(0x94D049BB133111EB)
+    z = np.right_shift(y, np.uint64(31), out=z) if np.ndim(z) else y >> np.uint64(31)
+    y ^= z
+    return y
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +105,17 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int
     padded[: len(data)] = LOWER[data]
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     length = ends - starts
-    out = mix(length.astype(np.uint64))
-    k, done = slice(None), 0
-    while done == 0 or len(k):
+    out = mix(np.arange(_LENGTHS, dtype=np.uint64))[length] if not len(length) or length.max() < _LENGTHS else mix(length.astype(np.uint64))
+    first = eight[starts]
+    first &= _MASK[np.minimum(length, 8)]
+    first *= np.uint64(_BASE)
+    out ^= first
+    out = mix(out)
+    k, done = np.flatnonzero((length > 8) & (length <= most)), 8
+    while len(k):
         out[k] = mix(out[k] ^ (eight[starts[k] + done] & _MASK[np.minimum(length[k] - done, 8)]) * np.uint64(_BASE))
         done += 8
-        k = np.flatnonzero((length > done) & (length <= most)) if done == 8 else k[length[k] > done]
+        k = k[length[k] > done]
     k = np.flatnonzero(length > most)
     if len(k):
         out[k] = word_hashes(data, starts[k], ends[k])

@@ -41,6 +41,7 @@ from ._store import drop, held_out, stored, table
 END, START = np.uint64(0), np.uint64(1)
 _CHUNK = 2_000_000
 _SPLIT = 1 << 16
+_PLAIN = {"parquet.enable.dictionary": "false"}  # each packed array is a value of its own
 PAIRS, SEATS, TOLD, HOT, PARENTS, ANSWERS, SCORES, ASKED, SUMS, SENT, SEEN, OFTEN, ROWS = range(13)
 
 
@@ -90,6 +91,15 @@ def _summed(keys: np.ndarray, *values: np.ndarray):
     return (order[new], *(np.add.reduceat(v[order], new) if len(new) else v[:0] for v in values))
 
 
+def _occurring(keys: np.ndarray, train: np.ndarray, kind):
+    """Index of a row of each different key, and how many rows of it are in the texts to learn from, and in all."""
+    order = _text.order_of(keys)
+    ranked = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    n = np.add.reduceat(train[order], new, dtype=kind) if len(new) else np.zeros(0, kind)
+    return order[new], n, np.diff(new, append=len(ranked)).astype(kind)
+
+
 def _counted(dealing: Dealing | None, parts: int = 1):
     """Counts of words to ``parts`` buckets, or of pairs by their buckets: in the texts to learn from, and in all."""
 
@@ -99,11 +109,11 @@ def _counted(dealing: Dealing | None, parts: int = 1):
         def flush():
             context, word, train = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
             kind = np.int64 if dealing is None else np.int32
-            k, n, every = _summed(word if dealing is None else pair_keys(context, word), train.astype(kind), np.ones(len(word), kind))
+            k, n, every = _occurring(word if dealing is None else pair_keys(context, word), train, kind)
             if dealing is None:
                 return _deal.rows((_text.mix(word[k]) % np.uint64(parts)).astype(np.int64), PAIRS, 0, word[k], n, every)
             order = _text.order_of(context[k])  # equal contexts side by side pack well
-            k, n, every = k[order], n[order].astype(kind), every[order].astype(kind)
+            k, n, every = k[order], n[order], every[order]
             return _deal.rows(dealing.of(context[k], word[k]), PAIRS, 0, context[k], word[k], n, every)
 
         for batch in batches:
@@ -120,10 +130,20 @@ def _counted(dealing: Dealing | None, parts: int = 1):
     return run
 
 
-def _words(bucket, held):
-    word = _deal.joined(held[PAIRS], 1, np.uint64)
-    k, n, every = _summed(word, *(_deal.joined(held[PAIRS], c, np.int64) for c in (2, 3)))
-    yield pa.RecordBatch.from_arrays([pa.array(word[k].view(np.int64)), pa.array(n), pa.array(every)], ["word", "n", "every"])
+@dataclass
+class Words:
+    """A bucket's number of words seen in training, their tokens in training and in all; and the words that may be a bucket's share, with theirs."""
+
+    least: float
+
+    def __call__(self, bucket, held):
+        word = _deal.joined(held[PAIRS], 1, np.uint64)
+        k, n, every = _summed(word, *(_deal.joined(held[PAIRS], c, np.int64) for c in (2, 3)))
+        yield _deal.row(bucket, PAIRS, x=int(n.sum()), y=int(every.sum()))
+        yield _deal.row(bucket, SEEN, x=int((n > 0).sum()))
+        own = np.flatnonzero(every > self.least)
+        if len(own):
+            yield _deal.row(bucket, HOT, word[k[own]], n[own], every[own])
 
 
 def _merged(bucket, held):
@@ -215,7 +235,7 @@ class Sweep:
             return
         if len(k):
             dense, restaurant = np.unique(number[k], return_inverse=True)
-            tables[k] = seating.sweep(restaurant, n[k], tables[k], totals[dense], p[k], self.discount, self.strength, _seeds(np.full(len(k), bucket, np.uint64), k.astype(np.uint64), self.seed))
+            tables[k] = seating.sweep(restaurant, n[k], tables[k], totals[dense], p[k], self.discount, self.strength, _seeds(np.full(1, bucket, np.uint64), k.astype(np.uint64), self.seed))
         yield _deal.row(bucket, SEATS, _deal.small(tables[k]), np.asarray(kept, np.float32))
         if len(own):
             yield _deal.row(bucket, HOT, split, np.bincount(number, tables, len(sizes)).astype(np.int64)[own])
@@ -247,7 +267,7 @@ class Parent:
         customers = np.bincount(at, tables, len(words)).astype(np.int64)
         others = np.maximum(self.total - before, 0).astype(float)
         start = np.minimum(np.maximum(before, np.minimum(customers, 1)), customers)
-        seated = seating.draw(customers, start, others, np.full(len(words), 1 / (self.types + 1)), self.discount, self.strength, _seeds(np.zeros_like(words), words, self.seed))
+        seated = seating.draw(customers, start, others, np.full(len(words), 1 / (self.types + 1)), self.discount, self.strength, _seeds(np.zeros(1, np.uint64), words, self.seed))
         yield _deal.row(bucket, PARENTS, *(() if self.last else (seated, words, at.astype(np.int32), of_word)), x=int(customers.sum()), y=int(seated.sum()))
         yield _deal.rows(np.repeat([r[0] for r in told], sizes), ANSWERS, bucket, (customers - self.discount * seated)[at], *((of_word[at],) if self.last else ()))
 
@@ -277,28 +297,28 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
     """Learn from the rows of ``documents`` for which ``learns`` holds; pairs of the others are only given their probabilities."""
     texts = documents.select(F.coalesce(learns, F.lit(False)).alias("train"), "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = stored(_deal.met(texts.mapInArrow(_counted(None, parts), _deal.SCHEMA), parts).mapInArrow(_deal.each(_words), "word long, n long, every long"), "words")
-    size = counts.agg(F.sum("n").alias("n"), F.sum("every").alias("every"), F.count_if(F.col("n") > 0).alias("types")).first()
-    n_train, n_types, every = (int(size[c] or 0) for c in ("n", "types", "every"))
+    counts = stored(_deal.met(texts.mapInArrow(_counted(None, parts), _deal.SCHEMA), parts).mapInArrow(_deal.each(Words(rows / 2)), _deal.SCHEMA), "words")
+    told = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+    n_train, every, n_types = (int(told[kind][c]) if kind in told else 0 for kind, c in ((PAIRS, "x"), (PAIRS, "y"), (SEEN, "x")))
     buckets = max(1, -(-every // rows))
-    share = max(every / min(buckets, _SPLIT), 1.0)  # fewer than _SPLIT words have more
-    hot = counts.where(F.col("every") > share).collect() if buckets > 1 else []
+    share = max(every / min(buckets, _SPLIT), 1.0)  # fewer than _SPLIT words have more; over rows / 2 if there are several buckets
+    hot = counts.where(F.col("kind") == HOT).mapInArrow(_hot, "word long, n long, every long").where(F.col("every") > share).collect() if buckets > 1 else []
     drop(counts)
     hot = sorted((int(START) if r["word"] == int(END) else r["word"] % (1 << 64), -(-r["every"] * buckets // every), r["n"]) for r in hot)  # texts start as often as they end
     dealing = Dealing(buckets, *(np.array([r[i] for r in hot], kind) for i, kind in enumerate((np.uint64, np.int64, np.int64))))
-    pairs = stored(_deal.met(texts.mapInArrow(_counted(dealing), _deal.SCHEMA), buckets).mapInArrow(_deal.each(_merged), _deal.SCHEMA), "pairs", "zstd")
+    pairs = stored(_deal.met(texts.mapInArrow(_counted(dealing), _deal.SCHEMA), buckets).mapInArrow(_deal.each(_merged), _deal.SCHEMA), "pairs", "zstd", **_PLAIN)
     told = pairs.agg(F.sum("x"), F.sum("y")).first()
     discount, parent_discount = _of_two(int(told[0] or 0), int(told[1] or 0)), 0.5
 
     def of(df, *kinds):
         return df.where(F.col("kind").isin(*kinds))
 
-    first = stored(pairs.mapInArrow(_deal.each(First(dealing, _limit(pairs, frequent))), _deal.SCHEMA), "seats", "zstd")
+    first = stored(pairs.mapInArrow(_deal.each(First(dealing, _limit(pairs, frequent))), _deal.SCHEMA), "seats", "zstd", **_PLAIN)
     parents, total, seats, written = None, 0, first, []
     for sweep in range(sweeps + 1):
         last = sweep == sweeps
         rows_in = of(seats, TOLD) if parents is None else of(seats, TOLD).union(of(parents, PARENTS))
-        answers = stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(Parent(total, parent_discount, strength, n_types, seed + sweep, last)), _deal.SCHEMA), "parents", "zstd")
+        answers = stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(Parent(total, parent_discount, strength, n_types, seed + sweep, last)), _deal.SCHEMA), "parents", "zstd", **_PLAIN)
         if parents is not None:
             drop(parents)
         parents = answers
@@ -314,7 +334,7 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
         for block in range(cut):
             rows_in = of(first, SEEN, *([OFTEN] if last else [])).union(of(parents, ANSWERS))
             rows_in = (rows_in if seats is first else rows_in.union(of(seats, SEATS))).where(F.col("bucket") % cut == block)
-            after.append(stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(step), _deal.SCHEMA), "scores" if last else "seats", "zstd"))
+            after.append(stored(_deal.met(rows_in, buckets).mapInArrow(_deal.each(step), _deal.SCHEMA), "scores" if last else "seats", "zstd", **_PLAIN))
         for x in written:
             drop(x)
         written, seats = after, reduce(DataFrame.union, after)
@@ -323,6 +343,12 @@ def fit(documents: DataFrame, learns: Column, sweeps: int = 3, burn_in: int = 1,
     return Model(pairs, seats, dealing, n_train, n_types, discount, strength)
 
 
+def _hot(batches):
+    for batch in batches:
+        for held in zip(*(batch.column(c) for c in "abc"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in held], ["word", "n", "every"])
+
+
 def _opened(batches):
     for batch in batches:
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
@@ -441,7 +467,7 @@ def scored(documents: DataFrame, learns: Column, blocks: int = 2, frequent: int
     for block in range(blocks):
         known = model.pairs.withColumns({c: F.lit(None).cast("binary") for c in "cd"}).union(model.scores.where(F.col("kind") == SCORES)).where(F.col("bucket") % blocks == block)
         asked = texts.mapInArrow(_asking(sent, dealing, block, blocks), _deal.SCHEMA).union(known)
-        parts.append(stored(_deal.met(asked, dealing.buckets).mapInArrow(_deal.each(answered), _deal.SCHEMA), "gains", "zstd"))
+        parts.append(stored(_deal.met(asked, dealing.buckets).mapInArrow(_deal.each(answered), _deal.SCHEMA), "gains", "zstd", **_PLAIN))
     out = _deal.met(reduce(DataFrame.union, parts), dealing.buckets).mapInArrow(_deal.each(_told), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), model
 

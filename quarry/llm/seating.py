@@ -17,6 +17,9 @@ EXACT = 512
 _NEGATIVE = -1e300
 _SCALES = (1, 4, 16, 64, 256, 1024) * 6
 _STIRLING: dict[float, np.ndarray] = {}
+_NARROW = 16
+_BAND = np.floor(np.log2(np.maximum(np.arange(EXACT + 1), 1)) * 4)
+_SADDLE_STEPS = 6
 
 
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
@@ -32,7 +35,8 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
 
 def _table(discount: float) -> np.ndarray:
     if discount not in _STIRLING:
-        _STIRLING.clear()
+        if len(_STIRLING) > 1:  # a fit has two: the contexts' and the parent's
+            _STIRLING.clear()
         _STIRLING[discount] = log_stirling(discount)
     return _STIRLING[discount]
 
@@ -43,8 +47,13 @@ def log_gamma(x) -> np.ndarray:
     low = np.ones_like(x)
     for k in range(8):
         low = low * (x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
+    return _log_gamma_series(x + 8) - np.log(low)
+
+
+def _log_gamma_series(y: np.ndarray) -> np.ndarray:
+    back = 1 / y
+    square = back * back
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + back * (1 / 12 - square * (1 / 360 - square / 1260))
 
 
 def log_stirling_at(customers: np.ndarray, tables: np.ndarray, discount: float, terms: int = 48) -> np.ndarray:
@@ -56,7 +65,9 @@ def log_stirling_at(customers: np.ndarray, tables: np.ndarray, discount: float,
     if few.any():
         a, b, j = c[few, None], t[few, None], np.arange(1, terms + 1)
         there = j <= b
-        size = log_gamma(b + 1) - log_gamma(j + 1) - log_gamma(np.where(there, b - j, 0) + 1) + log_gamma(j * d + 1) + log_gamma(np.maximum(a - j * d, 1e-3)) - log_gamma(a + 1)
+        chosen = np.log(np.where(there, b - j + 1, 1.0)).cumsum(1)  # ln of b! / (b - j)!
+        rest = _log_gamma_series(a - j * d) if c.min() > EXACT else log_gamma(np.maximum(a - j * d, 1e-3))  # the series needs no recursion there
+        size = chosen - log_gamma(j + 1) + log_gamma(j * d + 1) + rest - log_gamma(a + 1)
         value = np.where(there, np.exp(size - size[:, :1]) * np.sin(np.pi * j * d) * np.where(j % 2, 1.0, -1.0), 0.0).sum(1) / np.pi
         told[few] = np.log(np.maximum(value, 1e-300)) + size[:, 0]
     if not few.all():
@@ -68,16 +79,16 @@ def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """ln P(X1 + .. + Xt = c) at the saddle point s of the Sibuya generating function 1 - (1 - s)**d."""
     every = t >= c
     m = np.where(every, 2.0, c / np.minimum(t, c - 1))
-    low, high = np.full_like(m, -40.0), np.full_like(m, 60.0)
-    for _ in range(70):  # logit of s; the tilted mean grows with it
-        mid = (low + high) / 2
-        rest = -np.logaddexp(0, mid)  # ln(1 - s)
-        mean = np.exp(mid + d * rest) * d / -np.expm1(d * rest)
-        up = mean < m
-        low, high = np.where(up, mid, low), np.where(up, high, mid)
-    rest = -np.logaddexp(0, mid)
-    spread = np.maximum(m * (1 + (1 - d) * np.exp(mid) - m), 1e-12)
-    out = t * np.log(-np.expm1(d * rest)) + c * np.logaddexp(0, -mid) - 0.5 * np.log(2 * np.pi * t * spread)
+    # Newton's steps for x, the logit of s, on ln(tilted mean - 1), which is concave: they rise from the larger root of its asymptotes
+    x = np.maximum(np.log(2 * (m - 1) / (1 - d)), np.log((m - 1) / d) / (1 - d))
+    for _ in range(_SADDLE_STEPS):
+        rest, odds = -np.logaddexp(0, x), np.exp(x)
+        mean = np.exp(x + d * rest) * d / -np.expm1(d * rest)
+        more = np.maximum(mean - 1, 1e-16)
+        x = x - np.log(more / (m - 1)) * more / np.maximum(mean * (1 + (1 - d) * odds - mean) * np.exp(rest), 1e-16)
+    rest = -np.logaddexp(0, x)  # ln(1 - s)
+    spread = np.maximum(m * (1 + (1 - d) * np.exp(x) - m), 1e-12)
+    out = t * np.log(-np.expm1(d * rest)) + c * np.logaddexp(0, -x) - 0.5 * np.log(2 * np.pi * t * spread)
     return np.where(every, c * np.log(d), out)
 
 
@@ -98,17 +109,25 @@ def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np
     rng: a generator, or a seed for each dish; then a dish's draw doesn't hang on what stands beside it.
     """
     seeds = seeds_of(rng, len(customers))
-    out, base = tables.copy(), np.log(np.maximum(base, 1e-300))
+    out, share = tables.copy(), np.maximum(base, 1e-300)
+    base = np.log(share)
     out[customers <= 1] = customers[customers <= 1]
-    order = np.argsort(customers, kind="stable")
+    order = np.argsort(np.minimum(customers, EXACT + 1).astype(np.uint16), kind="stable")  # such are sorted by radix
     ranked = customers[order]
     small = order[(ranked > 1) & (ranked <= EXACT)]
     if len(small):
         stirling, sizes = _table(discount), customers[small]
-        band = np.floor(np.log2(sizes) * 4)  # sizes within a fifth are drawn together; beyond its own size a dish has no weight
+        band = _BAND[sizes]  # sizes within a fifth are drawn together; beyond its own size a dish has no weight
         cut = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         for at, end in zip(cut.tolist(), [*cut[1:].tolist(), len(small)], strict=True):
             c = int(sizes[end - 1])
+            if c <= _NARROW:
+                more = np.exp(np.diff(stirling[: c + 1, 1 : c + 1]))  # 0 where there would be more tables than customers
+                for a in range(at, end, 1 << 14):
+                    k = small[a : min(a + (1 << 14), end)]
+                    own = c if sizes[at] == c else sizes[a : a + len(k)]
+                    out[k] = _narrow(c, more, own, others[k], share[k], discount, strength, seeds[k])
+                continue
             t, step = np.arange(1, c + 1), max(1, 1_000_000 // c)
             for a in range(at, end, step):
                 k, own = small[a : min(a + step, end)], sizes[a : min(a + step, end)]
@@ -121,6 +140,18 @@ def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np
     return out
 
 
+def _narrow(c, more, own, others, base, d, strength, seeds):
+    """draw()'s choice among up to c tables by products, as the first of exponential waiting times; one number of tables after another for all dishes."""
+    out, best, chance = np.ones(len(seeds), np.int64), -np.log(uniform(seeds, 1)), 1.0
+    for t in range(2, c + 1):
+        chance = chance * (more[own, t - 2] * base * np.maximum(strength + d * (others + (t - 1)), 1e-300))
+        with np.errstate(divide="ignore"):
+            wait = -np.log(uniform(seeds, t)) / chance
+        np.copyto(out, t, where=wait < best)
+        best = np.minimum(wait, best)
+    return out
+
+
 def _metropolis(c, t, others, base, d, strength, seeds):
     weight = lambda t: log_stirling_at(c, t, d) + t * (base + np.log(d)) + log_gamma(np.maximum(strength / d + others, 1e-9) + t)
     now = weight(t)
@@ -145,9 +176,10 @@ def sweep(restaurant: np.ndarray, customers: np.ndarray, tables: np.ndarray, tot
     first = np.searchsorted(restaurant, np.arange(len(totals)))
     turn = (np.arange(len(restaurant)) - first[restaurant]) % blocks
     turn[customers > EXACT] = blocks
-    todo = customers > 1
-    for block in range(blocks + 1):
-        k = np.flatnonzero(todo & (turn == block))
+    turn[customers <= 1] = blocks + 1
+    order = np.argsort(turn.astype(np.uint8 if blocks < 255 else np.int64), kind="stable")
+    cut = np.searchsorted(turn[order], np.arange(blocks + 2))
+    for k in (order[a:b] for a, b in zip(cut, cut[1:], strict=False)):
         if not len(k):
             continue
         new = draw(customers[k], tables[k], totals[restaurant[k]] - tables[k], base[k], discount, strength, seeds[k])

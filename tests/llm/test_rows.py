@@ -350,3 +350,61 @@ def test_word_codes_tell_words_apart():
         if words_ is distinct:
             before = told
     assert told == before
+
+
+def test_saddle_points_take_few_steps(monkeypatch):
+    """A large dish's weight costs a few steps, not a bisection's seventy, and is the same."""
+
+    def bisected(c, t, d):
+        low, high = -40.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            rest = -np.logaddexp(0, mid)
+            low, high = (mid, high) if np.exp(mid + d * rest) * d / -np.expm1(d * rest) < c / t else (low, mid)
+        spread = c / t * (1 + (1 - d) * np.exp(mid) - c / t)
+        return t * np.log(-np.expm1(d * rest)) + c * np.logaddexp(0, -mid) - 0.5 * np.log(2 * np.pi * t * spread)
+
+    cases = [(d, c, t) for d in (0.1, 0.5, 0.83, 0.95) for c in (600, 40_000, 3_000_000) for t in np.unique(np.geomspace(max(2, (2.3 - 2 * d) * c**d), c - 1, 30).astype(int)).tolist()]
+    want, steps, real = [bisected(c, t, d) for d, c, t in cases], [], np.logaddexp
+    monkeypatch.setattr(seating.np, "logaddexp", lambda *a: steps.append(1) or real(*a))
+    got = [seating._saddle(np.array([float(c)]), np.array([float(t)]), d)[0] for d, c, t in cases]
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-6) and len(steps) <= 10 * len(cases)
+
+
+@pytest.mark.parametrize("customers", [(2,), (3,), (8, 9), (14, 16)])
+def test_small_dishes_follow_the_exact_law(customers):
+    """Shares of each number of tables against the law; dishes of nearly the same size are drawn together."""
+    for c in customers:
+        for discount, others, base in ((0.83, 3, 0.1), (0.5, 400, 0.004)):
+            t, n = np.arange(1, c + 1), 40_000
+            law = seating.log_stirling(discount, c)[c, 1:] + t * np.log(base) + np.log(1 + discount * (others + t - 1)).cumsum()
+            law = np.exp(law - law.max())
+            law /= law.sum()
+            sizes = np.tile(customers, n)
+            same = lambda x: np.full(len(sizes), x)
+            drawn = seating.draw(sizes, same(1), same(others), same(base), discount, 1.0, np.random.default_rng(c))[sizes == c]
+            share = np.bincount(drawn, minlength=c + 1)[1:] / n
+            assert drawn.max() <= c and (abs(share - law) < 5 * np.sqrt(law * (1 - law) / n) + 1e-4).all()
+
+
+def test_language_model_counts_words_without_a_row_each(spark, monkeypatch):
+    """The table of words holds totals and the few words of a bucket's share, not a row for each word."""
+    kept, real = {}, language_model.stored
+
+    def counted_rows(df, name, *args, **options):
+        out = real(df, name, *args, **options)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(language_model, "stored", counted_rows)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = language_model.fit(docs, ~held_out(5), rows=20_000)
+    counts, every = Counter(), Counter()
+    for row in docs.where(~held_out(5)).collect():
+        counts.update([*words(row["text"], TOKEN), None])
+    for row in docs.collect():
+        every.update([*words(row["text"], TOKEN), None])
+    assert (model.n_types, model.n_train) == (len(counts), sum(counts.values()))
+    share = sum(every.values()) / model.dealing.buckets
+    assert sorted(model.dealing.n.tolist()) == sorted(counts[w] for w in every if every[w] > share)
+    assert kept["words"] <= 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) < model.n_types
