@@ -103,3 +103,87 @@ def test_a_shard_takes_few_bytes_a_posting():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 95 * sum(len(set(t.split())) for t in texts)
+
+
+def test_blocks_of_queries_read_the_texts_once(spark):
+    """However many blocks the queries come in, texts are cut into words once and sampled once."""
+    read = []
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 97} v{(k + j) % 11}" for j in range(1, 30))) for k in range(600)], "doc_id long, text string").repartition(12).localCheckpoint()
+    terms, n, mean = search.collection(docs)
+    queries = search.more_like(docs.where("doc_id % 50 = 0"), terms).localCheckpoint()
+    got = []
+    for block_terms in (2_000_000, 40):
+        passed = spark.sparkContext.accumulator(0)
+
+        def counted(batches, passed=passed):
+            for batch in batches:
+                passed.add(len(batch))
+                yield batch
+
+        found = search.top_k(docs.mapInArrow(counted, "doc_id long, text string"), queries, n, mean, block_terms=block_terms)
+        got.append(sorted(map(tuple, found.collect())))
+        read.append(passed.value)
+    assert got[0] == got[1] and len(got[0]) == 120
+    assert read[0] == read[1] <= 2 * 600
+
+
+def asked_of(queries):
+    """A pass's queries, from lists of words."""
+    from quarry.llm import _text
+
+    words = sorted({w for q in queries.values() for w in q})
+    terms = np.sort(_text.hash_words(words))
+    at = [np.searchsorted(terms, _text.hash_words(sorted(set(q)))).astype(np.int32) for q in queries.values()]
+    block = np.array(list(queries)), np.array([len(x) for x in at]), np.concatenate([np.sort(x) for x in at]), terms, np.full(len(terms), 3.0)
+    return search._asked([block], 100)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"GROUP": 7, "TILE": 5, "READY": 16, "WAITING": 20, "SHORT": 1, "COMMON": 3}, {"DENSE": 0, "SHORT": 10_000, "MERGED": 40, "ROOM": 5.0}])
+def test_documents_meet_queries(monkeypatch, sizes):
+    """Sums over runs of merged documents, by the matrix or by lists, find what adding up all words finds; with floors and without."""
+    import pyarrow as pa
+
+    for name, value in sizes.items():
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(3)
+    share = 1 / np.arange(1, 401)
+    draw = lambda m: [f"w{x}" for x in rng.choice(400, m, p=share / share.sum())]
+    texts = [draw(int(rng.choice([0, 1, 8, 40, 300]))) for _ in range(150)]
+    texts[60:66] = [texts[59]] * 6  # ties
+    queries = {k: texts[k] for k in range(0, 150, 3) if texts[k]} | {1000: draw(200), 1001: ["w399"]}
+    asked = asked_of(queries)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(range(150)), pa.array([" ".join(t) for t in texts])], ["doc_id", "pick", "text"])
+    mean, expected = np.mean([len(t) for t in texts]), {}
+    for q, own in queries.items():
+        scores = []
+        for d, t in enumerate(texts):
+            tf = {w: t.count(w) for w in set(t) & set(own)}
+            s = sum(asked.idf[0] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t) / mean)) for f in tf.values())
+            if s and d != q:
+                scores.append((-round(s, 9), d))
+        expected[q] = sorted(scores)[:10]
+    none = np.full(len(asked.qids), -1.0)
+    known = np.array([search._floor(-expected[q][9][0]) if len(expected[q]) == 10 else -1.0 for q in asked.qids.tolist()])
+    for floors in (none, known):
+        sent, told = (type("Sent", (), {"value": x}) for x in (asked, floors))
+        rows = [r for b in search._meet(sent, told, mean, 10)(search._words([batch])) for r in b.to_pylist()]
+        for q in queries:
+            assert sorted((-round(r["score"], 9), r["doc_id"]) for r in rows if r["qid"] == q)[:10] == expected[q]
+
+
+def test_weak_documents_are_merged():
+    """Documents that stay far below the floors are scored in runs, whose sums bound those of their documents."""
+    rng = np.random.default_rng(5)
+    n, m, n_terms = 300, 400, 500
+    asked = [np.sort(rng.choice(n_terms, 60, replace=False)).astype(np.int32) for _ in range(n)]
+    first = np.arange(0, 60 * n + 1, 60)
+    group = search.Group(first, np.concatenate(asked), n_terms)
+    doc, term = np.repeat(np.arange(m), 20), np.concatenate([np.sort(rng.choice(n_terms, 20, replace=False)) for _ in range(m)])
+    impact = rng.random(len(doc)) + 0.5
+    alone = group.sums(doc, term, impact, m)
+    usual = np.full(n_terms, 60 / n_terms / (4 * alone.mean()), np.float32)  # floors are four usual scores
+    order, begin, run = group.merged(doc, term, impact, m, usual)
+    assert sorted(order.tolist()) == list(range(m)) and len(begin) - 1 <= m / 2
+    bound = group.sums(*run, len(begin) - 1)
+    for r, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
+        assert (alone[order[a:b]] <= bound[r] + 1e-3).all()
