@@ -57,7 +57,7 @@ READY, MERGED, ROOM = 2048, 6, 0.5
 #: the share of the queries that are least like others
 ODD = 0.02
 #: blocks of queries that go over the texts together; results that wait in a task before each query's best are kept
-TOGETHER, WAITING = 4, 1 << 18
+TOGETHER, WAITING = 3, 1 << 18
 #: how much larger the share of the documents is at each step of the ladder
 STEP = 8
 
@@ -538,10 +538,12 @@ def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float,
     while share < shards:
         share *= STEP
         shares.append(share)
-    words, sample = None, docs
+    words, few, sample = None, None, docs
     if share > 1:
         words = stored(docs.mapInArrow(_words, "doc_id long, pick long, length long, term binary, tf binary"), "words")
         sample = stored(docs.where(F.pmod("pick", F.lit(share)) == 0).repartition(1), "sample")  # about one shard
+    if share > STEP:  # what all steps but the last read
+        few = stored(words.where(F.pmod("pick", F.lit(STEP)) == 0), "few")
     parts = []
     for number in range(passes):
         asked = _asked([_block(queries, n_blocks, b) for b in range(n_blocks * number // passes, n_blocks * (number + 1) // passes)], n)
@@ -552,7 +554,7 @@ def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float,
             if share == shares[-1]:
                 some, search = sample.coalesce(1) if share > 1 else sample, _search(sent, mean_length, k)
             else:
-                some, search = words.where(F.pmod("pick", F.lit(share)) == 0), _meet(sent, told, mean_length, k)
+                some, search = (few.where(F.pmod("pick", F.lit(share)) == 0) if share > 1 else words), _meet(sent, told, mean_length, k)
             found = some.mapInArrow(search, "qid long, doc_id long, score double").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
             found = stored(found.select("qid", "rank", "doc_id", F.round("score", 9).alias("score")), "found")
             if share > 1:  # a number for each query of the pass
@@ -563,7 +565,7 @@ def top_k(documents: DataFrame, queries: DataFrame, n: int, mean_length: float,
             told.unpersist()
         sent.unpersist()
         parts.append(found)
-    for x in (words, sample):
+    for x in (words, few, sample):
         drop(x)
     found = parts[0]
     for x in parts[1:]:
